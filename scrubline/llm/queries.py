@@ -33,25 +33,53 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import rank_documents
+
+    return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import capture, resolve
+
+    return resolve(capture(_table(spark, sf_dir, "pages")))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode
 
     return encode(_table(spark, sf_dir, "documents"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_sharding": op2_sharding,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_packing": op4_packing,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_counts": op6_token_counts,
+    "op7_quality": op7_quality,
+    "op8_warc": op8_warc,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLES = {
@@ -72,4 +100,29 @@ ORACLES = {
         SELECT doc_id, kept_doc_id FROM (
             SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS kept_doc_id FROM documents WHERE text IS NOT NULL)
         WHERE doc_id <> kept_doc_id""",
+    "op8_warc": """
+        WITH p AS (SELECT coalesce(CAST(page_id AS VARCHAR), 'null') AS p, coalesce(url, '') AS url, coalesce(html, '') AS payload,
+                          'sha1:' || sha1(coalesce(html, '')) AS digest FROM pages),
+        o AS (SELECT digest, min(p || '-1') AS original, arg_min(url, p || '-1') AS refers_url FROM p GROUP BY digest),
+        r AS (SELECT p || '-1' AS record_id, 'response' AS was, * FROM p UNION ALL SELECT p || '-2', 'revisit', * FROM p),
+        k AS (SELECT r.*, original, refers_url, CASE WHEN was = 'response' AND record_id = original THEN 'response' ELSE 'revisit' END AS warc_type
+              FROM r JOIN o USING (digest)),
+        n AS (SELECT *, CASE WHEN warc_type = 'response' THEN strlen(payload) ELSE 0 END AS n,
+                     md5(warc_type || ' ' || record_id || ' ' || digest) AS a, md5('response ' || original || ' ' || digest) AS b FROM k)
+        SELECT record_id, warc_type, url, digest, CASE WHEN warc_type = 'revisit' THEN original END AS refers_to,
+               CAST(n AS BIGINT) AS payload_bytes,
+               'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: ' || warc_type || chr(13) || chr(10)
+               || 'WARC-Record-ID: <urn:uuid:' || a[1:8] || '-' || a[9:12] || '-' || a[13:16] || '-' || a[17:20] || '-' || a[21:32] || '>' || chr(13) || chr(10)
+               || 'WARC-Date: 2026-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+               || 'WARC-Payload-Digest: ' || digest || chr(13) || chr(10)
+               || CASE WHEN warc_type = 'revisit' THEN
+                    'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' || chr(13) || chr(10)
+                    || 'WARC-Refers-To: <urn:uuid:' || b[1:8] || '-' || b[9:12] || '-' || b[13:16] || '-' || b[17:20] || '-' || b[21:32] || '>' || chr(13) || chr(10)
+                    || 'WARC-Refers-To-Target-URI: ' || refers_url || chr(13) || chr(10)
+                    || 'WARC-Refers-To-Date: 2026-01-01T00:00:00Z' || chr(13) || chr(10) ELSE '' END
+               || 'Content-Type: application/http; msgtype=response' || chr(13) || chr(10)
+               || 'Content-Length: ' || CASE WHEN warc_type = 'response'
+                    THEN n + 77 + length(CAST(n AS VARCHAR)) ELSE 0 END || chr(13) || chr(10) || chr(13) || chr(10) AS header,
+               CASE WHEN warc_type = 'response' THEN payload END AS payload
+        FROM n""",
 }

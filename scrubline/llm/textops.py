@@ -70,12 +70,15 @@ def slices(arr: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, np.ndar
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start of each word, its end, its 64-bit hash, first word of each row and the end); no word spans two rows."""
+def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, lower: bool = False, prefix: int = 0) -> tuple[np.ndarray, ...]:
+    """(start of each word, its end, its 64-bit hash, first word of each row and the end); no word spans two rows.
+
+    With ``prefix``, also a hash of the first so many bytes of each word, at the end.
+    """
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0, U64), np.zeros(len(offsets), np.int64)
+        return (none, none, np.zeros(0, U64), np.zeros(len(offsets), np.int64), *([np.zeros(0, U64)] if prefix else []))
     inside = ~separators[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
@@ -91,7 +94,8 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, lower:
     x *= up[:n]
     np.cumsum(x, out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts])
-    return starts, ends, hashes, np.searchsorted(starts, offsets)
+    more = [mix((sums[np.minimum(ends, starts + prefix)] - sums[starts]) * down[starts] + _Q)] if prefix else []
+    return (starts, ends, hashes, np.searchsorted(starts, offsets), *more)
 
 
 class Ranges:
