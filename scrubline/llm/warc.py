@@ -71,7 +71,7 @@ def _repeats(heads: DataFrame, base: DataFrame) -> bool:
 
 
 def _urn(kind: Column, record: Column, digest: Column) -> Column:
-    h = F.md5(F.concat_ws(" ", kind, record, digest).cast("binary"))
+    h = F.md5(F.concat(kind, F.lit(" "), record, F.lit(" "), digest).cast("binary"))  # null without a record
     return F.concat(F.lit("<urn:uuid:"), *[x for i, (a, n) in enumerate(((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) for x in ([F.lit("-")] if i else []) + [F.substring(h, a, n)]], F.lit(">"))
 
 
