@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Scratch, col, free_name, keyed, ship_package
+from .common import Scratch, col, free_name, keyed, ship_package
 from .textops import SPACE, U64, Ranges, mix, slices, words
 
 MIN_WORDS = 50
@@ -261,7 +261,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, key: str, text_col: str, m
     # what is left: first occurrences, and those that overlap them, where an anchor has several contexts
     wanted = known.filter("contexts > 1").select("fp", "contexts", "first.*").unionByName(again.filter("not far and contexts > 1").drop("far"))
     wanted = wanted.groupBy("key").agg(F.collect_list(F.struct("fp", "contexts", "word", "start", "stop")).alias("places"))
-    wanted = small_table(scratch.write(wanted))
+    wanted = scratch.write(wanted)
     cut = F.expr("transform(places, p -> struct(p.fp as fp, p.contexts as contexts, p.word as word, p.start as start, substring(data, p.start + 1, p.stop - p.start) as piece))")
     pieces = texts.join(wanted, "key").withColumn("data", F.encode("text", "UTF-8")).select("key", F.inline(cut))
     pieces = pieces.select("fp", "contexts", "key", "word", "start", "piece")
@@ -296,20 +296,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], ["key", "spans"])
 
 
-def small_table(table: DataFrame) -> DataFrame:
-    """``table``, a written one, with a broadcast hint if its files and rows in memory fit the bound."""
-    jvm, sc = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext
-    p = jvm.org.apache.hadoop.fs.Path(table.path)
-    size = p.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
-    path = table.path
-    table = F.broadcast(table) if 4 * size <= BROADCAST_BYTES else table
-    table.path = path
-    return table
-
-
 def without_spans(docs: DataFrame, spans: DataFrame, key: str, text_col: str) -> DataFrame:
     """``docs`` with the bytes of ``spans`` (a written table) cut from the text, with the white space after them."""
-    spans = small_table(spans)
     renamed, data = free_name(docs, "__spans", "__data")
     joined = docs.join(spans.select(F.col("key").alias(key), F.col("spans").alias(renamed)), key, "left")
     raw = F.encode(col(text_col), "UTF-8")
