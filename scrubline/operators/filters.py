@@ -49,10 +49,14 @@ def remove_stop_words(text: Column, language: Column | str, languages: Sequence[
     """
     if isinstance(language, str):
         language = F.lit(language)
-    tokens = F.filter(F.split(text, P.SPACES), lambda w: w != "")
+    tokens = F.split(text, P.SPACES)
+
+    def without(words: Sequence[str]) -> Column:
+        return F.array_join(F.filter(tokens, lambda w: ~w.isin("", *words)), " ")
+
     out = None
     for name in languages or STOP_WORDS:
-        kept = F.array_join(F.filter(tokens, lambda w, name=name: ~w.isin(*STOP_WORDS[name])), " ")
+        kept = without(STOP_WORDS[name])
         out = F.when(language == name, kept) if out is None else out.when(language == name, kept)
     return out.otherwise(text)
 

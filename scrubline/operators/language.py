@@ -27,7 +27,12 @@ def vocabulary(language: str) -> tuple[str, ...]:
 def language_scores(text: Column, languages: Sequence[str] = LANGUAGES) -> Column:
     """For each language in turn, how many words of the text are in its vocabulary."""
     tokens = F.split(F.lower(text), r"[^\p{L}']+")
-    return F.array(*[F.size(F.filter(tokens, lambda w, name=name: w.isin(*vocabulary(name)))) for name in languages])
+
+    def known(name: str) -> Column:
+        words = vocabulary(name)
+        return F.size(F.filter(tokens, lambda w: w.isin(*words)))
+
+    return F.array(*[known(name) for name in languages])
 
 
 def detect_language(text: Column, languages: Sequence[str] = LANGUAGES) -> Column:

@@ -82,7 +82,7 @@ LONE_MARK = rf"(?<![{_ALNUM}])[\"%'*-](?![{_ALNUM}])"
 #: White space as a whole, a line break with the blanks around it, blanks, and white space at the end.
 SPACES = f"[{SPACE}]++"
 ANY_BREAKS = f"(?<![{SPACE}])[{BLANK}]*+[{BREAK}][{SPACE}]*+"
-ONE_BREAK = rf"(?<![{BLANK}])[{BLANK}]*+(?:\r\n|[{BREAK}])[{BLANK}]*+"
+ONE_BREAK = rf"(?:\G|(?<![{BLANK}]))[{BLANK}]*+(?:\r\n|[{BREAK}])[{BLANK}]*+"
 BLANKS = f"[{BLANK}]++"
 NARROW_BREAKS = r"(?:\r\n|[\n\x0B])++"
 NOT_BEFORE_BREAK = rf"(?!\n)[{SPACE}]++"
