@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import html
 import re
 import unicodedata
@@ -24,7 +25,7 @@ def unescape_backslashes(text: str) -> str:
     if "\\" not in text:
         return text
     try:
-        return text.encode("latin-1", "backslashreplace").decode("unicode-escape")
+        return codecs.decode(text.encode("latin-1", errors="backslashreplace"), "unicode_escape")
     except UnicodeError:
         return text
 
@@ -78,7 +79,7 @@ def fix_unicode(text: str, normalization: str | None = "NFC") -> str:
 _SPELT = {
     "ß": "ss", "ẞ": "SS", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "Ø": "O", "ø": "o", "Đ": "D", "đ": "d", "Ð": "D", "ð": "d", "Þ": "Th", "þ": "th", "Ł": "L", "ł": "l",
     "Ħ": "H", "ħ": "h", "ı": "i", "ĸ": "k", "Ŋ": "ng", "ŋ": "NG", "Ŧ": "T", "ŧ": "t", "ſ": "s", "ƒ": "f", "Ə": "@", "ə": "@",
-    "€": "EUR", "£": "PS", "¥": "Y=", "¢": "C/", "¤": "$?", "₩": "W", "₪": "NS", "₫": "D", "₦": "N", "₡": "CL", "₱": "P", "₲": "G", "₴": "UAH", "₹": "INR", "฿": "B",
+    "€": "EUR", "£": "PS", "¥": "Y=", "¢": "C/", "¤": "$?", "₩": "W", "₪": "NS", "₫": "D", "₦": "N", "₡": "CL", "฿": "B", "₹": "INR", "₲": "G", "₱": "P", "₴": "UAH",
     "©": "(c)", "®": "(r)", "™": "(tm)", "°": "deg", "µ": "u", "¶": "P", "§": "SS", "·": "*", "•": "*", "¡": "!", "¿": "?", "¦": "|", "¬": "!", "±": "+-", "×": "x", "÷": "/", "ª": "a", "º": "o",
     "¼": " 1/4 ", "½": " 1/2 ", "¾": " 3/4 ", "†": "+", "‡": "++", "…": "...", "‰": "%0", "‹": "<", "›": ">", "«": "<<", "»": ">>", "№": "No",
     "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "--", "―": "--", "−": "-", "⁄": "/", "′": "'", "″": '"', "←": "<-", "→": "->", "≤": "<=", "≥": ">=", "≠": "!=", "≈": "~",
