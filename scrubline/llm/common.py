@@ -7,13 +7,24 @@ import os
 import shutil
 import tempfile
 import uuid
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textops import U64, mix
+
 #: A side of a join is broadcast only up to this estimated size; beyond it, the join shuffles.
 BROADCAST_BYTES = 24 << 20
 
+#: Texts go to Python in batches of about so many bytes while a table is written, so that a worker's memory stays small.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+#: A filter of keys has so many bits a key, so many places for each, and at most so many bits (8 MB).
+FILTER_BITS, FILTER_PLACES, MOST_FILTER_BITS = 12, 4, 1 << 26
+
 _own_folders: dict[str, str] = {}
 
 
@@ -49,13 +60,18 @@ class Scratch:
         atexit.register(_remove, spark, self.root)
 
     def write(self, df: DataFrame) -> DataFrame:
-        """``df`` as a table that has been written, with its row count as ``.rows`` and path as ``.path``."""
+        """``df`` as a table that has been written, with its path as ``.path``."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        schema = df.schema
-        df.write.parquet(path)
+        schema, conf = df.schema, self.spark.conf
+        before = conf.get(BATCH_SETTING)
+        conf.set(BATCH_SETTING, BATCH_BYTES)
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(BATCH_SETTING, before)
         out = self.spark.read.schema(schema).parquet(path)
-        out.path, out.rows = path, None
+        out.path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -83,6 +99,46 @@ def small_enough(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * (row_bytes + 40) <= BROADCAST_BYTES else df
 
 
+def _places(keys: np.ndarray, bits: int) -> np.ndarray:
+    h = mix(keys.astype(np.int64).view(U64))
+    step = mix(h) | U64(1)
+    return (h[None, :] + np.arange(FILTER_PLACES, dtype=U64)[:, None] * step[None, :]) & U64(bits - 1)
+
+
+def likely_in(df: DataFrame, name: str, keys: DataFrame, apart: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose long column ``name`` is in the one column of ``keys`` (a written table), and about one in a hundred others.
+
+    Put before a join, so that rows without a partner aren't shuffled; a Bloom filter that is broadcast does it. Where
+    it would have over MOST_FILTER_BITS, all rows pass. With ``apart`` also the rows that aren't in ``keys``.
+    """
+    n = keys.count()
+    bits = 1 << max(10, (n * FILTER_BITS - 1).bit_length())
+    if bits > MOST_FILTER_BITS:
+        return (df, df.limit(0)) if apart else df
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits >> 3, np.uint8)
+        for b in batches:
+            at = np.unique(_places(b.column(0).to_numpy(), bits))
+            np.bitwise_or.at(own, (at >> U64(3)).astype(np.int64), (1 << (at & U64(7)).astype(np.uint8)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["bits"])
+
+    whole = np.zeros(bits >> 3, np.uint8)
+    for r in keys.coalesce(4).mapInArrow(fill, "bits binary").toLocalIterator():
+        whole |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    shared = df.sparkSession.sparkContext.broadcast(whole)
+
+    @F.pandas_udf("boolean")
+    def known(values):
+        import pandas as pd
+
+        at = _places(values.to_numpy(), bits)
+        return pd.Series(((shared.value[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1).all(axis=0))
+
+    found = known(col(name))
+    return (df.filter(found), df.filter(~found)) if apart else df.filter(found)
+
+
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
     """Names like ``wanted`` that no column of ``df`` has, compared without case."""
     taken = {c.lower() for c in df.columns}

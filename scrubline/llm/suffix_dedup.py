@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, col, free_name, keyed, ship_package
+from .common import Scratch, col, free_name, keyed, likely_in, ship_package
 from .textops import SPACE, U64, Ranges, mix, slices, words
 
 MIN_WORDS = 50
@@ -245,9 +245,9 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, key: str, text_col: str, m
     found = scratch.write(texts.mapInArrow(_anchor_rows(min_words), "fp long, context long, key long, word int, start int, stop int"))
 
     # most anchors occur once: these go before anything is sorted
-    often = found.groupBy("fp").count().filter("count > 1").select("fp")
-    repeated = scratch.write(found.join(often, "fp"))
-    scratch.drop(found)
+    often = scratch.write(found.groupBy("fp").count().filter("count > 1").select("fp"))
+    repeated = scratch.write(likely_in(found, "fp", often).join(often, "fp"))
+    scratch.drop(found, often)
     # one entry for each distinct context of an anchor: where it occurs first
     contexts = repeated.groupBy("fp", "context").agg(F.min(F.struct("key", "word", "start", "stop")).alias("first"), F.count("*").alias("n"))
     known = scratch.write(contexts.withColumn("contexts", F.count("*").over(Window.partitionBy("fp"))))
@@ -263,7 +263,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, key: str, text_col: str, m
     wanted = wanted.groupBy("key").agg(F.collect_list(F.struct("fp", "contexts", "word", "start", "stop")).alias("places"))
     wanted = scratch.write(wanted)
     cut = F.expr("transform(places, p -> struct(p.fp as fp, p.contexts as contexts, p.word as word, p.start as start, substring(data, p.start + 1, p.stop - p.start) as piece))")
-    pieces = texts.join(wanted, "key").withColumn("data", F.encode("text", "UTF-8")).select("key", F.inline(cut))
+    pieces = likely_in(texts, "key", wanted.select("key")).join(wanted, "key").withColumn("data", F.encode("text", "UTF-8")).select("key", F.inline(cut))
     pieces = pieces.select("fp", "contexts", "key", "word", "start", "piece")
     pieces = scratch.write(pieces)
 
@@ -299,7 +299,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without_spans(docs: DataFrame, spans: DataFrame, key: str, text_col: str) -> DataFrame:
     """``docs`` with the bytes of ``spans`` (a written table) cut from the text, with the white space after them."""
     renamed, data = free_name(docs, "__spans", "__data")
-    joined = docs.join(spans.select(F.col("key").alias(key), F.col("spans").alias(renamed)), key, "left")
+    some, others = likely_in(docs, key, spans.select("key"), apart=True)
+    joined = some.join(spans.select(F.col("key").alias(key), F.col("spans").alias(renamed)), key, "left")
     raw = F.encode(col(text_col), "UTF-8")
     # what is between the spans; the white space after a span goes, that before it stays
     kept = F.expr(
@@ -309,7 +310,8 @@ def without_spans(docs: DataFrame, spans: DataFrame, key: str, text_col: str) ->
     pieces = F.transform(kept, lambda x: F.struct(x["a"].alias("a"), F.decode(F.substring(col(data), x["a"] + 1, x["b"] - x["a"]), "UTF-8").alias("t")))
     text = F.array_join(F.transform(pieces, lambda x: F.when(x["a"] == 0, x["t"]).otherwise(F.regexp_replace(x["t"], r"^[\t-\r\x1c-\x20]+", ""))), "")
     text = F.when(col(renamed).isNull(), col(text_col)).otherwise(text)
-    return joined.withColumn(data, F.when(col(renamed).isNotNull(), raw)).withColumn(text_col, text).drop(renamed, data)
+    cut = joined.withColumn(data, F.when(col(renamed).isNotNull(), raw)).withColumn(text_col, text).select(*[col(c) for c in docs.columns])
+    return cut.union(others.select(*[col(c) for c in docs.columns]))
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
