@@ -171,7 +171,9 @@ def html_to_text(text: str, token: str = "<HTML>") -> str:
 # --- columns ---------------------------------------------------------------------------------------------------------
 
 
-def _udf(function):
+def text_udf(function):
+    """A function of a string as one of a column, in Arrow batches; null stays null."""
+
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else function(t) for t in texts], dtype=object)
@@ -196,7 +198,7 @@ def arrow_stage(text: Column, unicode: bool = True, ascii: bool = True, markup:
             t = step(t)
         return t
 
-    return _udf(all_steps)(text)
+    return text_udf(all_steps)(text)
 
 
 def fix_bad_unicode_column(text: Column, normalization: str = "NFC") -> Column:
@@ -204,7 +206,7 @@ def fix_bad_unicode_column(text: Column, normalization: str = "NFC") -> Column:
 
 
 def to_ascii_column(text: Column, no_emoji: bool = True) -> Column:
-    return _udf(lambda t: to_ascii(t, no_emoji))(text)
+    return text_udf(lambda t: to_ascii(t, no_emoji))(text)
 
 
 def html_to_text_column(text: Column, token: str = "<HTML>") -> Column:
@@ -212,4 +214,4 @@ def html_to_text_column(text: Column, token: str = "<HTML>") -> Column:
 
 
 def unescape_backslashes_column(text: Column) -> Column:
-    return _udf(unescape_backslashes)(text)
+    return text_udf(unescape_backslashes)(text)

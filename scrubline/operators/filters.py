@@ -19,7 +19,7 @@ def remove_isolated_letters(text: Column) -> Column:
 
 def remove_bracket_contents(text: Column) -> Column:
     """[...] and {...} with what is in them, if anything is."""
-    return F.regexp_replace(F.regexp_replace(text, P.SQUARE, ""), P.CURLY, "")
+    return F.regexp_replace(F.regexp_replace(text, P.SQUARE, "$1"), P.CURLY, "$1")
 
 
 def remove_symbol_runs(text: Column) -> Column:

@@ -51,8 +51,10 @@ PHONE = f"{after_none_of(WORD + ')')}{_COUNTRY}{_AREA}{_d(3)}{_GAP}{_d(4)}{_EXTE
 HOST = rf"[0-9:-@A-Za-z\[\\{FOLDED}]"
 _LABEL = f"{HOST}++(?:-{HOST}++)*+"
 DOMAIN = rf"{_LABEL}{times(rf'(?:\.{_LABEL})', 0, GROUPS)}\.{times(HOST, 2)}"
-_LOCAL = f"[-+{WORD}]++"
+_LOCAL = f"[-+{WORD}]{{1,1000}}+"
 _AT = r"(?:@|[(<{\[][aA][tT][)>}\]])"
+#: What a text must hold to have an e-mail address, or a URL.
+ANY_AT, ANY_SCHEME = _AT, r"://|[wW]{3}"
 EMAIL = rf"{after_none_of(WORD + '@.)')}{_LOCAL}(?:\.{_LOCAL})*+{_AT}{DOMAIN}"
 
 
@@ -75,7 +77,8 @@ CURRENCIES = f"(?:{'|'.join(re.escape(s) for s in ISO)})++"
 
 _ALNUM = f"A-Za-z0-9{FOLDED}"
 LONE_LETTER = rf"(?:\A|[{SPACE}])[B-TV-Zb-tv-z, {FOLDED}](?=[{SPACE}]|\z)"
-SQUARE, CURLY = r"\[[^\]]++\]", r"\{[^}]++\}"
+#: Brackets with their contents; one that nothing closes is matched, with all that follows, as group 1, so that it's looked at once.
+SQUARE, CURLY = r"\[[^\]]++\]|(\[[^\]]++)\z", r"\{[^}]++\}|(\{[^}]++)\z"
 LONE_SYMBOLS = rf"(?<![{_ALNUM}])[!#(),./:;<>?@\\^_{{|}}~+·]+(?![{_ALNUM}])"
 LONE_MARK = rf"(?<![{_ALNUM}])[\"%'*-](?![{_ALNUM}])"
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrow_stage import to_ascii
 from .entities import ENTITIES
 
 #: A recognizer takes a text and returns (entity group, score, start, end) for each entity; offsets are in characters.
@@ -23,6 +24,8 @@ _PLACES = (
     "Germany|Deutschland|Spain|España|Netherlands|Nederland|France|Italy|Italia|Europe|England|Scotland|Ireland|Canada|Australia|China|Japan|India|Brazil|Chicago|Boston|Seattle|Brussels|Rome|Roma|Lisbon|Tokyo|Sydney"
 ).split("|")
 _FIRMS = "Microsoft|Google|Apple|Amazon|IBM|Intel|Siemens|Volkswagen|BMW|Philips|Shell|Telefónica|Santander|NASA|UNESCO|Facebook|Netflix|Tesla|Oracle|SAP|Bosch|Heineken|Iberia".split("|")
+# texts mostly come here in ASCII
+_GIVEN, _PLACES, _FIRMS = (list(dict.fromkeys(x for n in names for x in (n, to_ascii(n)))) for names in (_GIVEN, _PLACES, _FIRMS))
 _CAPITAL = r"[A-ZÀ-ÖØ-Þ][\w'’-]*"
 _RULES: list[tuple[str, float, re.Pattern]] = [
     ("PER", 0.99, re.compile(rf"\b(?:{'|'.join(_GIVEN)})\b(?:[ ]{_CAPITAL})?")),

@@ -14,12 +14,12 @@ def _put(text: Column, pattern: str, token: str) -> Column:
 
 def replace_urls(text: Column, token: str = "<URL>") -> Column:
     """URLs that begin with http://, https://, ftp:// or www. and not inside a word or path."""
-    return _put(text, P.URL, token)
+    return F.when(text.rlike(P.ANY_SCHEME), _put(text, P.URL, token)).otherwise(text)
 
 
 def replace_emails(text: Column, token: str = "<EMAIL>") -> Column:
     """E-mail addresses, also with (at), [at], {at} or <at> for the sign."""
-    return _put(text, P.EMAIL, token)
+    return F.when(text.rlike(P.ANY_AT), _put(text, P.EMAIL, token)).otherwise(text)
 
 
 def replace_phone_numbers(text: Column, token: str = "<PHONE>") -> Column:

@@ -1 +1,39 @@
+"""Texts from and to storage."""
 
+from __future__ import annotations
+
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def read_texts(spark: SparkSession, path: str, format: str = "parquet", text_col: str = "text", streaming: bool = False, schema: str | None = None, **options) -> DataFrame:
+    """A table of any format that Spark reads, with its text in ``text_col``. Format "text" makes one text of each line, "wholetext" of each file.
+
+    A stream of files needs a ``schema``, except of texts.
+    """
+    if format == "wholetext":
+        format, options = "text", options | {"wholetext": "true"}
+    reader = (spark.readStream if streaming else spark.read).format(format).options(**options)
+    if schema:
+        reader = reader.schema(schema)
+    rows = reader.load(path)
+    return rows.withColumnRenamed("value", text_col) if format == "text" else rows
+
+
+def from_strings(spark: SparkSession, texts: Iterable[str | None], text_col: str = "text") -> DataFrame:
+    """A few texts held in memory, with their places as ``id``."""
+    return spark.createDataFrame(list(enumerate(texts)), f"id long, `{text_col}` string")
+
+
+def html_pages(spark: SparkSession, path: str, html_col: str = "html", text_col: str = "text", token: str = "<HTML>") -> DataFrame:
+    """Pages as texts: ``text_col`` is what stands between the tags of ``html_col``."""
+    from ..operators.arrow_stage import html_to_text_column
+
+    return spark.read.parquet(path).withColumn(text_col, html_to_text_column(F.col(html_col), token))
+
+
+def write_texts(rows: DataFrame, path: str, format: str = "parquet", mode: str = "errorifexists", partition_by: tuple[str, ...] = ()) -> None:
+    """Writes a batch, in the row order of no particular kind; keep an id column to know the rows by."""
+    rows.write.format(format).mode(mode).partitionBy(*partition_by).save(path)
