@@ -5,7 +5,7 @@ Entities are an array of struct<entity_group: string, score: double, word: strin
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,6 +29,11 @@ def filter_confident(entities: Column, threshold: float | None = DEFAULT_THRESHO
     return F.filter(entities, lambda e: e["score"] >= (threshold or DEFAULT_THRESHOLD))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` and its lambdas use it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def _span(e: Column) -> Column:
     return F.struct(e["start"].alias("start"), e["end"].alias("end"))
 
@@ -36,21 +41,27 @@ def _span(e: Column) -> Column:
 def best_per_span(entities: Column) -> Column:
     """Of the entities with the same start and end the one that scores most, the first of equal ones; spans in order of appearance."""
 
-    def best(span: Column) -> Column:
-        own = F.filter(entities, lambda e: _span(e) == span)
-        return F.reduce(own, F.element_at(own, 1), lambda a, b: F.when(b["score"] > a["score"], b).otherwise(a))
+    def all_best(entities: Column) -> Column:
+        def best(span: Column) -> Column:
+            own = F.filter(entities, lambda e: _span(e) == span)
+            return _let(own, lambda own: F.reduce(own, F.get(own, F.lit(0)), lambda a, b: F.when(b["score"] > a["score"], b).otherwise(a)))
 
-    return F.transform(F.array_distinct(F.transform(entities, _span)), best)
+        return F.transform(F.array_distinct(F.transform(entities, _span)), best)
+
+    return _let(entities, all_best)
 
 
 def vote(entities: Column, threshold: float) -> Column:
     """Spans whose mean score over all their entities is ``threshold`` at least, the best entity of each, in order of start."""
 
-    def mean(e: Column) -> Column:
-        own = F.filter(entities, lambda x: _span(x) == _span(e))
-        return F.reduce(own, F.lit(0.0), lambda s, x: s + x["score"]) / F.size(own)
+    def chosen(entities: Column) -> Column:
+        def mean(e: Column) -> Column:
+            own = F.filter(entities, lambda x: _span(x) == _span(e))
+            return F.reduce(own, F.lit(0.0), lambda s, x: s + x["score"]) / F.size(own)
+
+        return best_per_span(F.filter(entities, lambda e: mean(e) >= threshold))
 
-    chosen = best_per_span(F.filter(entities, lambda e: mean(e) >= threshold))
+    chosen = _let(entities, chosen)
     return F.array_sort(chosen, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
 
 
@@ -81,15 +92,18 @@ def resolve_spans(text: Column, entities: Column) -> Column:
     n = F.length(text)
     spans = F.filter(F.transform(entities, named), lambda e: e["token"].isNotNull() & (e["start"] >= 0) & (e["start"] < e["end"]) & (e["end"] <= n))
 
-    def beaten(e: Column) -> Column:
-        def beats(x: Column) -> Column:
-            around = (x["start"] <= e["start"]) & (x["end"] >= e["end"])
-            wider = (x["start"] < e["start"]) | (x["end"] > e["end"])
-            return around & ((x["score"] > e["score"]) | ((x["score"] == e["score"]) & wider))
+    def unbeaten(spans: Column) -> Column:
+        def beaten(e: Column) -> Column:
+            def beats(x: Column) -> Column:
+                around = (x["start"] <= e["start"]) & (x["end"] >= e["end"])
+                wider = (x["start"] < e["start"]) | (x["end"] > e["end"])
+                return around & ((x["score"] > e["score"]) | ((x["score"] == e["score"]) & wider))
 
-        return F.exists(spans, beats)
+            return F.exists(spans, beats)
 
-    kept = F.array_distinct(F.filter(spans, lambda e: ~beaten(e)))
+        return F.filter(spans, lambda e: ~beaten(e))
+
+    kept = F.array_distinct(_let(spans, unbeaten))
     kept = F.array_sort(F.transform(kept, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["token"].alias("token"))))
     none = F.array().cast("array<struct<start:int,end:int,token:string>>")
 
@@ -123,6 +137,30 @@ def anonymize(text: Column, entities: Column) -> Column:
     return F.when(F.size(entities) > 0, whole).otherwise(text)
 
 
+def anonymize_text(text: str, entities: Sequence[tuple[str, float, int, int]]) -> str:
+    """What ``anonymize`` gives, for a Python string and its (group, score, start, end)."""
+    spans = sorted({(a, b, score, TOKENS[g]) for g, score, a, b in entities if g in TOKENS and 0 <= a < b <= len(text)}, key=lambda s: (s[0], -s[1]))
+    kept, open_ = set(), []
+    for i, s in enumerate(spans):
+        open_ = [o for o in open_ if o[1] > s[0]]
+        same = [x for x in spans[i + 1 : i + 1 + len(TOKENS) * 8] if x[:2] == s[:2]]
+        if not any(o[1] >= s[1] and (o[2] > s[2] or (o[2] == s[2] and o[:2] != s[:2])) for o in [*open_, *same]):
+            kept.add((s[0], s[1], s[3]))
+        open_.append(s)
+    done: list[list] = []
+    for a, b, token in sorted(kept):
+        last = done[-1] if done else None
+        if last and last[2] == token and (a <= last[1] or not text[last[1] : a].strip()):
+            last[1] = max(last[1], b)
+        elif not last or b > last[1]:
+            done.append([max(a, last[1]) if last else a, b, token])
+    out, at = [], 0
+    for a, b, token in done:
+        out += [text[at:a], token]
+        at = b
+    return "".join([*out, text[at:]])
+
+
 def split_chunks(text: Column, max_tokens: int) -> Column:
     """Pieces of ``max_tokens`` words each, with the white space after them, that make up the text; none for a blank text."""
     if max_tokens < 1:

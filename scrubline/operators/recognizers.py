@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .arrow_stage import to_ascii
-from .entities import ENTITIES
+from .entities import DEFAULT_THRESHOLD, ENTITIES, anonymize_text
 
 #: A recognizer takes a text and returns (entity group, score, start, end) for each entity; offsets are in characters.
 Recognizer = Callable[[str], list[tuple[str, float, int, int]]]
@@ -84,3 +84,23 @@ def recognize_column(text: Column, language: Column, tags: Sequence[str], recogn
         return pd.Series([None if t is None else [dict(zip(names, e)) for e in recognize(t, lang, tags, by_language, chunk_words)] for t, lang in zip(texts, languages)])
 
     return run(text, language)
+
+
+def anonymize_column(text: Column, language: Column, tags: Sequence[str], threshold: float | None = None, recognizers: dict[str, Recognizer] | None = None, chunk_words: int = 460) -> Column:
+    """The text with a token for each entity of ``recognize_column`` that scores ``threshold``, the best of each span; in one crossing to Python."""
+    if not tags:
+        raise ValueError("tags must name one entity group at least")
+    by_language, least = recognizers or DEFAULT_RECOGNIZERS, threshold or DEFAULT_THRESHOLD
+
+    def one(t: str, lang: str | None) -> str:
+        best: dict[tuple[int, int], tuple] = {}
+        for group, score, _, a, b in recognize(t, lang, tags, by_language, chunk_words):
+            if score >= least and ((a, b) not in best or score > best[a, b][1]):
+                best[a, b] = (group, score, a, b)
+        return anonymize_text(t, list(best.values()))
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, languages: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else one(t, lang) for t, lang in zip(texts, languages)], dtype=object)
+
+    return run(text, language)

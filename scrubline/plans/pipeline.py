@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CleanConfig
-from ..operators import entities as E
 from ..operators import filters, language, normalize, recognizers, redact
 from ..operators.arrow_stage import arrow_stage
 
@@ -58,31 +57,30 @@ def clean(df: DataFrame, text_col: str = "text", cfg: CleanConfig | None = None,
     """
     cfg = cfg or CleanConfig()
     lm, stat, lang = (prefix + n for n in ("lm_text", "stat_text", "language"))
-    names = {n: f"__{n}" for n in ("raw", "entities")}
+    raw_name = "__raw"
+    while raw_name in df.columns:
+        raw_name += "_"
     raw = F.col(text_col).cast("string")
     if cfg.null_policy == "raise":
         raw = F.coalesce(raw, F.raise_error(F.lit("a text is null")).cast("string"))
-    blank = filters.is_blank(F.col(names["raw"]))
-    out = df.withColumn(names["raw"], raw)
+    blank = filters.is_blank(F.col(raw_name))
+    out = df.withColumn(raw_name, raw)
     if cfg.fixed_language:
         detected = F.lit(cfg.fixed_language)
     elif cfg.needs_language:
-        detected = language.detect_language(F.col(names["raw"]), cfg.languages)
+        detected = language.detect_language(F.col(raw_name), cfg.languages)
     else:
         detected = F.lit(None).cast("string")
-    out = out.withColumn(lang, F.when(~blank & F.col(names["raw"]).isNotNull(), detected))
-    staged = arrow_stage(F.col(names["raw"]), cfg.fix_unicode, cfg.to_ascii, cfg.replace_html, cfg.html_token)
+    out = out.withColumn(lang, F.when(~blank & F.col(raw_name).isNotNull(), detected))
+    staged = arrow_stage(F.col(raw_name), cfg.fix_unicode, cfg.to_ascii, cfg.replace_html, cfg.html_token)
     out = out.withColumn(lm, F.when(blank, F.lit("")).otherwise(redaction(staged, cfg)))
     if cfg.ner:
-        found = recognizers.recognize_column(F.col(lm), F.col(lang), cfg.entity_tags, cfg.recognizers, cfg.ner_chunk_words)
-        out = out.withColumn(names["entities"], found)
-        chosen = E.best_per_span(E.filter_confident(F.col(names["entities"]), cfg.ner_threshold))
-        out = out.withColumn(lm, E.anonymize(F.col(lm), chosen))
+        out = out.withColumn(lm, recognizers.anonymize_column(F.col(lm), F.col(lang), cfg.entity_tags, cfg.ner_threshold, cfg.recognizers, cfg.ner_chunk_words))
     if cfg.stat_text:
         out = out.withColumn(stat, statistics_text(F.col(lm), F.col(lang), cfg))
     if not (cfg.stat_text or cfg.detect_language):
         out = out.drop(lang)
-    return out.drop(*names.values())
+    return out.drop(raw_name)
 
 
 class TextCleaner:

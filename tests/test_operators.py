@@ -1,5 +1,7 @@
 """Golden rows of each operator, worked out by hand, and long runs that must not exhaust the JVM's stack."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ from scrubline.functions import (
     unescape_backslashes_column,
 )
 from scrubline.operators.arrow_stage import demojize
-from scrubline.operators.entities import ENTITIES
+from scrubline.operators.entities import ENTITIES, anonymize_text
 
 one_line = lambda t: normalize_whitespace(t, no_line_breaks=True)
 paragraphs = lambda t: normalize_whitespace(t, keep_two_line_breaks=True)
@@ -134,6 +136,16 @@ def test_anonymised_spans(spark):
     assert got == [want for _, want in cases]
 
 
+def test_python_anonymises_like_the_jvm(spark):
+    rng = random.Random(8)
+    text = "ab cd  ef gh ij kl mn"
+    cases = [[(rng.choice(["PER", "LOC", "ORG", "MISC"]), rng.choice([0.8, 0.9]), "", a, a + rng.randint(0, 7)) for a in (rng.randint(-1, 20) for _ in range(rng.randint(0, 7)))] for _ in range(400)]
+    cases = [list({(e[3], e[4]): e for e in c}.values()) for c in cases]  # one a span, as best_per_span leaves it
+    df = spark.createDataFrame(list(enumerate(cases)), f"i int, e {ENTITIES}")
+    got = [r[1] for r in sorted(df.select("i", anonymize(F.lit(text), F.col("e"))).collect())]
+    assert got == [anonymize_text(text, [(g, s, a, b) for g, s, _, a, b in c]) for c in cases]
+
+
 def test_long_runs_dont_exhaust_the_stack(spark):
     n = 100_000
     runs = ["a" * n, "\n" * n, "a-" * n, "[" * n, "$" * n, "1" * n, "1," * n, "a." * n, "www." + "a." * n, "x@" + "a-" * n, ". " * n, "1 111" * n, " \n" * n, "A." * n]
