@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, col, free_name, keyed, ship_package, small_enough
 from .textops import LOWER, NOT_WORD, mix, ngrams, slices, words
 
-N_HASHES, BANDS, ROWS = 128, 25, 5
+#: Pairs just at the threshold share a band with a probability of 1 - (1 - 0.5**4)**40 = 0.92.
+N_HASHES, BANDS, ROWS = 160, 40, 4
 SHINGLE_WORDS = 3
-THRESHOLD = 0.7
+#: Copies with a few words changed lie above it, documents that merely quote the same passage below.
+THRESHOLD = 0.5
 #: Hashes compared before each look at the posterior.
 BATCH = 16
 #: A pair is given up once the probability that it reaches the threshold is below this.
@@ -208,7 +210,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float =
     """(doc_id, kept_doc_id) for each document that is a near duplicate, or linked by a chain of such, of one before in order of id.
 
     Two texts are near duplicates if the Jaccard similarity of their sets of runs of 3 words (lower case, ASCII punctuation apart) is
-    ``threshold`` or more; that is verified exactly. Candidates share one of 25 bands of 5 MinHash values, and are given up
+    ``threshold`` or more; that is verified exactly. Candidates share one of 40 bands of 4 MinHash values, and are given up
     early if by Bayes' rule they reach the threshold with a probability below ``miss``. ``kept_doc_id`` is the least id of the
     group. Documents without near duplicates aren't listed.
 

@@ -1,0 +1,124 @@
+import math
+import random
+
+import numpy as np
+import pytest
+
+from scrubline.llm import minhash
+from scrubline.llm.common import Scratch
+from scrubline.llm.minhash import components, drop_near_duplicates, fewest_matches, near_duplicates, shingle_set, signature, survivors
+
+SF = "/root/testdata/sf0.01"
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
+def pairs_by_brute_force(texts, threshold):
+    sets = {i: shingle_set(t) for i, t in texts.items() if t}
+    by_shingle = {}
+    for i, s in sets.items():
+        for g in s:
+            by_shingle.setdefault(g, []).append(i)
+    near = {(min(a, b), max(a, b)) for own in by_shingle.values() for a in own for b in own if a != b}
+    return {p for p in near if jaccard(sets[p[0]], sets[p[1]]) >= threshold}
+
+
+def roots(pairs):
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return {x: find(x) for x in up if find(x) != x}
+
+
+def changed(rng, words, share):
+    return [f"n{rng.random()}" if rng.random() < share else w for w in words]
+
+
+def test_groups_of_documents_like_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = roots(pairs_by_brute_force({r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}, 0.5))
+    got = {r["doc_id"]: r["kept_doc_id"] for r in near_duplicates(docs).collect()}
+    assert len(set(got.items()) & set(want.items())) >= 0.95 * len(want)
+    assert set(got) <= set(want)
+
+
+def test_chains_and_hot_groups(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
+    texts = {100 + i: " ".join(changed(rng, base, 0.02)) for i in range(300)}
+    chain = [f"c{rng.randint(0, 10**6)}" for _ in range(60)]
+    for i in range(12):  # each like the one before, the last unlike the first
+        texts[1000 + i] = " ".join(chain)
+        chain = chain[5:] + [f"d{i}{j}" for j in range(5)]
+    texts |= {2000 + i: " ".join(f"x{rng.random()}" for _ in range(40)) for i in range(50)}
+    want = roots(pairs_by_brute_force(texts, 0.5))
+    got = {r["doc_id"]: r["kept_doc_id"] for r in near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)).collect()}
+    assert got == want
+    assert set(want.values()) == {100, 1000}
+
+
+def test_recall_of_pairs_at_each_similarity():
+    rng = np.random.Generator(np.random.PCG64(11))
+    for target in (0.5, 0.6, 0.8):
+        found = n = 0
+        for _ in range(150):
+            both = rng.integers(0, 1 << 32, 200, dtype=np.uint64).astype(np.uint32)
+            own = round(200 * (1 - target) / (2 * target))
+            a, b = (np.concatenate([both, rng.integers(0, 1 << 32, own, dtype=np.uint64).astype(np.uint32)]) for _ in range(2))
+            sa, sb = signature(a)[None], signature(b)[None]
+            n += 1
+            shared = any(minhash._band(sa, x)[0] == minhash._band(sb, x)[0] for x in range(minhash.BANDS))
+            found += bool(shared and survivors(sa, sb, 0.5, 1e-3)[0])
+        assert found >= 0.85 * n if target == 0.5 else found >= 0.95 * n
+
+
+def test_bounds_follow_the_posterior():
+    for step, least in enumerate(fewest_matches(160, 16, 0.5, 1e-3)):
+        n = 16 * (step + 1)
+
+        def tail(m, n=n):  # P(similarity >= 0.5 | m matches of n), by integration of the Beta density
+            x = np.linspace(0, 1, 200_001)[1:-1]
+            density = np.exp(m * np.log(x) + (n - m) * np.log1p(-x) + math.lgamma(n + 2) - math.lgamma(m + 1) - math.lgamma(n - m + 1))
+            return density[x >= 0.5].sum() * (x[1] - x[0])
+
+        assert tail(least) >= 1e-3 * 0.99
+        assert least == 0 or tail(least - 1) < 1e-3 * 1.01
+
+
+def test_unlike_pairs_are_given_up_early():
+    rng = np.random.Generator(np.random.PCG64(2))
+    a = rng.integers(0, 1 << 32, (50, minhash.N_HASHES), dtype=np.uint64).astype(np.uint32)
+    b = rng.integers(0, 1 << 32, (50, minhash.N_HASHES), dtype=np.uint64).astype(np.uint32)
+    assert not survivors(a, b, 0.5, 1e-3).any()
+    assert survivors(a, a, 0.5, 1e-3).all()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_like_union_find(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
+    got = {r["key"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()}
+    assert {k: v for k, v in got.items() if k != v} == roots([e for e in edges if e[0] != e[1]])
+
+
+def test_nulls_ties_and_other_columns(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, long, 1), (5, long, 2), (None, long.upper(), 3), (1, None, 4), (2, "", 5), (3, "...", 6), (4, "two words", 7), (6, "Two, words!", 8), (7, long + " " + " ".join(f"q{i}" for i in range(100_000)), 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __key int").selectExpr("*", "'x' as key", "'y' as sig")
+    out = drop_near_duplicates(df)
+    assert out.columns == df.columns
+    kept = {r["__key"] for r in out.collect()}
+    assert len(kept & {1, 2}) == 1 and 3 not in kept and {4, 5, 6, 7, 9} <= kept and 8 not in kept
+    listed = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["kept_doc_id"]) for r in near_duplicates(df).collect())
+    assert listed == [(False, 5, 5), (False, 6, 4), (True, 0, 5)]
+    assert near_duplicates(df.limit(0)).count() == 0
+    assert drop_near_duplicates(df.limit(0)).columns == df.columns
