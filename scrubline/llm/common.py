@@ -1,4 +1,4 @@
-"""What the operators share: shared-folder tables, checked broadcasts, row keys."""
+"""What the operators share: tables in the shared folder, filters before joins, row keys."""
 
 from __future__ import annotations
 
@@ -17,11 +17,10 @@ from pyspark.sql import functions as F
 
 from .textops import U64, mix
 
-#: A side of a join is broadcast only up to this estimated size; beyond it, the join shuffles.
-BROADCAST_BYTES = 24 << 20
-
-#: Texts go to Python in batches of about so many bytes while a table is written, so that a worker's memory stays small.
-BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+#: Texts go to Python in batches of about so many bytes, so that a worker's memory stays small, if the session leaves Spark's default.
+BATCH_SETTING, BATCH_BYTES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "8m", 64 << 20
+#: Up to so many keys (40 MB in memory) are broadcast as they are; beyond it a filter of them is.
+EXACT_KEYS = 1 << 19
 #: A filter of keys has so many bits a key, so many places for each, and at most so many bits (8 MB).
 FILTER_BITS, FILTER_PLACES, MOST_FILTER_BITS = 12, 4, 1 << 26
 
@@ -63,13 +62,8 @@ class Scratch:
         """``df`` as a table that has been written, with its path as ``.path``."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        schema, conf = df.schema, self.spark.conf
-        before = conf.get(BATCH_SETTING)
-        conf.set(BATCH_SETTING, BATCH_BYTES)
-        try:
-            df.write.parquet(path)
-        finally:
-            conf.set(BATCH_SETTING, before)
+        schema = df.schema
+        df.write.parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out.path = path
         return out
@@ -91,14 +85,6 @@ def _remove(spark: SparkSession, path: str) -> None:
             shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
-def small_enough(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows of ``row_bytes`` fit ``BROADCAST_BYTES``.
-
-    ``df`` should be a written table, so that counting reads only file footers.
-    """
-    return F.broadcast(df) if df.count() * (row_bytes + 40) <= BROADCAST_BYTES else df
-
-
 def _places(keys: np.ndarray, bits: int) -> np.ndarray:
     h = mix(keys.astype(np.int64).view(U64))
     step = mix(h) | U64(1)
@@ -106,12 +92,17 @@ def _places(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def likely_in(df: DataFrame, name: str, keys: DataFrame, apart: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
-    """The rows of ``df`` whose long column ``name`` is in the one column of ``keys`` (a written table), and about one in a hundred others.
+    """The rows of ``df`` whose long column ``name`` is in the one column of ``keys`` (a written table), and perhaps one in a hundred others.
 
-    Put before a join, so that rows without a partner aren't shuffled; a Bloom filter that is broadcast does it. Where
-    it would have over MOST_FILTER_BITS, all rows pass. With ``apart`` also the rows that aren't in ``keys``.
+    Put before a join, so that rows without a partner aren't shuffled. Up to EXACT_KEYS keys are broadcast themselves; for more, a
+    Bloom filter is. Where it would have over MOST_FILTER_BITS, all rows pass. With ``apart`` also the other rows.
     """
     n = keys.count()
+    if n <= EXACT_KEYS:
+        (other,) = free_name(df, "__in")
+        here = F.broadcast(keys.toDF(other))
+        found, rest = (df.join(here, col(name) == F.col(other), kind) for kind in ("left_semi", "left_anti"))
+        return (found, rest) if apart else found
     bits = 1 << max(10, (n * FILTER_BITS - 1).bit_length())
     if bits > MOST_FILTER_BITS:
         return (df, df.limit(0)) if apart else df
@@ -139,6 +130,12 @@ def likely_in(df: DataFrame, name: str, keys: DataFrame, apart: bool = False) ->
     return (df.filter(found), df.filter(~found)) if apart else df.filter(found)
 
 
+def without(df: DataFrame, name: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``name`` isn't in the one column of ``keys``, of a written table; only those are shuffled that likely are."""
+    some, others = likely_in(df, name, keys, apart=True)
+    return some.join(keys.toDF(name), name, "left_anti").select(*[col(c) for c in df.columns]).union(others)
+
+
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
     """Names like ``wanted`` that no column of ``df`` has, compared without case."""
     taken = {c.lower() for c in df.columns}
@@ -175,7 +172,9 @@ def keyed(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Lets Python workers on machines that share this checkout import the package."""
+    """Lets Python workers on machines that share this checkout import the package, and bounds the session's batches to Python."""
+    if spark.conf.get(BATCH_SETTING) in (str(BATCH_DEFAULT), f"{BATCH_DEFAULT}b", "64m", "64MB"):
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, col, free_name, keyed, ship_package, small_enough
-from .textops import U64, mix, slices
+from .common import Scratch, col, free_name, keyed, likely_in, ship_package, without
+from .textops import U64, slices
 
 #: Chunks end where a hash of the last 8 bytes has this many low bits zero: 1 KB on average.
 CUT_BITS = 10
@@ -114,8 +114,8 @@ def duplicates(docs: DataFrame, scratch: Scratch, key: str, text_col: str = "tex
     often = made.groupBy("digest").count().filter("count > 1").select("digest")
     same = scratch.write(made.join(often, "digest"))
 
-    members = small_enough(same.select("key"), 8)
-    parts = texts.join(members, "key").mapInArrow(_chunks(hash_bits), "key long, place int, hash binary, chunk binary")
+    members = same.select("key")
+    parts = likely_in(texts, "key", members).join(members, "key").mapInArrow(_chunks(hash_bits), "key long, place int, hash binary, chunk binary")
     distinct = parts.select("hash", "chunk").distinct()
     numbers = scratch.write(distinct.groupBy("hash").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("chunk")).alias("variants")).filter("n > 1").select("hash", "variants"))
     if numbers.head(1):  # hashes that collide: their chunks get numbers by their bytes
@@ -159,5 +159,4 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     (key,) = free_name(docs, "__key")
     rows = keyed(docs, scratch, id_col, text_col, key)
     found = duplicates(rows, scratch, key, text_col, hash_bits)
-    gone = small_enough(found.select(F.col("key").alias(key)), 8)
-    return rows.join(gone, key, "left_anti").select(*[col(c) for c in docs.columns])
+    return without(rows, key, found.select("key")).select(*[col(c) for c in docs.columns])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, col, free_name, keyed, ship_package, small_enough
+from .common import Scratch, col, free_name, keyed, likely_in, ship_package, without
 from .textops import LOWER, NOT_WORD, mix, ngrams, slices, words
 
 #: Pairs just at the threshold share a band with a probability of 1 - (1 - 0.5**4)**40 = 0.92.
@@ -177,13 +177,13 @@ def near_groups(docs: DataFrame, scratch: Scratch, key: str, text_col: str, thre
     members = scratch.write(rows.join(shared.select("band", "first"), "band"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ids = small_enough(scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()), 8)
-        own = sigs.select("key", "sig").join(ids, "key")
+        ids = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+        own = likely_in(sigs.select("key", "sig"), "key", ids)
         left = pairs.join(own.select(F.col("key").alias("a"), F.col("sig").alias("sa")), "a")
         both = left.join(own.select(F.col("key").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
         alive = scratch.write(both.mapInArrow(_prune(threshold, miss), "a long, b long"))
-        ids = small_enough(scratch.write(alive.select(F.explode(F.array("a", "b")).alias("key")).distinct()), 8)
-        own = texts.join(ids, "key")
+        ids = scratch.write(alive.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+        own = likely_in(texts, "key", ids)
         # a hot a is in many pairs: its text travels once a partition of its pairs, which b spreads
         left = alive.join(own.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
         both = left.join(own.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
@@ -234,5 +234,4 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: fl
     (key,) = free_name(docs, "__key")
     rows = keyed(docs, scratch, id_col, text_col, key)
     found = near_groups(rows, scratch, key, text_col, threshold, miss).filter("key <> root")
-    gone = small_enough(found.select(F.col("key").alias(key)), 8)
-    return rows.join(gone, key, "left_anti").select(*[col(c) for c in docs.columns])
+    return without(rows, key, found.select("key")).select(*[col(c) for c in docs.columns])

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, col
+from .common import Scratch, col, ship_package
 from .sharding import prefix_sums
 
 TIERS = (2048, 8192, 32768)
@@ -82,6 +82,7 @@ def pack(
     if tiers[0] < 1 or group_tokens < tiers[-1]:
         raise ValueError("tiers must be positive and fit in group_tokens")
     spark, last = docs.sparkSession, tiers[-1]
+    ship_package(spark)
     scratch = Scratch(spark, "pack")
     n = F.ceil(F.octet_length(col(text_col)) / F.lit(bytes_per_token)) if length_col is None else col(length_col)
     lengths = docs.select(col(id_col).cast("long").alias("doc_id"), n.cast("long").alias("n")).filter("n > 0")

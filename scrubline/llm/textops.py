@@ -10,7 +10,7 @@ import pyarrow as pa
 U64 = np.uint64
 _P, _Q = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 #: Bytes of text that are worked on at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def _powers(base: int, n: int) -> np.ndarray:
