@@ -43,13 +43,14 @@ def resolve(records: DataFrame) -> DataFrame:
     record's type, id and digest, the length, and for revisits the original's id and url.
 
     A digest that a record lacks is worked out from its payload; a response without payload has an empty one. A revisit without a
-    digest resolves to nothing. Rows with a null record id are passed over. Rows of equal record id and digest are one record, a
+    digest resolves to nothing. A record without a type is a response. Rows with a null record id are passed over. Rows of equal record id and digest are one record, a
     response before a revisit. Different digests under one record id are different records.
     """
     scratch = Scratch(records.sparkSession, "warc")
-    payload = F.when(F.col("warc_type") == "response", F.coalesce("payload", F.lit("")))
+    kind = F.when(F.col("warc_type") == "revisit", "revisit").otherwise("response")
+    payload = F.when(kind == "response", F.coalesce("payload", F.lit("")))
     digest = F.coalesce(F.col("digest"), F.concat(F.lit("sha1:"), F.sha1(payload)), F.lit(""))
-    base = records.filter("record_id is not null").select("record_id", F.when(F.col("warc_type") == "revisit", "revisit").otherwise("response").alias("warc_type"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("date", F.lit(DATE)).alias("date"), digest.alias("digest"), payload.alias("payload"))
+    base = records.filter("record_id is not null").select("record_id", kind.alias("warc_type"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("date", F.lit(DATE)).alias("date"), digest.alias("digest"), payload.alias("payload"))
     heads = base.groupBy("record_id", "digest").agg(F.min(F.struct("warc_type", "url", "date", F.coalesce(F.octet_length("payload"), F.lit(0)).alias("n"))).alias("h")).select("record_id", "digest", "h.*")
     heads = scratch.write(heads)
     originals = scratch.write(heads.filter("warc_type = 'response'").groupBy("digest").agg(F.min(F.struct("record_id", "url", "date", "n")).alias("original")))

@@ -1,0 +1,77 @@
+import gzip
+import hashlib
+
+from scrubline.llm.warc import FIELDS, capture, parse, read_archives, resolve, write_archives
+
+
+def digest(s):
+    return "sha1:" + hashlib.sha1(s.encode()).hexdigest()
+
+
+def brute(records):
+    """(record id, type, refers to, payload) of the output."""
+    unique = {}
+    for r in records:
+        if r[0] is None:
+            continue
+        kind = "revisit" if r[1] == "revisit" else "response"
+        payload = (r[6] or "") if kind == "response" else None
+        d = r[4] or (digest(payload) if payload is not None else "")
+        unique[r[0], d] = min(unique.get((r[0], d), (kind, payload)), (kind, payload))
+    first = {}
+    for (i, d), (kind, _) in unique.items():
+        if kind == "response":
+            first[d] = min(first.get(d, i), i)
+    out = []
+    for (i, d), (kind, payload) in unique.items():
+        original = kind == "response" and first[d] == i
+        out.append((i, "response" if original else "revisit", None if original or not d else first.get(d), payload if original else None))
+    return sorted(out, key=str)
+
+
+ROWS = [
+    ("b", "response", "u1", None, None, None, "same"),
+    ("a", "response", "u2", None, None, None, "same"),
+    ("c", "revisit", "u3", None, digest("same"), None, None),
+    ("d", "revisit", "u4", None, digest("lost"), None, None),
+    ("e", "revisit", None, None, None, None, None),
+    (None, "response", "u", None, None, None, "x"),
+    ("f", "response", None, None, None, None, None),
+    ("g", None, "u5", None, None, None, "only"),
+    ("g", "response", "u5", None, None, None, "only"),
+    ("g", "revisit", "u5", None, digest("only"), None, None),
+    ("g", "response", "u5", None, None, None, "other é"),
+    ("h", "response", "u6", None, None, None, "long é " * 50_000),
+]
+
+
+def test_like_brute_force(spark):
+    df = spark.createDataFrame(ROWS, FIELDS).repartition(4).selectExpr("*", "1 as h", "2 as n", "3 as original")
+    got = sorted(((r["record_id"], r["warc_type"], r["refers_to"], r["payload"]) for r in resolve(df).collect()), key=str)
+    assert got == brute(ROWS)
+    assert resolve(df.limit(0)).count() == 0
+
+
+def test_archives_are_written_and_read_back(spark, tmp_path):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    resolved = resolve(capture(pages)).repartition(3).cache()
+    for compress in (True, False):
+        path = f"{tmp_path}/{compress}"
+        files = write_archives(resolved, f"file://{path}", compress).collect()
+        assert sum(r["records"] for r in files) == resolved.count()
+        back = read_archives(spark, path)
+        want = {(r["warc_type"], r["url"], r["digest"], r["payload"]) for r in resolved.collect()}
+        assert {(r["warc_type"], r["url"], r["digest"], r["payload"]) for r in back.collect()} == want
+        ids = {r["record_id"] for r in back.collect()}
+        assert len(ids) == resolved.count() and {r["refers_to"] for r in back.filter("warc_type = 'revisit'").collect()} <= ids
+        again = resolve(back)
+        assert again.filter("warc_type = 'response'").count() == resolved.filter("warc_type = 'response'").count()
+
+
+def test_lengths_of_headers_fit_the_bodies(spark):
+    row = resolve(spark.createDataFrame([("a", "response", "u", None, None, None, "é" * 10)], FIELDS)).first()
+    assert row["payload_bytes"] == 20
+    body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: 20\r\n\r\n" + ("é" * 10).encode()
+    assert f"Content-Length: {len(body)}\r\n" in row["header"]
+    (record,) = parse(gzip.compress(row["header"].encode() + body + b"\r\n\r\n"))
+    assert record["payload"] == "é" * 10 and record["digest"] == digest("é" * 10)
