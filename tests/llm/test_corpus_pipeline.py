@@ -1,0 +1,83 @@
+"""Each stage of the pipeline against a brute-force version, on all that the one before kept."""
+
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+import corpus_pipeline
+from scrubline.llm import quality
+from scrubline.llm.common import Scratch
+from scrubline.llm.packing import TIERS
+from tests.llm.test_minhash import pairs_by_brute_force, roots
+from tests.llm.test_suffix_dedup import brute
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """The rows before and after each stage, by the stage's name."""
+    root, docs, out = tmp_path_factory.mktemp("stages"), spark.read.parquet(f"{SF}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(f"{root}/{name}")
+        after = spark.read.parquet(f"{root}/{name}")
+        out[name] = (docs.columns, [r.asDict() for r in docs.collect()], after.columns, [r.asDict() for r in after.collect()])
+        docs = after
+    return out
+
+
+def test_stages_come_in_order_and_keep_the_columns(stages):
+    assert list(stages) == ["quality", "exact_dedup", "near_dedup", "suffix_dedup", "packing"]
+    for name, (columns, before, after, rows) in stages.items():
+        assert before and rows and (name == "packing" or columns == after)
+
+
+def test_quality(spark, stages):
+    _, before, _, after = stages["quality"]
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    weights, known = quality.train(docs, labels, Scratch(spark, "test"), "doc_id", "text")
+    found = {r["doc_id"]: s for r, s in zip(before, quality.scores(pa.array([r["text"] for r in before]), weights))}
+    good = sorted(found[r["id"]] for r in known.filter("good").collect())
+    least = good[max(1, int(np.ceil(quality.QUANTILE * len(good)))) - 1]
+    assert {r["doc_id"] for r in after} == {i for i, s in found.items() if s >= least - 1e-9}
+
+
+def test_exact_dedup(stages):
+    _, before, _, after = stages["exact_dedup"]
+    first = {}
+    for r in sorted(before, key=lambda r: r["doc_id"]):
+        first.setdefault(r["text"], r)
+    assert sorted(after, key=lambda r: r["doc_id"]) == sorted(first.values(), key=lambda r: r["doc_id"])
+
+
+def test_near_dedup(stages):
+    _, before, _, after = stages["near_dedup"]
+    gone = roots(pairs_by_brute_force({r["doc_id"]: r["text"] for r in before}, 0.5))
+    kept = {r["doc_id"] for r in after}
+    assert {r["doc_id"] for r in before} - set(gone) <= kept
+    assert len(kept & set(gone)) <= 0.05 * len(gone)
+
+
+def test_suffix_dedup(stages):
+    _, before, _, after = stages["suffix_dedup"]
+    before.sort(key=lambda r: r["doc_id"])
+    after.sort(key=lambda r: r["doc_id"])
+    texts = brute([r["text"] for r in before], 50)
+    assert [r["text"] for r in after] == texts and [r["n_chars"] for r in after] == list(map(len, texts))
+
+
+def test_packing(stages):
+    _, before, _, after = stages["packing"]
+    want = {r["doc_id"]: -(-len(r["text"].encode()) // 4) for r in before if r["text"]}
+    got, used = defaultdict(int), defaultdict(int)
+    for r in after:
+        got[r["doc_id"]] += r["n_tokens"]
+        used[r["tier"], r["window_id"]] += r["n_tokens"]
+    assert got == want and all(n <= tier and tier in TIERS for (tier, _), n in used.items())
+
+
+def test_run_gives_the_last_stage(spark, stages):
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert sorted(map(tuple, rows), key=str) == sorted((tuple(r.values()) for r in stages["packing"][3]), key=str)
