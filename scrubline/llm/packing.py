@@ -12,6 +12,8 @@ from .common import Scratch, col, ship_package
 from .sharding import prefix_sums
 
 TIERS = (2048, 8192, 32768)
+#: Pieces that a cell has on average at most, however short they are.
+CELL_PIECES = 100_000
 
 
 def pack_tiers(pieces: list[tuple], tiers: tuple[int, ...]) -> list[tuple[int, list[tuple[int, int, tuple]]]]:
@@ -68,7 +70,7 @@ def pack(
 
     A document's length is ``length_col`` if given, else its UTF-8 bytes over ``bytes_per_token``, rounded up. A document longer than
     the last tier is cut into pieces of that length and a rest. Pieces are spread by hash over cells of about
-    ``cell_tokens`` tokens, so that a task packs one cell at a time, whatever the input's size; a cell is packed by ``pack_tiers``. Only ids
+    ``cell_tokens`` tokens, or CELL_PIECES pieces if they are short, so that a task packs one cell at a time, whatever the input's size; a cell is packed by ``pack_tiers``. Only ids
     and lengths are shuffled. ``doc_start`` is the piece's first token in the document, ``window_start`` its first in the window.
 
     Step groups have ``group_tokens`` tokens of windows each of one tier (the last of a tier may have fewer). Windows
@@ -88,8 +90,8 @@ def pack(
     lengths = docs.select(col(id_col).cast("long").alias("doc_id"), n.cast("long").alias("n")).filter("n > 0")
     pieces = lengths.select("doc_id", F.posexplode(F.expr(f"transform(sequence(0L, (n - 1) div {last}L), i -> struct(i * {last}L as doc_start, cast(least(n - i * {last}L, {last}L) as int) as n_tokens))")).alias("piece", "p")).select("doc_id", "piece", "p.doc_start", "p.n_tokens")
     pieces = scratch.write(pieces)
-    total = pieces.agg(F.sum("n_tokens")).first()[0] or 0
-    cells = max(1, -(-total // cell_tokens))
+    n_pieces, total = pieces.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    cells = max(1, -(-total // cell_tokens), -(-n_pieces // CELL_PIECES))
 
     def pack_cell(cell: pd.DataFrame) -> pd.DataFrame:
         rows, c = [], int(cell["cell"].iloc[0])
