@@ -91,7 +91,7 @@ NARROW_BREAKS = r"(?:\r\n|[\n\x0B])++"
 NOT_BEFORE_BREAK = rf"(?!\n)[{SPACE}]++"
 OUTER = rf"\A[{SPACE}]++|(?<![{SPACE}])[{SPACE}]++\z"
 
-ACRONYM = rf"(?<![{WORD}])(?:{times('(?:[A-Z][.]?[-a-z0-9&/]?)', 1, GROUPS)}(?:[A-Z][.s]?|[0-9]s?)|[0-9](?:-?[A-Z])++)(?![{WORD}])".replace("[-a-z0-9&/]", "[a-z0-9&/-]")
+ACRONYM = rf"(?<![{WORD}])(?:{times('(?:[A-Z][.]?[-a-z0-9&/]?)', 1, GROUPS)}(?:[A-Z][.s]?|[0-9]s?)|[0-9]{times('(?:-?[A-Z])', 1, GROUPS)})(?![{WORD}])".replace("[-a-z0-9&/]", "[a-z0-9&/-]")
 SENTENCE_GAP = rf"(?<=[!.?])[{SPACE}]+(?=[^{DIGIT}])"
 
 

@@ -271,7 +271,9 @@ def _unnested(listed: str) -> str:
 
 _add("sentence_split", _exploded(filters.split_sentences), _unnested("string_split(" + _sub("text", r"([!?.])\s+([^0-9])", "\\1\x01\\2") + ", chr(1))"))
 _add("chunk_split", _exploded(lambda t: entities.split_chunks(t, CHUNK_WORDS)), _unnested(rf"regexp_extract_all(text, '\s*(?:\S+\s*){{1,{CHUNK_WORDS}}}')"))
-_add("acronyms", _exploded(filters.extract_acronyms))
+_marked = _sub(_sub("text", f"([{ACCENTED}])", r"Zq\1qZ"), r"([A-Z][.])(\W|$)", "\\1\x01\\2")  # a mark where a point may end an acronym
+_acronym = "\\b(?:(?:[A-Z](?:[.]\x01?)?[&/0-9a-z-]?)+(?:[A-Z][.]\x01|[A-Z]s?\\b|[0-9]s?\\b)|[0-9](?:-?[A-Z])+\\b)"
+_add("acronyms", _exploded(filters.extract_acronyms), _unnested(f"list_transform(regexp_extract_all({_marked}, {_quoted(_acronym)}), lambda a: replace(a, chr(1), ''))"))
 
 
 def _blank(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,7 +113,8 @@ def test_lists(spark):
     row = df.select(split_sentences(F.col("t")), split_chunks(F.col("t"), 2), split_chunks(F.lit("  "), 2), extract_acronyms(F.lit("The U.S. and NATO's R&D2, 3-D but not Abc"))).first()
     assert row[0] == ["One.", "Two! 3 is. 4 no?", "Yes"]
     assert row[1] == ["One. Two! ", "3 is. ", "4 no? ", "Yes"] and "".join(row[1]) == "One. Two! 3 is. 4 no? Yes"
-    assert row[2] == [] and row[3][:2] == ["U.S.", "NATO"]
+    assert row[2] == [] and row[3] == ["U.S.", "NATO", "R&D2", "3-D"]
+    assert df.select(extract_acronyms(F.lit("3AB-Cx A.B.c éAB ABé PCs"))).first()[0] == ["3AB", "A.B", "PCs"]
 
 
 def test_languages(spark):
