@@ -10,6 +10,7 @@ from scrubline.llm.minhash import drop_near_duplicates
 from scrubline.llm.packing import pack
 from scrubline.llm.quality import drop_poor
 from scrubline.llm.suffix_dedup import remove_repeats
+from scrubline.llm.token_counts import token_counts
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +36,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document goes in windows of several lengths."""
-    return pack(docs)
+    """Where each document goes in windows of several lengths, by its real tokens."""
+    return pack(token_counts(docs), length_col="n_tokens")
 
 
 STAGES = [

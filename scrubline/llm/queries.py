@@ -29,8 +29,9 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
+    from .token_counts import token_counts
 
-    return pack(_table(spark, sf_dir, "documents"))
+    return pack(token_counts(_table(spark, sf_dir, "documents")), length_col="n_tokens")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
