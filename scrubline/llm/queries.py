@@ -53,9 +53,9 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .warc import capture, resolve
+    from .warc import archive, capture
 
-    return resolve(capture(_table(spark, sf_dir, "pages")))
+    return archive(capture(_table(spark, sf_dir, "pages")))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

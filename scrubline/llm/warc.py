@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import gzip
 import io
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, col, ship_package
+from .common import Scratch, col, shared_folder, ship_package
 
 DATE = "2026-01-01T00:00:00Z"
 FIELDS = "record_id string, warc_type string, url string, date string, digest string, refers_to string, payload string"
@@ -136,6 +137,18 @@ def write_archives(resolved: DataFrame, path: str, compress: bool = True) -> Dat
     return resolved.select("header", "payload").mapInArrow(write, "file string, records long, bytes long")
 
 
+def archive(records: DataFrame, path: str | None = None, compress: bool = True) -> DataFrame:
+    """The rows of ``resolve``, once they are written as archives too, with the archives' folder as ``.archives``.
+
+    ``path`` is that of ``write_archives``; without one it is a new folder in the shared folder, which stays.
+    """
+    spark = records.sparkSession
+    out = Scratch(spark, "archive").write(resolve(records))
+    out.archives = path or f"{shared_folder(spark)}/scrubline/archives-{uuid.uuid4().hex}"
+    write_archives(out, out.archives, compress).collect()
+    return out
+
+
 def parse(data: bytes) -> Iterator[dict]:
     """The records of a WARC file, plain or compressed, as dicts of ``FIELDS``; a payload that isn't UTF-8 has U+FFFD in it."""
     stream = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)

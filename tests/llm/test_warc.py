@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 
+from scrubline.llm import queries
 from scrubline.llm.warc import FIELDS, capture, parse, read_archives, resolve, write_archives
 
 
@@ -75,3 +76,10 @@ def test_lengths_of_headers_fit_the_bodies(spark):
     assert f"Content-Length: {len(body)}\r\n" in row["header"]
     (record,) = parse(gzip.compress(row["header"].encode() + body + b"\r\n\r\n"))
     assert record["payload"] == "é" * 10 and record["digest"] == digest("é" * 10)
+
+
+def test_registered_query_writes_its_archives(spark):
+    rows = queries.op8_warc(spark, "/root/testdata/sf0.001")
+    back = read_archives(spark, rows.archives).collect()
+    want = [(r["warc_type"], r["url"], r["digest"], r["payload"]) for r in rows.collect()]
+    assert want and sorted(((r["warc_type"], r["url"], r["digest"], r["payload"]) for r in back), key=str) == sorted(want, key=str)
