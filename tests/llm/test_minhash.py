@@ -81,6 +81,17 @@ def test_recall_of_pairs_at_each_similarity():
         assert found >= 0.85 * n if target == 0.5 else found >= 0.95 * n
 
 
+def test_recall_of_pairs_just_at_the_threshold():
+    rng, found, n = np.random.Generator(np.random.PCG64(12)), 0, 1500
+    for _ in range(n):
+        both = rng.integers(0, 1 << 32, 200, dtype=np.uint64).astype(np.uint32)
+        a, b = (np.concatenate([both, rng.integers(0, 1 << 32, 100, dtype=np.uint64).astype(np.uint32)]) for _ in range(2))
+        sa, sb = signature(a)[None], signature(b)[None]
+        shared = any(minhash._band(sa, x)[0] == minhash._band(sb, x)[0] for x in range(minhash.BANDS))
+        found += bool(shared and survivors(sa, sb, 0.5, 1e-3)[0])
+    assert found >= 0.9 * n
+
+
 def test_bounds_follow_the_posterior():
     for step, least in enumerate(fewest_matches(160, 16, 0.5, 1e-3)):
         n = 16 * (step + 1)
