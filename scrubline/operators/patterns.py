@@ -51,11 +51,14 @@ PHONE = f"{after_none_of(WORD + ')')}{_COUNTRY}{_AREA}{_d(3)}{_GAP}{_d(4)}{_EXTE
 HOST = rf"[0-9:-@A-Za-z\[\\{FOLDED}]"
 _LABEL = f"{HOST}++(?:-{HOST}++)*+"
 DOMAIN = rf"{_LABEL}{times(rf'(?:\.{_LABEL})', 0, GROUPS)}\.{times(HOST, 2)}"
-_LOCAL = f"[-+{WORD}]{{1,1000}}+"
+_LOCAL = f"[-+{WORD}]++"
 _AT = r"(?:@|[(<{\[][aA][tT][)>}\]])"
 #: What a text must hold to have an e-mail address, or a URL.
 ANY_AT, ANY_SCHEME = _AT, r"://|[wW]{3}"
-EMAIL = rf"{after_none_of(WORD + '@.)')}{_LOCAL}(?:\.{_LOCAL})*+{_AT}{DOMAIN}"
+#: Where a local part may begin: not after - or +, as it began earlier then; but there too if its run isn't long, or it's the first such place
+#: after a sign that none begins after. At every - and +, a long run would be read again and again.
+_BEGIN = f"(?>(?<![-+])|(?![-+{WORD}]{{1001}})|(?<=[@.)][{WORD}]{{0,1000}}[-+]))"
+EMAIL = rf"{after_none_of(WORD + '@.)')}{_BEGIN}{_LOCAL}(?:\.{_LOCAL})*+{_AT}{DOMAIN}"
 
 
 def _octets(n: int) -> str:

@@ -76,3 +76,12 @@ def test_symbol_runs_like_python(spark):
 
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", remove_symbol_runs(F.col("t")).alias("x")).collect()
     assert [r["x"] for r in rows] == [python(r["t"]) for r in rows]
+
+
+def test_long_local_parts_are_replaced_whole(spark):
+    runs = ["a" * 1001, "é" * 5000, "a-" * 3000 + "b", "+" * 2000, "a." + "b" * 4000, "a" * 200_000]
+    texts = [(f"{before}{r}@x.com, c", f"{before}<EMAIL>, c") for r in runs for before in ("", "to ", "%")]
+    texts += [(f"x.-{r}@x.com", "<EMAIL>") for r in runs] + [(f"){w}-{r}@x.com", f"){w}-<EMAIL>") for r in runs for w in ("", "b")]
+    texts += [("a@b.com " + "a-" * 100_000, "<EMAIL> " + "a-" * 100_000), ("@" + "-" * 100_000, "@" + "-" * 100_000)]
+    rows = spark.createDataFrame(texts, "t string, want string").select(replace_emails(F.col("t")).alias("x"), "want").collect()
+    assert not [k for k, r in enumerate(rows) if r["x"] != r["want"]]
