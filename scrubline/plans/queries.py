@@ -356,6 +356,15 @@ def _sql_anonymized() -> str:
 
 _add("anonymize", _anonymized, _sql_anonymized())
 
+
+def _anonymized_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``_anonymized``, all over a text; without SQL, tests compare with brute force."""
+    spans = F.expr("transform(sequence(0, CAST(length(text) DIV 10 AS INT)), i -> struct(CASE i % 4 WHEN 0 THEN 'PER' WHEN 1 THEN 'LOC' WHEN 2 THEN 'ORG' ELSE 'MISC' END AS entity_group, 0.9D AS score, '' AS word, i * 10 + 2 AS start, i * 10 + 7 AS `end`))")
+    return _table(spark, sf_dir, "documents").select("doc_id", entities.anonymize(F.col("text"), spans).alias("result"))
+
+
+_add("anonymize_whole", _anonymized_whole)
+
 # --- whole plans ----------------------------------------------------------------------------------------------------
 
 CONFIG = CleanConfig(ner=False, languages=LANGUAGES)
