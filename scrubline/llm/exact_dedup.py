@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, col, free_name, keyed, likely_in, ship_package, without
+from .common import Scratch, col, free_name, keyed, ship_package, with_ids, within, without
 from .textops import U64, slices
 
 #: Chunks end where a hash of the last 8 bytes has this many low bits zero: 1 KB on average.
@@ -115,7 +115,7 @@ def duplicates(docs: DataFrame, scratch: Scratch, key: str, text_col: str = "tex
     same = scratch.write(made.join(often, "digest"))
 
     members = same.select("key")
-    parts = likely_in(texts, "key", members).join(members, "key").mapInArrow(_chunks(hash_bits), "key long, place int, hash binary, chunk binary")
+    parts = within(texts, "key", members).mapInArrow(_chunks(hash_bits), "key long, place int, hash binary, chunk binary")
     distinct = parts.select("hash", "chunk").distinct()
     numbers = scratch.write(distinct.groupBy("hash").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("chunk")).alias("variants")).filter("n > 1").select("hash", "variants"))
     if numbers.head(1):  # hashes that collide: their chunks get numbers by their bytes
@@ -136,23 +136,23 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(doc_id, kept_doc_id) for each document whose text, byte for byte, one before in order of id has.
 
     ``kept_doc_id`` is the first with that text. Documents of which there is one only aren't listed. Null texts
-    equal nothing; empty texts equal each other. Null ids come after all others; rows with equal ids are
-    separate documents (in order of a hash of the text) and may be listed with the same id twice. No documents, no rows. Other
+    equal nothing; empty texts equal each other. Ids may be of any type that sorts, and are returned in it. Null ids come after all others; rows
+    with equal ids are separate documents (in order of a hash of the text) and may be listed with the same id twice. No documents, no rows. Other
     columns are ignored. ``hash_bits`` below 128 is for tests of colliding hashes.
     """
     spark = docs.sparkSession
     ship_package(spark)
     scratch = Scratch(spark, "exact")
-    rows = keyed(docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")), scratch, "doc_id", "text")
-    found = duplicates(rows, scratch, "__key", "text", hash_bits)
-    if not hasattr(rows, "path"):  # the ids are the keys
-        return found.select(F.col("key").alias("doc_id"), F.col("kept").alias("kept_doc_id"))
-    ids = rows.select("__key", "doc_id")
-    return found.join(ids.withColumnRenamed("__key", "key"), "key").drop("key").join(ids.select(F.col("__key").alias("kept"), F.col("doc_id").alias("kept_doc_id")), "kept").select("doc_id", "kept_doc_id")
+    rows = keyed(docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")), scratch, "doc_id", "text")
+    return with_ids(duplicates(rows, scratch, "__key", "text", hash_bits), rows, "doc_id", "kept_doc_id")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 128) -> DataFrame:
-    """``docs`` without the documents that ``exact_duplicates`` lists; all columns, null texts kept."""
+    """``docs`` without the documents that ``exact_duplicates`` lists; all columns, whatever their names.
+
+    Null texts all stay, of empty ones the first does. Of rows with equal ids and texts one stays. Ids of any type stay as they are.
+    No documents, no rows.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     scratch = Scratch(spark, "exact")

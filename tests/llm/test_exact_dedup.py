@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from scrubline.llm import common
 from scrubline.llm.exact_dedup import cuts, drop_exact_duplicates, exact_duplicates, marks
 
 TEXTS = ["same", "same", "other", "", "", None, None, "Same", "same "]
@@ -48,3 +49,28 @@ def test_chunks_make_up_the_text_and_follow_the_content():
     moved = np.concatenate([data[:1000][::-1], data])
     again = {e - 1000 for e in cuts(moved, 0, len(moved), marks(moved))}
     assert len(again & set(ends)) > 0.9 * len(ends)
+
+
+IDS = [(["0", "1", "01"], "string"), ([0.5, 1.2, 1.7], "double"), (["0.5", "1.2", "1.7"], "decimal(5,1)"), (["b", "a", "é"], "string")]
+
+
+@pytest.mark.parametrize("ids,kind", IDS)
+def test_ids_that_are_no_whole_numbers(spark, ids, kind):
+    df = spark.createDataFrame(list(zip(map(str, ids), ["copy", "only", "copy"])), "i string, text string").selectExpr(f"cast(i as {kind}) as doc_id", "text")
+    out = drop_exact_duplicates(df)
+    assert sorted(r["text"] for r in out.collect()) == ["copy", "only"] and out.dtypes == df.dtypes
+    (pair,) = exact_duplicates(df).collect()
+    copies = [r["doc_id"] for r in df.collect() if r["text"] == "copy"]
+    assert [pair["kept_doc_id"], pair["doc_id"]] == sorted(copies)
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 0])
+def test_like_brute_force_when_keys_are_too_many_to_broadcast(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "EXACT_KEYS", 0)
+    monkeypatch.setattr(common, "MOST_FILTER_BITS", bits)
+    rows = [(i, f"text {i % 40} " * (1 + i % 7)) for i in range(300)]
+    assert sorted(tuple(r) for r in exact_duplicates(frame(spark, rows)).collect()) == brute(rows)
+    kept = {r["doc_id"] for r in drop_exact_duplicates(frame(spark, rows)).collect()}
+    assert kept == {i for i, _ in rows} - {i for i, _ in brute(rows)}
+    texts = [(str(i), t) for i, t in rows]
+    assert drop_exact_duplicates(spark.createDataFrame(texts, "doc_id string, text string")).count() == len({t for _, t in rows})
