@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, col, ship_package
+from .common import EXACT_KEYS, WHOLE, Scratch, col, kind_of, ship_package
 
 #: Scores are cosines rounded to so many decimals, so that they and their ties are the same on any machine.
 DECIMALS = 6
@@ -27,37 +28,48 @@ def exact_top_k(
     bins: int = 128,
     rounds: int = 3,
     candidates: int = 4,
+    leave_out_own: bool = False,
 ) -> DataFrame:
     """The ``k`` rows of ``vectors`` most like each query by cosine, as (query_id, neighbor_id, rank, score).
 
-    Without ``queries`` every row is a query and isn't its own neighbour; with it, no row is left out. All
-    pairs are scored, in blocks. Each pass adds up per-query histograms of the scores in the range that
+    Without ``queries`` every row is a query and isn't its own neighbour; with it, no row is left out unless ``leave_out_own`` says
+    that rows with the query's id are. All pairs are scored, in blocks. Each pass adds up per-query histograms of the scores in the range that
     holds the query's kth value, and narrows the range to that bin, until at most ``candidates * k`` scores are at or
     above it, or ``rounds`` passes are over. Pairs at or above the range's lower end are then scored anew in
-    float64 and a fixed order, and ranked by (score rounded to 6 decimals, higher first, then id, lower first).
+    float64 and a fixed order, and ranked by (score rounded to 6 decimals, higher first, then id, lower first); of a query and a block at most ``k``
+    go on to be ranked with those of other blocks, however many tie.
 
-    Rows with a null id, a null or empty vector, a null or NaN or infinite component are no queries and no
-    neighbours. A zero vector scores 0 with all. The vectors must agree in length, else the call fails. If
-    there are fewer than ``k`` others, all are returned. Repeated ids: each row is a neighbour of its own; rows
-    with a query's id aren't its neighbours, and repeated query ids give one query (the largest row by value). No
+    Ids may be of any type that sorts, and are returned in it. Rows with a null id, a null or empty vector, a null or NaN or infinite component
+    are no queries and no neighbours, nor are those whose vector is of another length than most of ``vectors`` are (of equally frequent lengths
+    the longest counts). A zero vector scores 0 with all. If there are fewer than ``k`` others, all are returned. Repeated ids: each row is
+    a neighbour of its own; rows with a query's id aren't its neighbours where those are left out, and repeated query ids give one query (the largest row by value). No
     rows give no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
     ship_package(spark)
     scratch = Scratch(spark, "topk")
-    own = queries is None
-    n_dim = _dimensions(vectors, vector_col)
-    base = _blocks(vectors, id_col, vector_col, block, n_dim, False)
-    left = scratch.write(_blocks(vectors if own else queries, id_col, vector_col, block, n_dim, True).select(F.col("b").alias("qb"), F.col("ids").alias("qi"), F.col("m").alias("qm")))
-    right = scratch.write(base.select("b", "ids", "m"))
+    own = queries is None or leave_out_own
+    asked = vectors if queries is None else queries
+    vectors, asked = (d.select(col(id_col).alias("id"), col(vector_col).cast("array<double>").alias("v")) for d in (vectors, asked))
+    n_dim = _dimensions(vectors)
+    ids = None
+    if kind_of(vectors, "id") not in WHOLE or kind_of(asked, "id") not in WHOLE:
+        every = (vectors if queries is None else vectors.unionByName(asked)).select("id").filter("id is not null").distinct()
+        ids = scratch.write(every.repartitionByRange("id").sortWithinPartitions("id").select("id", F.monotonically_increasing_id().alias("key")))
+        here = F.broadcast(ids) if ids.count() <= EXACT_KEYS else ids
+        vectors, asked = (d.join(here, "id").select(F.col("key").alias("id"), "v") for d in (vectors, asked))
+    left = scratch.write(_blocks(asked, block, n_dim, True).select(F.col("b").alias("qb"), F.col("ids").alias("qi"), F.col("m").alias("qm")))
+    right = scratch.write(_blocks(vectors, block, n_dim, False))
     pairs = left.crossJoin(right)
 
     ranges = None
     for turn in range(rounds):
         todo = pairs if ranges is None else left.join(ranges.select("qb", "lo", "hi", "above", "open").filter("open"), "qb").crossJoin(right)
         cols = ["qb", "qi", "qm", "b", "ids", "m", *([] if ranges is None else ["lo", "hi"])]
-        counts = todo.select(*cols).mapInArrow(_counter(n_dim, bins, own), "qb long, counts binary")
-        counts = counts.groupBy("qb").agg(F.collect_list("counts").alias("counts"))
+        counts = todo.select(*cols).mapInArrow(_counter(n_dim, bins, own), "qb long, salt int, counts binary")
+        for by in (["qb", "salt"], ["qb"]):  # a task adds up a part of a block's histograms, then one their sums, each holding one at a time
+            counts = counts.repartition(*by).sortWithinPartitions(*by).mapInArrow(_adder(bins), "qb long, salt int, counts binary")
+        counts = counts.select("qb", "counts")
         known = counts if ranges is None else counts.join(ranges, "qb", "right")
         prior = [] if ranges is None else ["lo", "hi", "above", "open"]
         ranges = scratch.write(known.select("qb", "counts", *prior).mapInArrow(_narrower(k, bins, candidates), "qb long, lo binary, hi binary, above binary, open boolean"))
@@ -66,21 +78,34 @@ def exact_top_k(
 
     found = left.join(ranges.select("qb", "lo"), "qb").crossJoin(right)
     found = found.select("qb", "qi", "qm", "b", "ids", "m", "lo").mapInArrow(_finder(n_dim, own, k), "query_id long, neighbor_id long, score double")
-    from pyspark.sql import Window
-
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("neighbor_id"))
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "neighbor_id", "rank", "score")
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "neighbor_id", "rank", "score")
+    if ids is not None:
+        for n in ("query_id", "neighbor_id"):
+            ranked = ranked.join(ids.select(F.col("key").alias(n), F.col("id").alias("own_id")), n).drop(n).withColumnRenamed("own_id", n)
+    return ranked.select("query_id", "neighbor_id", "rank", "score")
+
+
+_PROPER = "id is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
+
 
+def _dimensions(vectors: DataFrame) -> int:
+    row = vectors.filter("size(v) > 0").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    return row["n"] if row else 1
 
-def _dimensions(vectors: DataFrame, vector_col: str) -> int:
-    row = vectors.select(F.max(F.size(col(vector_col))).alias("n")).first()
-    return max(int(row["n"] or 0), 1)
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows of length 1; zero stays zero. Rows whose squares would overflow or vanish are scaled first."""
+    most = np.abs(m).max(axis=1, keepdims=True)
+    far = (most > 1e150) | ((most < 1e-150) & (most > 0))
+    m = np.where(far, m / np.where(far, most, 1), m)
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
-def _blocks(df: DataFrame, id_col: str, vector_col: str, block: int, n_dim: int, distinct: bool) -> DataFrame:
-    """Rows (b, ids, m) of up to ``block`` unit vectors in float32 and then in float64 as bytes."""
-    v = col(vector_col).cast("array<double>")
-    df = df.select(col(id_col).cast("long").alias("id"), v.alias("v")).filter("id is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
+
+def _blocks(df: DataFrame, block: int, n_dim: int, distinct: bool) -> DataFrame:
+    """Rows (b, ids, m) of up to ``block`` unit vectors in float64 as bytes."""
+    df = df.select(F.col("id").cast("long").alias("id"), "v").filter(_PROPER).filter(F.size("v") == n_dim)
     if distinct:
         df = df.groupBy("id").agg(F.max("v").alias("v"))
 
@@ -90,18 +115,13 @@ def _blocks(df: DataFrame, id_col: str, vector_col: str, block: int, n_dim: int,
         b, ids, rows = TaskContext.get().partitionId() << 32, [], []
 
         def out() -> pa.RecordBatch:
-            m = np.concatenate(rows)
-            norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-            unit = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+            unit = _unit(np.concatenate(rows))
             return pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([np.concatenate(ids).astype(np.int64).tobytes()], pa.binary()), pa.array([unit.tobytes()], pa.binary())], ["b", "ids", "m"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             i, arr = batch.column(0).to_numpy(), batch.column(1)
-            sizes = np.diff(arr.offsets.to_numpy())
-            if (sizes != n_dim).any():
-                raise ValueError(f"a vector hasn't {n_dim} components")
             m = arr.flatten().to_numpy().reshape(-1, n_dim)
             while len(i):
                 room = block - sum(map(len, ids))
@@ -162,28 +182,47 @@ def _counter(n_dim: int, bins: int, own: bool):
         for qb, c in sums.items():
             yield _row(qb, c)
 
-    def _row(qb: int, c: np.ndarray) -> pa.RecordBatch:
-        import zlib
+    return count
+
 
-        return pa.RecordBatch.from_arrays([pa.array([qb], pa.int64()), pa.array([zlib.compress(c.astype(np.int64).tobytes(), 1)], pa.binary())], ["qb", "counts"])
+def _row(qb: int, c: np.ndarray) -> pa.RecordBatch:
+    """A histogram as a row, with the number of its task modulo 64 as salt."""
+    from pyspark import TaskContext
 
-    return count
+    return pa.RecordBatch.from_arrays([pa.array([qb], pa.int64()), pa.array([TaskContext.get().partitionId() % 64], pa.int32()), pa.array([zlib.compress(c.astype(np.int64).tobytes(), 1)], pa.binary())], ["qb", "salt", "counts"])
+
+
+def _adder(bins: int):
+    """The sum of the histograms of each block of queries, of rows sorted by block."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total = None, None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                qb, c = batch.column(0)[r].as_py(), np.frombuffer(zlib.decompress(batch.column(2)[r].as_py()), np.int64).reshape(-1, bins)
+                if qb != own:
+                    if own is not None:
+                        yield _row(own, total)
+                    own, total = qb, np.zeros_like(c)
+                total = total + c
+        if own is not None:
+            yield _row(own, total)
+
+    return add
 
 
 def _narrower(k: int, bins: int, candidates: int):
-    """Adds up the histograms of a block of queries and moves each query's range to the bin of its kth value."""
+    """Takes the histograms of a block of queries and moves each query's range to the bin of its kth value."""
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
         for batch in batches:
             for r in range(batch.num_rows):
-                qb, parts = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
+                qb, raw = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
                 prior = batch.num_columns > 2
                 if prior and not batch.column(5)[r].as_py():
                     yield pa.RecordBatch.from_arrays([pa.array([qb], pa.int64()), *(pa.array([batch.column(c)[r].as_py()], pa.binary()) for c in (2, 3, 4)), pa.array([False])], ["qb", "lo", "hi", "above", "open"])
                     continue
-                c = sum(np.frombuffer(zlib.decompress(p), np.int64).reshape(-1, bins) for p in parts)
+                c = np.frombuffer(zlib.decompress(raw), np.int64).reshape(-1, bins)
                 n = len(c)
                 if prior:
                     lo, hi, above = (np.frombuffer(batch.column(x)[r].as_py(), np.float64) for x in (2, 3, 4))
@@ -221,6 +260,10 @@ def _finder(n_dim: int, own: bool, k: int):
                 exact = np.zeros(len(q))
                 for d in range(n_dim):  # in this order on any machine
                     exact += a[q, d] * b[at, d]
-                yield pa.RecordBatch.from_arrays([pa.array(qi[q]), pa.array(ids[at]), pa.array(np.round(exact, DECIMALS) + 0.0)], ["query_id", "neighbor_id", "score"])
+                exact, near = np.round(exact, DECIMALS) + 0.0, ids[at]
+                order = np.lexsort((near, -exact, q))
+                place = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+                best = order[place < k]
+                yield pa.RecordBatch.from_arrays([pa.array(qi[q[best]]), pa.array(near[best]), pa.array(exact[best])], ["query_id", "neighbor_id", "score"])
 
     return find

@@ -1,7 +1,8 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from scrubline.llm.topk import exact_top_k
+from scrubline.llm.topk import _finder, exact_top_k
 
 
 def brute(rows, k):
@@ -48,3 +49,43 @@ def test_rows_that_are_no_vectors(spark):
 def test_queries_apart_from_the_vectors(spark):
     base, asked = frame(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0])]), frame(spark, [(1, [1.0, 0.1])])
     assert [i for i, _ in found(exact_top_k(base, asked, k=2))[1]] == [1, 2]
+
+
+def test_a_querys_own_id_is_left_out_if_asked(spark):
+    rng = np.random.Generator(np.random.PCG64(5))
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(90)]
+    df = frame(spark, rows)
+    want = brute(rows, 4)
+    assert found(exact_top_k(df, df.filter("vec_id % 20 = 0"), k=4, block=8, leave_out_own=True)) == {q: want[q] for q in range(0, 90, 20)}
+
+
+def test_many_equal_vectors_send_k_of_each_block_to_the_ranking(spark):
+    """20,000 equal vectors tie with each other: a query and block send k rows, not a row for each vector."""
+    n, k, block = 20_000, 3, 1024
+    df = spark.range(n).selectExpr("id as vec_id", "array(1.0F, 2.0F, 3.0F) as embedding").repartition(4)
+    out = exact_top_k(df, df.filter("vec_id % 2000 = 7"), k=k, block=block)
+    got = found(out)
+    assert got == {q: [(i, 1.0) for i in range(4) if i != q][:k] for q in range(7, n, 2000)}
+    one = np.ones((block, 1)) / 1.0
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), *(pa.array([x], pa.binary()) for x in (np.arange(5).tobytes(), np.ones((5, 1)).tobytes())), pa.array([0]), pa.array([np.arange(block).tobytes()], pa.binary()), pa.array([one.tobytes()], pa.binary()), pa.array([np.full(5, -1.0).tobytes()], pa.binary())], ["qb", "qi", "qm", "b", "ids", "m", "lo"])
+    (rows,) = _finder(1, True, k)([batch])
+    assert rows.num_rows == 5 * k
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(10,2)", "double"])
+def test_ids_of_other_types_come_back_in_them(spark, kind):
+    rows = [(i, [float((i * 7) % 11), float(i % 5), 1.0]) for i in range(30)]
+    df = frame(spark, rows)
+    other = df.selectExpr(f"cast(concat('0', vec_id + 100, '.5') as {kind}) as vec_id", "embedding")
+    name = {r[0]: r[1] for r in df.selectExpr("vec_id", f"cast(concat('0', vec_id + 100, '.5') as {kind})").collect()}
+    assert found(exact_top_k(other, k=4)) == {name[q]: [(name[i], s) for i, s in own] for q, own in brute(rows, 4).items()}
+    assert dict(exact_top_k(other, k=4).dtypes)["query_id"] == kind
+
+
+def test_lengths_that_differ_and_components_that_would_overflow(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1.0, 1.0]), (3, [1e-200, 0.0]), (4, [1.0, 0.0]), (5, [1.0, 0.0, 0.0]), (6, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(exact_top_k(df, k=1))
+    assert got == {1: [(2, 1.0)], 2: [(1, 1.0)], 3: [(4, 1.0)], 4: [(3, 1.0)]}
+    long = [(i, [float(x) for x in np.random.Generator(np.random.PCG64(i)).normal(size=3000)]) for i in range(6)]
+    assert found(exact_top_k(frame(spark, [(i, [float(np.float32(x)) for x in v]) for i, v in long]), k=2)) == brute([(i, [float(np.float32(x)) for x in v]) for i, v in long], 2)
