@@ -1,14 +1,16 @@
 import math
+import os
 import random
 
 import numpy as np
 import pytest
 
-from scrubline.llm import minhash
+from scrubline.llm import common, minhash
 from scrubline.llm.common import Scratch
-from scrubline.llm.minhash import components, drop_near_duplicates, fewest_matches, near_duplicates, shingle_set, signature, survivors
+from scrubline.llm.minhash import components, drop_near_duplicates, fewest_matches, near_duplicates, near_groups, sharing_pairs, shingle_set, signature, survivors
+from tests.compare import DATA
 
-SF = "/root/testdata/sf0.01"
+SF = os.path.join(os.path.dirname(DATA), "sf0.01") if os.path.basename(DATA) == "sf0.001" else DATA
 
 
 def jaccard(a, b):
@@ -133,3 +135,65 @@ def test_nulls_ties_and_other_columns(spark):
     assert listed == [(False, 5, 5), (False, 6, 4), (True, 0, 5)]
     assert near_duplicates(df.limit(0)).count() == 0
     assert drop_near_duplicates(df.limit(0)).columns == df.columns
+
+
+def crowd(n, shared, own, seed=4):
+    """Texts that share a passage of so many words, each with words of its own; some with a near copy."""
+    rng, passage = random.Random(seed), [f"s{i}" for i in range(shared)]
+    texts = {}
+    for i in range(n):
+        w = passage + [f"o{i}x{j}" for j in range(own)]
+        texts[i] = " ".join(w)
+        if i % 50 == 0:
+            texts[n + i] = " ".join(changed(rng, w, 0.02))
+    return texts
+
+
+@pytest.mark.parametrize("many", [2, 64])
+def test_groups_in_crowded_buckets_like_brute_force(spark, many):
+    texts = crowd(150, 40, 60)
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "__key long, text string").repartition(4)
+    got = {r["key"]: r["root"] for r in near_groups(df, Scratch(spark, "test"), "__key", "text", 0.5, 1e-3, many).filter("key <> root").collect()}
+    assert got == roots(pairs_by_brute_force(texts, 0.5)) and len(got) >= 3
+
+
+def test_pairs_that_share_rare_runs_have_all_that_reach_the_threshold(spark):
+    rng = random.Random(8)
+    texts = {i: " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 40))) for i in range(150)}
+    df = spark.createDataFrame([(i, t, i) for i, t in texts.items()], "key long, text string, root long")
+    for threshold in (0.3, 0.5, 0.8):
+        got = {(r["a"], r["b"]) for r in sharing_pairs(df.select("key", "text"), df.select("key", "root"), Scratch(spark, "test"), threshold).collect()}
+        assert pairs_by_brute_force(texts, threshold) <= got and all(a < b for a, b in got)
+
+
+def test_a_passage_in_20000_texts_makes_no_pairs_of_them(spark):
+    """All are in one crowd of 20,000 with 200 million pairs, below the threshold; those that can reach it are few."""
+    n = 20_000
+    words = lambda what, k: f"array_join(transform(sequence(1, {k}), i -> concat('{what}', i)), ' ')"
+    df = spark.range(n).selectExpr("id as key", f"concat({words('s', 30)}, ' ', array_join(transform(sequence(1, 18), i -> concat('o', id, 'x', i)), ' '), if(id % 1000 = 1, concat(' o', id - 1, 'x1 o', id - 1, 'x2 o', id - 1, 'x3'), '')) as text", "id as root")
+    pairs = sharing_pairs(df.select("key", "text"), df.select("key", "root"), Scratch(spark, "test"), 0.5)
+    assert pairs.count() < n
+
+
+@pytest.mark.parametrize("ids,kind", [(["0", "1", "01"], "string"), (["0.5", "1.2", "1.7"], "double")])
+def test_ids_that_are_no_whole_numbers(spark, ids, kind):
+    copy, only = (" ".join(f"{c}{i}" for i in range(30)) for c in "cd")
+    df = spark.createDataFrame(list(zip(ids, [copy, only, copy + " end"])), "i string, text string").selectExpr(f"cast(i as {kind}) as doc_id", "text")
+    out = drop_near_duplicates(df)
+    assert out.dtypes == df.dtypes and out.count() == 2 and only in {r["text"] for r in out.collect()}
+    (pair,) = near_duplicates(df).collect()
+    assert sorted(r["doc_id"] for r in df.collect() if r["text"] != only) == [pair["kept_doc_id"], pair["doc_id"]]
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 0])
+def test_groups_when_keys_are_too_many_to_broadcast(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "EXACT_KEYS", 0)
+    monkeypatch.setattr(common, "MOST_FILTER_BITS", bits)
+    rng, texts = random.Random(6), {}
+    for i in range(40):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(50)]
+        texts |= {i * 10 + j: " ".join(changed(rng, base, 0.02 * j)) for j in range(3)} | {i * 10 + 5: " ".join(base).upper()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    want = roots(pairs_by_brute_force(texts, 0.5))
+    assert {r["doc_id"]: r["kept_doc_id"] for r in near_duplicates(df).collect()} == want
+    assert {r["doc_id"] for r in drop_near_duplicates(df).collect()} == set(texts) - set(want)
