@@ -16,15 +16,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, col, free_name, keyed, likely_in, ship_package
+from . import common
+from .common import Scratch, col, free_name, keyed, likely_in, ship_package, within
 from .textops import SPACE, U64, Ranges, mix, slices, words
 
 MIN_WORDS = 50
 ANCHOR_WORDS = 8
-#: Parts with more distinct contexts than this are split further, by a hash of the first MIN_WORDS words.
+#: Parts with more distinct contexts than this are split further, by the first MIN_WORDS words of their suffixes. In such a part all suffixes share that
+#: much, so that the previous factor of each but the first is long enough; an aggregate finds the first, whatever the part's size.
 HOT_CONTEXTS = 4096
 
 
+def other_hashes(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of words whose runs have hashes independent of those of ``hashes``."""
+    return mix(hashes ^ U64(0xD6E8FEB86659FD93))
+
+
 def _least(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` values in a row."""
     step = 1
@@ -36,15 +43,15 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(hashes: np.ndarray, bounds: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
-    """Anchors of the windows of ``min_words`` words: (row, first window, last window, fingerprint, context hash, place in the context).
+    """Anchors of the windows of ``min_words`` words: (row, first window, last window, fingerprint, two context hashes).
 
     Consecutive windows with the same anchor are one entry; its context is all their words.
     """
     k = min(ANCHOR_WORDS, min_words)
     none = np.zeros(0, np.int64)
     if len(hashes) < min_words:
-        return none, none, none, none.astype(U64), none.astype(U64), none
-    r = Ranges(hashes)
+        return none, none, none, *[none.astype(U64)] * 3
+    r, again = Ranges(hashes), Ranges(other_hashes(hashes))
     at = np.arange(len(hashes) - k + 1)
     grams = r.hash(at, at + k)
     bits = max(1, int(len(grams)).bit_length())
@@ -54,7 +61,7 @@ def anchors(hashes: np.ndarray, bounds: np.ndarray, min_words: int) -> tuple[np.
     good = np.arange(len(best)) + min_words <= bounds[1:][row]
     s = np.flatnonzero(good)
     if not len(s):
-        return none, none, none, none.astype(U64), none.astype(U64), none
+        return none, none, none, *[none.astype(U64)] * 3
     a, row = best[s], row[s]
     new = np.ones(len(s), dtype=bool)
     new[1:] = (a[1:] != a[:-1]) | (row[1:] != row[:-1])
@@ -62,24 +69,24 @@ def anchors(hashes: np.ndarray, bounds: np.ndarray, min_words: int) -> tuple[np.
     last = np.append(first[1:], len(s)) - 1
     lo, hi, a = s[first], s[last], a[first]
     # the place of the anchor belongs to the context
-    context = r.hash(lo, hi + min_words) ^ ((a - lo).astype(U64) * U64(0x9E3779B97F4A7C15)) ^ ((hi - lo).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
-    return row[first], lo, hi, grams[a], context, a - lo
+    place = ((a - lo).astype(U64) * U64(0x9E3779B97F4A7C15)) ^ ((hi - lo).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+    return row[first], lo, hi, grams[a], r.hash(lo, hi + min_words) ^ place, again.hash(lo, hi + min_words) ^ place
 
 
 def _anchor_rows(min_words: int):
-    """(fingerprint, context, key, word, start, stop) of each anchor: the context's first word, its bytes in the text."""
+    """(fingerprint, context hashes, key, word, start, stop) of each anchor: the context's first word, its bytes in the text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy()
             for i, _, data, offs in slices(batch.column(1)):
                 starts, ends, hashes, bounds = words(data, offs, SPACE)
-                row, lo, hi, fp, context, _ = anchors(hashes, bounds, min_words)
+                row, lo, hi, fp, context, other = anchors(hashes, bounds, min_words)
                 if len(row):
                     base = offs[row]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (fp.view(np.int64), context.view(np.int64), keys[i + row], (lo - bounds[row]).astype(np.int32), (starts[lo] - base).astype(np.int32), (ends[hi + min_words - 1] - base).astype(np.int32))],
-                        ["fp", "context", "key", "word", "start", "stop"],
+                        [pa.array(x) for x in (fp.view(np.int64), context.view(np.int64), other.view(np.int64), keys[i + row], (lo - bounds[row]).astype(np.int32), (starts[lo] - base).astype(np.int32), (ends[hi + min_words - 1] - base).astype(np.int32))],
+                        ["fp", "context", "other", "key", "word", "start", "stop"],
                     )
 
     return rows
@@ -139,6 +146,25 @@ def longest_previous_factors(order: np.ndarray, lcp: np.ndarray) -> tuple[np.nda
     return np.array(length, np.int64), np.array(source, np.int64)
 
 
+def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A number for each word, the same for two of them if and only if their bytes are the same, whatever their hashes."""
+    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    model = first[number]  # the first word of the same hash
+    size, wanted = ends - starts, (ends - starts)[model]
+    own = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    at, other = own + np.repeat(starts, size), own + np.repeat(starts[model], size)
+    unlike = size != wanted
+    differs = data[at] != data[np.minimum(other, len(data) - 1)]
+    if differs.any():
+        unlike |= np.bincount(np.repeat(np.arange(len(size)), size)[differs], minlength=len(size)) > 0
+    number = number.astype(np.int64)
+    if unlike.any():  # hashes that collide
+        raw, known, n = data.tobytes(), {}, len(first)
+        for i in np.flatnonzero(unlike):
+            number[i] = known.setdefault((int(number[i]), raw[starts[i] : ends[i]]), n + len(known))
+    return number
+
+
 def repeated_windows(texts: list[bytes], keys: np.ndarray, first_word: np.ndarray, min_words: int) -> list[list[tuple[int, int]]]:
     """For each context, in order of (key, first word): byte spans covered by windows of which an earlier one is a copy.
 
@@ -151,11 +177,9 @@ def repeated_windows(texts: list[bytes], keys: np.ndarray, first_word: np.ndarra
     counts = np.diff(bounds)
     # a separator after each context, different from all words and from each other
     n = len(hashes) + len(texts)
-    symbols, origin = np.zeros(n, U64), np.full(n, -1, np.int64)
+    symbols, origin = np.zeros(n, np.int64), np.full(n, -1, np.int64)
     at = np.arange(len(hashes)) + np.repeat(np.arange(len(texts)), counts)
-    symbols[at], origin[at] = hashes, np.arange(len(hashes))
-    _, symbols = np.unique(symbols, return_inverse=True)
-    symbols = symbols.astype(np.int64) + len(texts)
+    symbols[at], origin[at] = word_numbers(joined, starts, ends, hashes) + len(texts), np.arange(len(hashes))
     symbols[bounds[1:] + np.arange(len(texts))] = np.arange(len(texts))
     order, ranks = suffix_array(symbols, min_words)
     lcp = np.zeros(n, np.int64)
@@ -232,7 +256,7 @@ def _windows(min_words: int):
                 row = np.repeat(np.arange(j - i), np.diff(bounds))[: len(s)]
                 s, row = (x[s + min_words <= bounds[1:][row]] for x in (s, row))
                 h = Ranges(hashes).hash(s, s + min_words).view(np.int64)
-                h2 = Ranges(mix(hashes ^ U64(0xD6E8FEB86659FD93))).hash(s, s + min_words).view(np.int64)
+                h2 = Ranges(other_hashes(hashes)).hash(s, s + min_words).view(np.int64)
                 own = i + row
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, h2, keys[own], (first[own] + s - bounds[row]).astype(np.int32), (start[own] + starts[s] - offs[row]).astype(np.int32), (start[own] + ends[s + min_words - 1] - offs[row]).astype(np.int32))], ["h", "h2", "key", "word", "start", "stop"])
 
@@ -242,18 +266,18 @@ def _windows(min_words: int):
 def repeated_spans(docs: DataFrame, scratch: Scratch, key: str, text_col: str, min_words: int = MIN_WORDS, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """A written table (key, spans) of the byte spans [start, stop) of each text that repeat what is before in order of (key, place)."""
     texts = docs.filter(col(text_col).isNotNull()).select(col(key).alias("key"), col(text_col).alias("text"))
-    found = scratch.write(texts.mapInArrow(_anchor_rows(min_words), "fp long, context long, key long, word int, start int, stop int"))
+    found = scratch.write(texts.mapInArrow(_anchor_rows(min_words), "fp long, context long, other long, key long, word int, start int, stop int"))
 
     # most anchors occur once: these go before anything is sorted
     often = scratch.write(found.groupBy("fp").count().filter("count > 1").select("fp"))
-    repeated = scratch.write(likely_in(found, "fp", often).join(often, "fp"))
+    repeated = scratch.write(within(found, "fp", often))
     scratch.drop(found, often)
     # one entry for each distinct context of an anchor: where it occurs first
-    contexts = repeated.groupBy("fp", "context").agg(F.min(F.struct("key", "word", "start", "stop")).alias("first"), F.count("*").alias("n"))
+    contexts = repeated.groupBy("fp", "context", "other").agg(F.min(F.struct("key", "word", "start", "stop")).alias("first"), F.count("*").alias("n"))
     known = scratch.write(contexts.withColumn("contexts", F.count("*").over(Window.partitionBy("fp"))))
 
     # a later occurrence of a whole context is a copy, unless it overlaps the first
-    again = repeated.join(known.filter("n > 1"), ["fp", "context"]).filter("key <> first.key or word <> first.word")
+    again = repeated.join(known.filter("n > 1"), ["fp", "context", "other"]).filter("key <> first.key or word <> first.word")
     far = F.expr(f"key <> first.key or word - first.word >= {min_words}")
     again = scratch.write(again.select("fp", "key", "word", "start", "stop", "contexts", far.alias("far")))
     copied = again.filter("far").select("key", "start", "stop")
@@ -282,25 +306,37 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, key: str, text_col: str, m
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted spans that touch or overlap become one."""
+    kind = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
     for b in batches:
-        out = []
-        for spans in b.column(1).to_pylist():
-            own: list[dict] = []
-            for x in spans:
-                if own and x["start"] <= own[-1]["stop"]:
-                    own[-1]["stop"] = max(own[-1]["stop"], x["stop"])
-                else:
-                    own.append(x)
-            out.append(own)
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], ["key", "spans"])
+        if not b.num_rows:
+            continue
+        lists = b.column(1)
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        spans = lists.values.slice(ends[0], ends[-1] - ends[0])
+        base = np.repeat(np.arange(b.num_rows) << 32, np.diff(ends))  # rows apart from each other
+        start, stop = (base + spans.field(i).to_numpy() for i in (0, 1))
+        far = np.maximum.accumulate(stop)
+        first = np.flatnonzero(np.append(True, start[1:] > far[:-1]))
+        last = np.append(first[1:], len(start)) - 1
+        merged = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (start[first] - base[first], far[last] - base[last])], fields=list(kind))
+        own = np.searchsorted(first, ends - ends[0])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(own, pa.int32()), merged)], ["key", "spans"])
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, key: str, text_col: str) -> DataFrame:
-    """``docs`` with the bytes of ``spans`` (a written table) cut from the text, with the white space after them."""
-    renamed, data = free_name(docs, "__spans", "__data")
-    some, others = likely_in(docs, key, spans.select("key"), apart=True)
-    joined = some.join(spans.select(F.col("key").alias(key), F.col("spans").alias(renamed)), key, "left")
+    """``docs`` with the bytes of ``spans`` (a written table) cut from the text, with the white space after them.
+
+    Up to EXACT_KEYS spans are broadcast, so that the texts are read once and not shuffled; for more, only texts that likely have spans are.
+    """
+    renamed, data, other = free_name(docs, "__spans", "__data", "__of")
+    columns = [col(c) for c in docs.columns]
+    own = spans.select(F.col("key").alias(other), F.col("spans").alias(renamed))
+    rows, n = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    if rows + n <= common.EXACT_KEYS:
+        joined, others = docs.join(F.broadcast(own), col(key) == F.col(other), "left"), None
+    else:
+        some, others = likely_in(docs, key, spans.select("key"), apart=True)
+        joined = some.join(own, col(key) == F.col(other), "left")
     raw = F.encode(col(text_col), "UTF-8")
     # what is between the spans; the white space after a span goes, that before it stays
     kept = F.expr(
@@ -310,19 +346,21 @@ def without_spans(docs: DataFrame, spans: DataFrame, key: str, text_col: str) ->
     pieces = F.transform(kept, lambda x: F.struct(x["a"].alias("a"), F.decode(F.substring(col(data), x["a"] + 1, x["b"] - x["a"]), "UTF-8").alias("t")))
     text = F.array_join(F.transform(pieces, lambda x: F.when(x["a"] == 0, x["t"]).otherwise(F.regexp_replace(x["t"], r"^[\t-\r\x1c-\x20]+", ""))), "")
     text = F.when(col(renamed).isNull(), col(text_col)).otherwise(text)
-    cut = joined.withColumn(data, F.when(col(renamed).isNotNull(), raw)).withColumn(text_col, text).select(*[col(c) for c in docs.columns])
-    return cut.union(others.select(*[col(c) for c in docs.columns]))
+    cut = joined.withColumn(data, F.when(col(renamed).isNotNull(), raw)).withColumn(text_col, text).select(*columns)
+    return cut if others is None else cut.union(others.select(*columns))
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """``docs`` with, in ``text_col``, all passages removed of ``min_words`` words or more that occur before.
 
     "Before" is in order of id, then place in the text; the first occurrence stays. Words are what ASCII white space
-    separates, and are compared byte for byte. Every word goes that lies in a window of ``min_words`` words
+    separates. Within a part of the suffix order they are compared byte for byte. Runs that occur again with all the context that shares
+    their anchor, and windows of hot parts, are told by a 64-bit hash of each word and two independent ones of the run: among 10**13 runs, as many as 100 TB have,
+    two unlike ones have the same with a probability below 10**-12. Every word goes that lies in a window of ``min_words`` words
     of which an earlier one, not overlapping it, has the same words. What surrounds a removed passage is kept as it
     was, but for the white space after the passage.
 
-    Null and empty texts stay as they are, as do texts shorter than ``min_words`` words. Null ids come after all others, and
+    Null and empty texts stay as they are, as do texts shorter than ``min_words`` words. Ids may be of any type that sorts. Null ids come after all others, and
     rows with equal ids are separate documents in order of a hash of the text. A document all of which occurred before stays with an
     empty text. No documents, no rows. All other columns are kept, whatever their names.
     """
