@@ -13,6 +13,7 @@ class CleanConfig:
     """Which steps run, what they put in place of what they find, and for which languages.
 
     ``language`` fixes the language of all texts; a value outside ``languages`` is passed over and the language detected.
+    Texts go to recognizers in pieces of ``ner_chunk_words`` words, or tokens if ``ner_token_count`` counts those of a word.
     ``currency_token`` None stands for ISO codes. ``null_policy`` is "null" (null in, null out) or "raise".
     """
 
@@ -45,6 +46,7 @@ class CleanConfig:
     entity_tags: tuple[str, ...] = ("PER", "LOC", "ORG")
     ner_threshold: float = 0.85
     ner_chunk_words: int = 460
+    ner_token_count: Callable[[str], int] | None = field(default=None, hash=False)
     recognizers: dict[str, Callable] | None = field(default=None, hash=False)
     language: str | None = None
     languages: tuple[str, ...] = LANGUAGES

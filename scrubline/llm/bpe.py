@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import col, ship_package
-from .token_counts import PRE_TOKENS, VOCABULARY, Remembering, read_ranks
+from .common import col, kind_of, ship_package
+from .token_counts import LONG, VOCABULARY, odd_signs, pre_tokenizer, read_ranks
 
 #: Encoded pre-tokens that a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 
 
 def byte_characters() -> list[str]:
@@ -67,41 +68,71 @@ def processor(model: bytes):
     return p
 
 
+def pieces_of(ranks: dict[bytes, int]) -> pa.Array:
+    """The bytes of each token by its id."""
+    out = [None] * len(ranks)
+    for piece, rank in ranks.items():
+        out[rank] = piece
+    return pa.array(out, pa.binary())
+
+
+def joined_pieces(pieces: pa.Array, ids: np.ndarray, ends: np.ndarray) -> list[memoryview]:
+    """The bytes of the tokens ``ids[ends[i]:ends[i + 1]]`` in a row, for each i: what Arrow puts side by side is looked at, not copied."""
+    taken = pieces.take(pa.array(ids, pa.int32()))
+    _, offsets, data = taken.buffers()
+    at = np.frombuffer(offsets, np.int32)[: len(ids) + 1][ends] if len(ids) else np.zeros(len(ends), np.int32)
+    view = memoryview(data).cast("B") if data is not None else memoryview(b"")
+    return [view[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
 class Codec:
-    """Encodes texts to token ids and decodes these, with the model of ``serialize``."""
+    """Encodes texts to token ids and decodes these, with the model of ``serialize``.
 
-    def __init__(self, model: bytes, ranks: dict[bytes, int]):
-        import regex
+    Pre-tokens that aren't remembered are encoded together, for all texts given at once. Up to ``most`` are remembered, and those of the
+    texts at hand; the older half goes beyond that.
+    """
 
-        self.find = regex.compile(PRE_TOKENS).findall
-        spell = {b: c for b, c in enumerate(byte_characters())}
-        encode = processor(model).EncodeAsIds
-        table = str.maketrans({chr(b): c for b, c in spell.items()})
-        self.known = Remembering({}, lambda piece: np.array(encode(piece.encode().decode("latin-1").translate(table)), np.int32).tobytes(), REMEMBERED)
-        self.pieces = [None] * len(ranks)
-        for piece, rank in ranks.items():
-            self.pieces[rank] = piece
+    def __init__(self, model: bytes, ranks: dict[bytes, int], odd: str | None = None, most: int = REMEMBERED):
+        self.find, self.most, self.known = pre_tokenizer(odd or odd_signs()), most, {}
+        self.encode_list = processor(model).EncodeAsIds
+        self.table = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
+        self.pieces = pieces_of(ranks)
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        found, known = [None if t is None else self.find(t) for t in texts], self.known
+        if len(known) > self.most:
+            for old in list(islice(known, len(known) - self.most // 2)):
+                del known[old]
+        new = list(set().union(*(x for x in found if x)).difference(known))
+        if new:
+            spelt = [p.encode().decode("latin-1").translate(self.table) for p in new]
+            known.update(zip(new, (array("i", ids).tobytes() for ids in self.encode_list(spelt, num_threads=1))))
+        out = [None if x is None else np.frombuffer(b"".join(map(known.__getitem__, x)), np.int32) for x in found]
+        for p in new:
+            if len(p) > LONG:
+                del known[p]
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.known.__getitem__, self.find(text))), np.int32)
+        return self.encode_all([text])[0]
 
     def decode_bytes(self, ids) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids))
+        return joined_pieces(self.pieces, np.asarray(ids, np.int32), np.array([0, len(ids)]))[0]
 
 
 def _encode(shared, check: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, ranks = shared.value
-        codec = Codec(model, ranks)
+        model, ranks, odd = shared.value
+        codec = Codec(model, ranks, odd)
         for b in batches:
             for i in range(0, b.num_rows, 512):
-                part, ids, same = b.slice(i, 512), [], []
-                for t in part.column(1).to_pylist():
-                    ids.append(None if t is None else codec.encode(t))
-                    if check:
-                        same.append(None if t is None else codec.decode_bytes(ids[-1].tolist()) == t.encode())
+                part = b.slice(i, 512)
+                texts = part.column(1).to_pylist()
+                ids = codec.encode_all(texts)
                 ends = np.cumsum([0, *(0 if x is None else len(x) for x in ids)])
                 flat = np.concatenate([np.zeros(0, np.int32), *(x for x in ids if x is not None)])
+                if check:
+                    same = [None if t is None else raw == t.encode() for t, raw in zip(texts, joined_pieces(codec.pieces, flat, ends))]
                 nulls = pa.array([x is None for x in ids])
                 tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()), mask=nulls)
                 n = pa.array([None if x is None else len(x) for x in ids], pa.int64())
@@ -118,29 +149,38 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id"
     ``round_trip`` is null. There is no shuffle.
 
     A null text has nulls, an empty one no tokens. Texts are taken literally: special tokens' strings are ordinary
-    text. Repeated rows are encoded each. No documents, no rows. Other columns are ignored.
+    text. Ids may be of any type, and are returned in it. Repeated rows are encoded each. No documents, no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     ship_package(spark)
     ranks = read_ranks(vocabulary)
-    shared = spark.sparkContext.broadcast((serialize(ranks), ranks))  # the size of the vocabulary, whatever the input
-    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(_encode(shared, check), "doc_id long, tokens array<int>, n_tokens long, round_trip boolean")
+    shared = spark.sparkContext.broadcast((serialize(ranks), ranks, odd_signs()))  # the size of the vocabulary, whatever the input
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
+    return rows.mapInArrow(_encode(shared, check), f"doc_id {kind_of(docs, id_col)}, tokens array<int>, n_tokens long, round_trip boolean")
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
-    """(doc_id, text) from token ids. Bytes that aren't UTF-8 become U+FFFD; null tokens, or an id that is null or not in the vocabulary, give null."""
+    """(doc_id, text) from token ids. Bytes that aren't UTF-8 become U+FFFD; null tokens, or an id that is null or not in the vocabulary, give null.
+
+    No tokens give an empty text. Ids of rows may be of any type. Repeated rows are decoded each. No rows give none. Other columns are ignored.
+    """
     spark = encoded.sparkSession
     ship_package(spark)
-    ranks = read_ranks(vocabulary)
-    shared = spark.sparkContext.broadcast({r: p for p, r in ranks.items()})
+    shared = spark.sparkContext.broadcast(read_ranks(vocabulary))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = shared.value
+        pieces = pieces_of(shared.value)
         for b in batches:
-            out = []
-            for ids in b.column(1).to_pylist():
-                parts = None if ids is None else [pieces.get(i) for i in ids]
-                out.append(None if parts is None or None in parts else b"".join(parts).decode(errors="replace"))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
-
-    return encoded.select(col(id_col).cast("long").alias("doc_id"), F.col(tokens_col).alias("tokens")).mapInArrow(texts, "doc_id long, text string")
+            lists = b.column(1)
+            ends = lists.offsets.to_numpy()
+            values = lists.values.slice(int(ends[0]), int(ends[-1] - ends[0]))
+            wrong = values.is_null().to_numpy(zero_copy_only=False)
+            ids = values.fill_null(-1).to_numpy()
+            wrong = np.concatenate([[0], np.cumsum(wrong | (ids < 0) | (ids >= len(pieces)))])
+            ends = ends - ends[0]
+            bad = (wrong[ends[1:]] > wrong[ends[:-1]]) | lists.is_null().to_numpy(zero_copy_only=False)
+            parts = joined_pieces(pieces, np.clip(ids, 0, len(pieces) - 1).astype(np.int32), ends)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if no else str(raw, "utf-8", "replace") for no, raw in zip(bad, parts)], pa.string())], ["doc_id", "text"])
+
+    rows = encoded.select(col(id_col).alias("doc_id"), col(tokens_col).cast("array<int>").alias("tokens"))
+    return rows.mapInArrow(texts, f"doc_id {kind_of(encoded, id_col)}, text string")

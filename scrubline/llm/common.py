@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +30,8 @@ FILTER_BITS, FILTER_PLACES, MOST_FILTER_BITS = 12, 4, 1 << 26
 WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 _own_folders: dict[str, str] = {}
+_sent: set[str] = set()
+_roots: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -59,6 +63,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/scrubline/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        _roots.append(self.root)
         atexit.register(_remove, spark, self.root)
 
     def path(self) -> str:
@@ -80,6 +85,20 @@ class Scratch:
             _remove(self.spark, t.path)
 
 
+def marked() -> int:
+    """A mark for ``clear``."""
+    return len(_roots)
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Removes the intermediate tables of all operator calls since ``marked`` gave ``since``, once what they returned has been written.
+
+    What an operator returns reads its tables when it runs, so they can't go before; without this they go when Python ends.
+    """
+    while len(_roots) > since:
+        _remove(spark, _roots.pop())
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     if jvm is None:
@@ -263,10 +282,41 @@ def with_ids(pairs: DataFrame, rows: DataFrame, *names: str) -> DataFrame:
     return out.select(*names)
 
 
+def package_zip() -> bytes:
+    """The package's modules as a zip file that Python can import from."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in sorted(os.walk(root)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), os.path.dirname(root)))
+    return raw.getvalue()
+
+
+def send_package(spark: SparkSession) -> None:
+    """Adds the package to what Spark hands to Python workers, from the shared folder, once an application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _sent:
+        return
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/scrubline/package-{uuid.uuid4().hex}/scrubline.zip")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(package_zip()))
+    out.close()
+    sc.addPyFile(path.toString())
+    _sent.add(sc.applicationId)
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Lets Python workers on machines that share this checkout import the package, and bounds the session's batches to Python."""
+    """Lets Python workers import the package, and sets the session's batches to Python to BATCH_BYTES if it left Spark's default.
+
+    Workers on this machine find it by its path; those of a cluster get it as a file (``send_package``). The size of a batch is a setting of the
+    session, as it counts when a plan runs, which is after the operator returned it.
+    """
     if spark.conf.get(BATCH_SETTING) in (str(BATCH_DEFAULT), f"{BATCH_DEFAULT}b", "64m", "64MB"):
         spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    if not spark.sparkContext.master.startswith("local"):
+        send_package(spark)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, col, ship_package
+from .bpe import encode
+from .common import Scratch, col, keyed, kind_of, ship_package
 from .sharding import prefix_sums
+from .token_counts import VOCABULARY
 
 TIERS = (2048, 8192, 32768)
-#: Pieces that a cell has on average at most, however short they are.
+#: Pieces that a cell has on average at most by default, however short they are.
 CELL_PIECES = 100_000
 
 
@@ -65,20 +68,22 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     length_col: str | None = None,
+    cell_pieces: int = CELL_PIECES,
 ) -> DataFrame:
     """Where each document goes: (doc_id, piece, doc_start, n_tokens, tier, window_id, window_start, step_group).
 
     A document's length is ``length_col`` if given, else its UTF-8 bytes over ``bytes_per_token``, rounded up. A document longer than
     the last tier is cut into pieces of that length and a rest. Pieces are spread by hash over cells of about
-    ``cell_tokens`` tokens, or CELL_PIECES pieces if they are short, so that a task packs one cell at a time, whatever the input's size; a cell is packed by ``pack_tiers``. Only ids
+    ``cell_tokens`` tokens, or ``cell_pieces`` pieces if they are short; each cell is a task, whatever the input's size, and is packed by ``pack_tiers``. Only ids
     and lengths are shuffled. ``doc_start`` is the piece's first token in the document, ``window_start`` its first in the window.
 
     Step groups have ``group_tokens`` tokens of windows each of one tier (the last of a tier may have fewer). Windows
     of a tier are ordered by cost, the sum of squares of the pieces' lengths as in attention within documents, and dealt
     to the groups in snake order, so the groups' costs are close.
 
-    Documents with a null or empty text, or no length, have no tokens and are in no window. Rows with equal or null ids are
-    packed each for itself. No documents, no rows. Other columns are ignored.
+    Documents with a null or empty text, or no length, have no tokens and are in no window. Ids may be of any type that sorts, and are returned in it. Rows
+    with equal or null ids are packed each for itself; where there are such, all rows are spread by where they lie instead of by id, so that many of
+    one id are in no one cell. No documents, no rows. Other columns are ignored.
     """
     tiers = tuple(sorted(tiers))
     if tiers[0] < 1 or group_tokens < tiers[-1]:
@@ -87,24 +92,36 @@ def pack(
     ship_package(spark)
     scratch = Scratch(spark, "pack")
     n = F.ceil(F.octet_length(col(text_col)) / F.lit(bytes_per_token)) if length_col is None else col(length_col)
-    lengths = docs.select(col(id_col).cast("long").alias("doc_id"), n.cast("long").alias("n")).filter("n > 0")
+    lengths = docs.select(col(id_col).alias("doc_id"), n.cast("long").alias("n")).filter("n > 0")
     pieces = lengths.select("doc_id", F.posexplode(F.expr(f"transform(sequence(0L, (n - 1) div {last}L), i -> struct(i * {last}L as doc_start, cast(least(n - i * {last}L, {last}L) as int) as n_tokens))")).alias("piece", "p")).select("doc_id", "piece", "p.doc_start", "p.n_tokens")
-    pieces = scratch.write(pieces)
+    pieces = scratch.write(pieces.withColumn("place", F.monotonically_increasing_id()))
     n_pieces, total = pieces.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-    cells = max(1, -(-total // cell_tokens), -(-n_pieces // CELL_PIECES))
-
-    def pack_cell(cell: pd.DataFrame) -> pd.DataFrame:
-        rows, c = [], int(cell["cell"].iloc[0])
-        ids = [None if pd.isna(i) else int(i) for i in cell["doc_id"]]
-        items = [(int(n), 1 if i is None else 0, i or 0, int(p), int(s)) for i, p, s, n in zip(ids, cell["piece"], cell["doc_start"], cell["n_tokens"])]
-        for w, (size, window) in enumerate(pack_tiers(items, tiers)):
-            cost = sum(x[1] * x[1] for x in window)
-            rows += [(None if p[1] else p[2], p[3], p[4], p[0], size, (c << 32) + w, at, cost) for at, _, p in window]
-        out = pd.DataFrame(rows, columns=["doc_id", "piece", "doc_start", "n_tokens", "tier", "window_id", "window_start", "cost"])
-        return out.astype({"doc_id": "Int64"})
-
-    spread = pieces.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(cells)))
-    placed = scratch.write(spread.groupBy("cell").applyInPandas(pack_cell, "doc_id long, piece int, doc_start long, n_tokens int, tier int, window_id long, window_start int, cost long"))
+    cells = max(1, -(-total // cell_tokens), -(-n_pieces // cell_pieces))
+    known = pieces.filter("piece = 0").groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max(F.col("n") + F.col("doc_id").isNull().cast("int"))).first()[0]
+
+    def pack_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        table, c = pa.Table.from_batches(batches), TaskContext.get().partitionId()
+        order, tier, window_id, start, cost = [], [], [], [], []
+        for w, (size, window) in enumerate(pack_tiers([(n, i) for i, n in enumerate(table.column("n_tokens").to_pylist())], tiers)):
+            order += [p[1] for *_, p in window]
+            start += [at for at, *_ in window]
+            tier += [size] * len(window)
+            window_id += [(c << 32) + w] * len(window)
+            cost += [sum(n * n for _, n, _ in window)] * len(window)
+        out = table.take(pa.array(order, pa.int64()))
+        for name, values, kind in (("tier", tier, pa.int32()), ("window_id", window_id, pa.int64()), ("window_start", start, pa.int32()), ("cost", cost, pa.int64())):
+            out = out.append_column(name, pa.array(values, kind))
+        yield from out.combine_chunks().to_batches(max_chunksize=10_000)
+
+    by = F.xxhash64("doc_id", "piece") if known == 1 else F.xxhash64("place")
+    spread = pieces.withColumn("cell", F.pmod(by, F.lit(cells)).cast("int")).repartitionById(cells, F.col("cell"))
+    ordered = spread.sortWithinPartitions(F.desc("n_tokens"), F.asc_nulls_last("doc_id"), "piece", "place").select("doc_id", "piece", "doc_start", "n_tokens")
+    placed = scratch.write(ordered.mapInArrow(pack_cell, f"doc_id {kind_of(docs, id_col)}, piece int, doc_start long, n_tokens int, tier int, window_id long, window_start int, cost long"))
 
     windows = placed.filter("window_start = 0").select("tier", "window_id", "cost", F.lit(1).cast("long").alias("one"))
     ranked, _ = prefix_sums(windows, [F.asc("tier"), F.desc("cost"), F.asc("window_id")], "one", scratch, "rank")
@@ -119,3 +136,25 @@ def pack(
             before, first = before + n_windows, first + groups
     dealt = scratch.write(ranked.select("window_id", group.alias("step_group")))
     return placed.drop("cost").join(dealt, "window_id").select("doc_id", "piece", "doc_start", "n_tokens", "tier", "window_id", "window_start", "step_group")
+
+
+def windows(docs: DataFrame, tiers: tuple[int, ...] = TIERS, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", **packing) -> DataFrame:
+    """The packed windows themselves: (window_id, tier, step_group, tokens, starts, doc_ids).
+
+    Documents are encoded by ``encode``, placed by ``pack`` by their real lengths (``packing`` are further arguments of it), and cut at the
+    pieces' bounds. ``tokens`` are those of the window's pieces in a row, ``starts`` where each piece begins in it, ``doc_ids`` whose piece it is. A window
+    is as long as its pieces, not padded to its tier. Tokens are shuffled twice, and no group is longer than the last tier.
+
+    Null and empty texts are in no window. Ids may be of any type that sorts; rows with equal or null ids are documents of their own. No documents, no rows.
+    Other columns are ignored.
+    """
+    scratch = Scratch(docs.sparkSession, "windows")
+    rows = keyed(docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")), scratch, "doc_id", "text")
+    coded = scratch.write(encode(rows, vocabulary, "__key", "text", check=False).select(F.col("doc_id").alias("key"), "tokens", "n_tokens"))
+    placed = pack(coded, tiers, id_col="key", length_col="n_tokens", **packing).withColumnRenamed("doc_id", "key")
+    ids = rows.select(F.col("__key").alias("key"), "doc_id") if rows.ids is None else rows.ids
+    cut = F.expr("slice(tokens, cast(doc_start as int) + 1, n_tokens)")
+    parts = placed.join(coded.drop("n_tokens"), "key").withColumn("own", cut).drop("tokens").join(ids, "key")
+    own = F.array_sort(F.collect_list(F.struct("window_start", "own", "doc_id")))
+    whole = parts.groupBy("window_id", "tier", "step_group").agg(own.alias("p"))
+    return whole.select("window_id", "tier", "step_group", F.flatten("p.own").alias("tokens"), F.col("p.window_start").alias("starts"), F.col("p.doc_id").alias("doc_ids"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, col, free_name, ship_package
+from .common import Scratch, col, free_name, ship_package, within
 from .textops import NOT_WORD, U64, slices, words
 
 #: Words and their first PREFIX bytes are hashed to so many bits each.
@@ -120,7 +120,7 @@ def _labelled(labels: DataFrame, id_col: str, quality_col: str, toxic_col: str)
     """(id, good) once an id: good if it has a quality of 1 and isn't toxic in any of its rows; a null label is neither."""
     good = (F.coalesce(col(quality_col), F.lit(0)) == 1) & (F.coalesce(col(toxic_col), F.lit(0)) == 0)
     known = labels.filter(col(id_col).isNotNull() & (col(quality_col).isNotNull() | col(toxic_col).isNotNull()))
-    return known.groupBy(col(id_col).cast("long").alias("id")).agg(F.min(good).alias("good"))
+    return known.groupBy(col(id_col).alias("id")).agg(F.min(good).alias("good"))
 
 
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,14 +136,20 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str, text_col: str, sample: int = SAMPLE, quality_col: str = "quality", toxic_col: str = "toxic") -> tuple[np.ndarray, DataFrame]:
-    """The weights learnt from up to ``sample`` labelled documents of each class, and the written table (id, good) of all labels."""
+    """The weights learnt from up to ``sample`` labelled documents of each class, and the written table (id, good) of all labels.
+
+    Only labels of documents that there are, with a text, are sampled. Of several rows with a sampled id, the one of the least text hash is learnt from.
+    """
     known = scratch.write(_labelled(labels, id_col, quality_col, toxic_col))
+    texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).filter("text is not null")
+    there = scratch.write(known.join(within(texts.select("id"), "id", known.select("id")).distinct(), "id", "left_semi"))
     picked = None
     for value in (True, False):
-        part = known.filter(F.col("good") == value).orderBy(F.xxhash64("id"), "id").limit(sample)
+        part = there.filter(F.col("good") == value).orderBy(F.xxhash64("id"), "id").limit(sample)
         picked = part if picked is None else picked.unionByName(part)
-    picked = F.broadcast(picked)  # 2 * sample rows of two numbers at most
-    texts = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")).filter("text is not null").join(picked, "id").select("id", "good", "text")
+    picked = F.broadcast(picked)  # 2 * sample rows of two columns at most
+    one = F.min(F.struct(F.xxhash64("text"), "text"))["text"]
+    texts = texts.join(picked, "id").groupBy("id", "good").agg(one.alias("text"))
     got = texts.select("good", "text").mapInArrow(_samples, "good boolean, ids binary, values binary").collect()
     got.sort(key=lambda r: (r["good"], r["ids"], r["values"]))  # whatever the tasks' order
     good = np.array([r["good"] for r in got], bool)
@@ -184,16 +190,18 @@ def _scorer(spark, weights: np.ndarray):
 
         return pd.Series(scores(pa.array(text, pa.string(), from_pandas=True), shared.value.astype(np.float64)))
 
-    return score
+    return score.asNondeterministic()  # else a filter of scores would work them out once more
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, q: float = QUANTILE):
-    """(scoring function of a column, written table (id, score) of all documents, threshold or None)."""
+def threshold(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, q: float = QUANTILE):
+    """(scoring function of a column, least score that is kept, or None); of the texts only those of labelled good documents are scored here."""
     weights, known = train(docs, labels, scratch, id_col, text_col, sample)
     score = _scorer(docs.sparkSession, weights)
-    scored = scratch.write(docs.select(col(id_col).cast("long").alias("id"), F.when(F.octet_length(col(text_col)) > 0, score(col(text_col))).alias("score")))
-    good = scratch.write(scored.filter("score is not null").join(known.filter("good").select("id"), "id").select("score"))
-    return score, scored, quantile(good, "score", q) if weights.any() else None
+    if not weights.any():
+        return score, None
+    texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).filter("octet_length(text) > 0")
+    good = within(texts, "id", scratch.write(known.filter("good").select("id")))
+    return score, quantile(scratch.write(good.select(score(F.col("text")).alias("score"))), "score", q)
 
 
 def rank_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, q: float = QUANTILE) -> DataFrame:
@@ -201,22 +209,25 @@ def rank_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     Good labelled documents (quality 1, not toxic) are preferred to the other labelled ones. From pairs of a bounded sample
     of labelled documents, ``sample`` of each class at most, weights of hashed words, beginnings of words and the text's shape are learnt
-    (``learn``). All documents are scored, and those go whose score is below the ``q`` quantile of the scores of all labelled good documents.
+    (``learn``). All documents are scored, in one pass, and those go whose score is below the ``q`` quantile of the scores of all labelled good documents.
 
-    Null and empty texts have a null score and are kept. Repeated rows are scored each, rows with a null id too. Without labels of both
-    classes nothing is rejected. Labels of unknown documents and null labels are passed over; of several labels of an id
-    the worst holds. No documents, no rows. Other columns are ignored.
+    Null and empty texts have a null score and are kept. Ids may be of any type that sorts. Repeated rows are scored each, rows with a null id too.
+    Without labels of both classes among the documents nothing is rejected. Labels of unknown documents or null texts and null labels are passed over;
+    of several labels of an id the worst holds. No documents, no rows. Other columns are ignored.
     """
     ship_package(docs.sparkSession)
-    _, scored, least = score_documents(docs, labels, Scratch(docs.sparkSession, "quality"), id_col, text_col, sample, q)
-    kept = scored if least is None else scored.filter((F.col("score") >= least) | F.col("score").isNull())
-    return kept.select(F.col("id").alias("doc_id"), "score")
+    score, least = threshold(docs, labels, Scratch(docs.sparkSession, "quality"), id_col, text_col, sample, q)
+    scored = docs.select(col(id_col).alias("doc_id"), F.when(F.octet_length(col(text_col)) > 0, score(col(text_col))).alias("score"))
+    return scored if least is None else scored.filter((F.col("score") >= least) | F.col("score").isNull())
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, q: float = QUANTILE) -> DataFrame:
-    """``docs``, all columns, without the documents that ``rank_documents`` doesn't list."""
+    """``docs``, all columns, without the documents that ``rank_documents`` doesn't list.
+
+    Null and empty texts, null ids and repeated rows are kept or go as there; no documents, no rows; columns keep their names, whatever these are.
+    """
     ship_package(docs.sparkSession)
-    score, _, least = score_documents(docs, labels, Scratch(docs.sparkSession, "quality"), id_col, text_col, sample, q)
+    score, least = threshold(docs, labels, Scratch(docs.sparkSession, "quality"), id_col, text_col, sample, q)
     if least is None:
         return docs
     (name,) = free_name(docs, "__score")

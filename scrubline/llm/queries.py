@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import spread
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,9 +57,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of pages are texts, and given as such."""
     from .warc import archive, capture
 
-    return archive(capture(_table(spark, sf_dir, "pages")))
+    out = archive(capture(_table(spark, sf_dir, "pages")))
+    rows = out.withColumn("payload", out["payload"].cast("string")).drop("http")
+    rows.archives = out.archives
+    return rows
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +109,18 @@ ORACLES = {
         SELECT doc_id, kept_doc_id FROM (
             SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS kept_doc_id FROM documents WHERE text IS NOT NULL)
         WHERE doc_id <> kept_doc_id""",
+    # a word goes with the white space after it; one is gone if a window of 50 words that it is in has an earlier one apart from it
+    "op5_suffix_dedup": r"""
+        WITH t AS (SELECT doc_id, text, regexp_extract(text, '^[\t-\r\x1c-\x20]*') AS head, regexp_extract_all(text, '[^\t-\r\x1c-\x20]+[\t-\r\x1c-\x20]*') AS parts
+                   FROM documents),
+        w AS (SELECT doc_id, parts, list_transform(parts, lambda p: regexp_replace(p, '[\t-\r\x1c-\x20]+$', '')) AS words FROM t WHERE len(parts) >= 50),
+        n AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w),
+        h AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS h FROM n),
+        f AS (SELECT h, min({'d': doc_id, 'i': i}) AS f FROM h GROUP BY h HAVING count(*) > 1),
+        g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM h JOIN f USING (h) WHERE doc_id <> f.d OR i - f.i >= 50),
+        p AS (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS part FROM t),
+        k AS (SELECT doc_id, string_agg(part, '' ORDER BY i) AS kept FROM p ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE head || coalesce(kept, '') END AS text FROM t LEFT JOIN k USING (doc_id)""",
     "op8_warc": """
         WITH p AS (SELECT coalesce(CAST(page_id AS VARCHAR), 'null') AS p, coalesce(url, '') AS url, coalesce(html, '') AS payload,
                           'sha1:' || sha1(coalesce(html, '')) AS digest FROM pages),
@@ -124,8 +142,8 @@ ORACLES = {
                     || 'WARC-Refers-To-Target-URI: ' || refers_url || chr(13) || chr(10)
                     || 'WARC-Refers-To-Date: 2026-01-01T00:00:00Z' || chr(13) || chr(10) ELSE '' END
                || 'Content-Type: application/http; msgtype=response' || chr(13) || chr(10)
-               || 'Content-Length: ' || CASE WHEN warc_type = 'response'
-                    THEN n + 77 + length(CAST(n AS VARCHAR)) ELSE 0 END || chr(13) || chr(10) || chr(13) || chr(10) AS header,
+               || 'Content-Length: ' || CASE WHEN was = 'response'
+                    THEN n + 77 + length(CAST(strlen(payload) AS VARCHAR)) ELSE 0 END || chr(13) || chr(10) || chr(13) || chr(10) AS header,
                CASE WHEN warc_type = 'response' THEN payload END AS payload
         FROM n""",
 }

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, col, ship_package
+from .common import Scratch, col, free_name, keyed, ship_package
 
 
 def prefix_sums(rows: DataFrame, order: list[Column], value: str, scratch: Scratch, start: str = "byte_start") -> tuple[DataFrame, int]:
@@ -46,20 +46,42 @@ def shard(docs: DataFrame, n_shards: int = 64, id_col: str = "doc_id", text_col:
     ceil(total / ``n_shards``) bytes, and a document is in the shard in which it starts. So a shard's bytes are
     off the target by one document at most. Only ids and sizes are shuffled, never texts.
 
-    Null texts have 0 bytes. A null id comes after all others. Rows with equal ids are ordered by size. Shards may be empty;
+    Null texts have 0 bytes. Ids may be of any type that sorts, and are returned in it. A null id comes after all others. Rows with equal ids are ordered by size. Shards may be empty;
     if all texts are, all documents are in shard 0. No documents give no rows. Other columns are ignored.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be 1 or more")
     ship_package(docs.sparkSession)
-    sizes = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(F.octet_length(col(text_col)), F.lit(0)).cast("long").alias("n_bytes"))
-    sums, total = prefix_sums(sizes, [F.asc_nulls_last("doc_id"), F.asc("n_bytes")], "n_bytes", Scratch(docs.sparkSession, "shard"))
+    sizes = docs.select(col(id_col).alias("doc_id"), F.coalesce(F.octet_length(col(text_col)), F.lit(0)).cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("tie"))
+    order = [F.asc_nulls_last("doc_id"), F.asc("n_bytes"), F.asc("tie")]  # rows of equal id and size, which may be many, fall in several ranges
+    sums, total = prefix_sums(sizes, order, "n_bytes", Scratch(docs.sparkSession, "shard"))
     target = max(1, -(-total // n_shards))
     return sums.select("doc_id", "n_bytes", "byte_start", F.least(F.expr(f"byte_start div {target}L"), F.lit(n_shards - 1)).cast("int").alias("shard"))
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 64, id_col: str = "doc_id", text_col: str = "text", **write) -> None:
-    """Writes the documents in one folder a shard (``shard=N``), as ``shard`` cuts them. Ids must be unique."""
-    cuts = shard(docs, n_shards, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("shard").alias("__shard"))
-    rows = docs.join(cuts, docs[id_col].eqNullSafe(F.col("__id"))).drop("__id").withColumnRenamed("__shard", "shard")
-    rows.repartition("shard").sortWithinPartitions(id_col).write.partitionBy("shard").parquet(path, **write)
+    """Writes the documents in one folder a shard (``shard=N``), as ``shard`` cuts them in order of id.
+
+    The driver gets the first key of each shard, ``n_shards`` numbers at most, and the documents find their shard by these. They are shuffled
+    once, in ranges of their order, so that a large shard is several files and several tasks' work; each file is in order of id.
+
+    Null ids come last, rows with equal ids in order of a hash of the text; each row is written once, null and empty texts too. Where
+    ``docs`` has a column ``shard``, whatever its case, the folders are named by ``shard_`` and it stays. No documents give one table without rows or folders.
+    """
+    scratch = Scratch(docs.sparkSession, "shards")
+    key, name = free_name(docs, "__key", "shard")
+    rows = keyed(docs, scratch, id_col, text_col, key)
+    firsts = shard(rows, n_shards, key, text_col).groupBy("shard").agg(F.min("doc_id").alias("first")).orderBy("shard").collect()
+    if not firsts:
+        docs.withColumn(name, F.lit(0)).limit(0).write.parquet(path, **write)
+        return
+    numbers, bounds = np.array([r["shard"] for r in firsts], np.int32), np.array([r["first"] for r in firsts], np.int64)
+
+    @F.pandas_udf("int")
+    def of(keys):
+        import pandas as pd
+
+        return pd.Series(numbers[np.searchsorted(bounds, keys.to_numpy(), "right") - 1])
+
+    placed = rows.withColumn(name, of(col(key))).repartitionByRange(col(key)).sortWithinPartitions(col(name), col(key))
+    placed.drop(key).write.partitionBy(name).parquet(path, **write)

@@ -5,111 +5,140 @@ from __future__ import annotations
 import gzip
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, col, shared_folder, ship_package
+from .common import Scratch, shared_folder, ship_package
+from .common import col as named
 
 DATE = "2026-01-01T00:00:00Z"
-FIELDS = "record_id string, warc_type string, url string, date string, digest string, refers_to string, payload string"
+#: ``http`` is the HTTP header of a response or revisit, with its empty line; ``payload`` what follows, or the whole block of other records.
+FIELDS = "record_id string, warc_type string, url string, date string, digest string, refers_to string, content_type string, http binary, payload binary"
+RESPONSE_TYPE = "application/http; msgtype=response"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+HTTP = ("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: ", "\r\n\r\n")
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
 def capture(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE, again: bool = True) -> DataFrame:
-    """The records of a crawl that fetched each page, and (``again``) a second time, when the payload hadn't changed.
+    """The records (``FIELDS``) of a crawl that fetched each page, and (``again``) a second time, when the payload hadn't changed.
 
     The first fetch is a response record with the payload; the second a revisit record, without payload or reference,
     that only has the payload's digest. A null page is empty, a null url "". Record ids are "<page>-1" and "<page>-2".
     """
-    page = F.coalesce(col(id_col).cast("string"), F.lit("null"))
-    payload = F.coalesce(col(html_col), F.lit(""))
-    base = pages.select(page.alias("p"), F.coalesce(col(url_col), F.lit("")).alias("url"), payload.alias("payload"), F.concat(F.lit("sha1:"), F.sha1(payload)).alias("digest"))
-    first = base.select(F.concat("p", F.lit("-1")).alias("record_id"), F.lit("response").alias("warc_type"), "url", F.lit(date).alias("date"), "digest", F.lit(None).cast("string").alias("refers_to"), "payload")
-    if not again:
-        return first
-    second = base.select(F.concat("p", F.lit("-2")).alias("record_id"), F.lit("revisit").alias("warc_type"), "url", F.lit(date).alias("date"), "digest", F.lit(None).cast("string").alias("refers_to"), F.lit(None).cast("string").alias("payload"))
-    return first.unionByName(second)
+    page = F.coalesce(named(id_col).cast("string"), F.lit("null"))
+    payload = F.encode(F.coalesce(named(html_col), F.lit("")), "UTF-8")
+    base = pages.select(page.alias("p"), F.coalesce(named(url_col), F.lit("")).alias("url"), payload.alias("payload"), F.concat(F.lit("sha1:"), F.sha1(payload)).alias("digest"))
+    http = F.encode(F.concat(F.lit(HTTP[0]), F.octet_length("payload").cast("string"), F.lit(HTTP[1])), "UTF-8")
+
+    def fetch(n: str, kind: str, http: Column, payload: Column) -> DataFrame:
+        return base.select(F.concat("p", F.lit("-" + n)).alias("record_id"), F.lit(kind).alias("warc_type"), "url", F.lit(date).alias("date"), "digest", F.lit(None).cast("string").alias("refers_to"), F.lit(RESPONSE_TYPE).alias("content_type"), http.cast("binary").alias("http"), payload.cast("binary").alias("payload"))
+
+    first = fetch("1", "response", http, F.col("payload"))
+    return first.unionByName(fetch("2", "revisit", F.lit(None), F.lit(None))) if again else first
+
+
+def base32(digits: Column) -> Column:
+    """40 hexadecimal digits in base 32, as archives write digests."""
+    out = []
+    for i in range(8):
+        n = F.conv(F.substring(digits, 5 * i + 1, 5), 16, 10).cast("int")
+        out += [F.substr(F.lit(_BASE32), F.shiftright(n, 5 * j).bitwiseAND(31) + 1, F.lit(1)) for j in (3, 2, 1, 0)]
+    return F.concat(*out)
+
+
+def canonical(digest: Column) -> Column:
+    """One spelling of a digest: the algorithm in lower case, SHA-1 in base 32 even if it came in hexadecimal, others in lower case if they're hexadecimal."""
+    kind, value = F.lower(F.substring_index(digest, ":", 1)), F.regexp_replace(digest, "^[^:]*:", "")
+    sha1 = F.when(value.rlike("^[0-9a-fA-F]{40}$"), base32(value)).otherwise(F.upper(value))
+    other = F.when(value.rlike("^[0-9a-fA-F]+$"), F.lower(value)).otherwise(value)
+    return F.when(digest.contains(":"), F.concat(kind, F.lit(":"), F.when(kind == "sha1", sha1).otherwise(other))).otherwise(digest)
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """The records of a deduplicated archive: (record_id, warc_type, url, digest, refers_to, payload_bytes, header, payload).
+    """The records of a deduplicated archive: (record_id, warc_type, url, digest, refers_to, payload_bytes, header, http, payload).
 
     ``records`` has ``FIELDS``. Headers alone are shuffled by payload digest. Of the responses with a digest the one of the least
-    record id stays a response; the others become revisit records of it. Revisit records are joined to the original with their digest.
+    record id stays a response; the others become revisit records of it, with their HTTP header. Revisit records are joined to the original with their digest.
     Those whose original isn't there stay, with a null ``refers_to``. The payload of a kept response is
-    read in a second pass and never shuffled by digest. Every record gets a fresh header: a new id, made from the
-    record's type, id and digest, the length, and for revisits the original's id and url.
-
-    A digest that a record lacks is worked out from its payload; a response without payload has an empty one. A revisit without a
-    digest resolves to nothing. A record without a type is a response. Rows with a null record id are passed over. Rows of equal record id and digest are one record, a
-    response before a revisit. Different digests under one record id are different records.
+    read in a second pass and never shuffled by digest. Every record gets a fresh header: an id made from the
+    record's type, id and digest, unless it has one in angle brackets, the length, and for revisits the original's id and url. Records of other
+    types (requests, metadata, resources, conversions, archive information) pass as they are, with a fresh header.
+
+    Digests are compared in one spelling (``canonical``), and written as they came. One that a record lacks is worked out from its payload, SHA-1 in base 32;
+    a response without payload has an empty one. A revisit without a digest resolves to nothing. A record without a type is a response. Rows with a
+    null record id are passed over. Responses and revisits of equal record id and digest are one record, a response before a revisit; of several payloads
+    then the shortest stays. Different digests under one record id are different records. No records, no rows. Other columns are ignored.
     """
     scratch = Scratch(records.sparkSession, "warc")
-    kind = F.when(F.col("warc_type") == "revisit", "revisit").otherwise("response")
-    payload = F.when(kind == "response", F.coalesce("payload", F.lit("")))
-    digest = F.coalesce(F.col("digest"), F.concat(F.lit("sha1:"), F.sha1(payload)), F.lit(""))
-    base = records.filter("record_id is not null").select("record_id", kind.alias("warc_type"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("date", F.lit(DATE)).alias("date"), digest.alias("digest"), payload.alias("payload"))
-    heads = base.groupBy("record_id", "digest").agg(F.min(F.struct("warc_type", "url", "date", F.coalesce(F.octet_length("payload"), F.lit(0)).alias("n"))).alias("h")).select("record_id", "digest", "h.*")
-    heads = scratch.write(heads)
-    originals = scratch.write(heads.filter("warc_type = 'response'").groupBy("digest").agg(F.min(F.struct("record_id", "url", "date", "n")).alias("original")))
-    found = heads.join(originals, "digest", "left")
-    is_original = (F.col("warc_type") == "response") & (F.col("record_id") == F.col("original.record_id"))
-    refers = F.when(~F.coalesce(is_original, F.lit(False)) & (F.col("digest") != ""), F.col("original.record_id"))
-    kind = F.when(F.coalesce(is_original, F.lit(False)), "response").otherwise("revisit")
-    index = found.select("record_id", kind.alias("warc_type"), "url", "date", "digest", refers.alias("refers_to"), F.when(refers.isNotNull(), F.col("original.url")).alias("refers_url"), F.when(refers.isNotNull(), F.col("original.date")).alias("refers_date"), F.when(kind == "response", F.col("n")).otherwise(F.lit(0)).cast("long").alias("payload_bytes"))
-    index = index.withColumn("header", _header())
-    plain = ["record_id", "warc_type", "url", "digest", "refers_to", "payload_bytes", "header"]
-    revisits = index.filter("warc_type = 'revisit'").select(*plain, F.lit(None).cast("string").alias("payload"))
-    kept = index.filter("warc_type = 'response'").select(*plain)
-    bodies = base.filter("warc_type = 'response'").select("record_id", "digest", "payload").dropDuplicates(["record_id", "digest"]) if _repeats(heads, base) else base.filter("warc_type = 'response'").select("record_id", "digest", "payload")
-    return revisits.unionByName(kept.join(bodies, ["record_id", "digest"]).select(*plain, "payload"))
-
-
-def _repeats(heads: DataFrame, base: DataFrame) -> bool:
-    return heads.filter("warc_type = 'response'").count() != base.filter("warc_type = 'response'").count()
+    given = records.filter("record_id is not null").withColumn("warc_type", F.coalesce("warc_type", F.lit("response")))
+    shaped = given.select("record_id", "warc_type", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("date", F.lit(DATE)).alias("date"), "digest", F.coalesce("content_type", F.lit(RESPONSE_TYPE)).alias("content_type"), "http", "payload")
+    own = shaped.filter("warc_type in ('response', 'revisit')")
+    payload = F.when(F.col("warc_type") == "response", F.coalesce("payload", F.lit(b"")))
+    base = own.withColumn("payload", payload).withColumn("digest", F.coalesce(F.col("digest"), F.concat(F.lit("sha1:"), base32(F.sha1(payload))), F.lit(""))).withColumn("same", canonical(F.col("digest")))
+    base = base.withColumn("n", F.coalesce(F.octet_length("payload"), F.lit(0))).withColumn("mark", F.xxhash64("payload"))
+    fields = ("warc_type", "n", "mark", "url", "date", "digest", "content_type", "http")
+    heads = scratch.write(base.groupBy("record_id", "same").agg(F.min(F.struct(*fields)).alias("h"), F.count("*").alias("times")).select("record_id", "same", "h.*", "times"))
+    originals = scratch.write(heads.filter("warc_type = 'response'").groupBy("same").agg(F.min(F.struct("record_id", "url", "date", "digest")).alias("original")))
+    found = heads.join(originals, "same", "left")
+    is_original = F.coalesce((F.col("warc_type") == "response") & (F.col("record_id") == F.col("original.record_id")), F.lit(False))
+    refers = F.when(~is_original & (F.col("same") != ""), F.col("original.record_id"))
+    kind = F.when(is_original, "response").otherwise("revisit")
+    more = [F.when(refers.isNotNull(), F.col(f"original.{x}")).alias(f"refers_{x}") for x in ("url", "date", "digest")]
+    index = found.select("record_id", "same", "n", "mark", "times", kind.alias("warc_type"), "url", "date", "digest", "content_type", "http", refers.alias("refers_to"), *more, F.when(is_original, F.col("n")).otherwise(F.lit(0)).cast("long").alias("payload_bytes"))
+    index = scratch.write(index.withColumn("header", _header()))
+    plain = ["record_id", "warc_type", "url", "digest", "refers_to", "payload_bytes", "header", "http"]
+    revisits = index.filter("warc_type = 'revisit'").select(*plain, F.lit(None).cast("binary").alias("payload"))
+    kept = index.filter("warc_type = 'response'").select("same", "n", "mark", *plain)
+    bodies = base.filter("warc_type = 'response'").select("record_id", "same", "n", "mark", "payload")
+    responses = kept.join(bodies, ["record_id", "same", "n", "mark"])
+    if index.filter("warc_type = 'response' and times > 1").head(1):
+        responses = responses.dropDuplicates(["record_id", "same"])
+    others = shaped.filter("warc_type not in ('response', 'revisit')").withColumn("payload", F.coalesce("payload", F.lit(b"")))
+    others = others.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), *[F.lit(None).cast("string").alias(f"refers_{x}") for x in ("to", "url", "date", "digest")])
+    others = others.withColumn("http", F.lit(None).cast("binary")).withColumn("header", _header())
+    return revisits.unionByName(responses.select(*plain, "payload")).unionByName(others.select(*plain, "payload"))
 
 
 def _urn(kind: Column, record: Column, digest: Column) -> Column:
-    h = F.md5(F.concat(kind, F.lit(" "), record, F.lit(" "), digest).cast("binary"))  # null without a record
-    return F.concat(F.lit("<urn:uuid:"), *[x for i, (a, n) in enumerate(((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) for x in ([F.lit("-")] if i else []) + [F.substring(h, a, n)]], F.lit(">"))
+    h = F.md5(F.concat(kind, F.lit(" "), record, F.lit(" "), F.coalesce(digest, F.lit(""))).cast("binary"))  # null without a record
+    made = F.concat(F.lit("<urn:uuid:"), *[x for i, (a, n) in enumerate(((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) for x in ([F.lit("-")] if i else []) + [F.substring(h, a, n)]], F.lit(">"))
+    return F.when(record.rlike("^<[^<>]+>$"), record).otherwise(made)
 
 
 def _header() -> Column:
-    """The header of a record of the output, up to and with the empty line; after it comes the HTTP header and the payload."""
+    """The header of a record of the output, up to and with the empty line; after it come the HTTP header and the payload."""
     kind = F.col("warc_type")
-    http = F.octet_length(_http(F.col("payload_bytes")))
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), kind),
         F.concat(F.lit("WARC-Record-ID: "), _urn(kind, F.col("record_id"), F.col("digest"))),
         F.concat(F.lit("WARC-Date: "), F.col("date")),
-        F.concat(F.lit("WARC-Target-URI: "), F.col("url")),
+        F.when(kind.isin("response", "revisit") | (F.col("url") != ""), F.concat(F.lit("WARC-Target-URI: "), F.col("url"))),
         F.concat(F.lit("WARC-Payload-Digest: "), F.col("digest")),
         F.when(kind == "revisit", F.lit("WARC-Profile: " + REVISIT_PROFILE)),
-        F.concat(F.lit("WARC-Refers-To: "), _urn(F.lit("response"), F.col("refers_to"), F.col("digest"))),
+        F.concat(F.lit("WARC-Refers-To: "), _urn(F.lit("response"), F.col("refers_to"), F.col("refers_digest"))),
         F.concat(F.lit("WARC-Refers-To-Target-URI: "), F.col("refers_url")),
         F.concat(F.lit("WARC-Refers-To-Date: "), F.col("refers_date")),
-        F.lit("Content-Type: application/http; msgtype=response"),
-        F.concat(F.lit("Content-Length: "), F.when(kind == "response", http + F.col("payload_bytes")).otherwise(F.lit(0)).cast("string")),
+        F.concat(F.lit("Content-Type: "), F.col("content_type")),
+        F.concat(F.lit("Content-Length: "), (F.coalesce(F.octet_length("http"), F.lit(0)) + F.col("payload_bytes")).cast("string")),
     ]
     return F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"))
 
 
-HTTP = ("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: ", "\r\n\r\n")
-
-
-def _http(n: Column) -> Column:
-    return F.concat(F.lit(HTTP[0]), n.cast("string"), F.lit(HTTP[1]))
-
-
 def write_archives(resolved: DataFrame, path: str, compress: bool = True) -> DataFrame:
     """Writes the records of ``resolve`` as WARC files, one a partition, in the folder ``path``; returns (file, records, bytes).
 
     A file is written under a name of the task's own and then renamed, so a task that runs again, or twice, leaves one
     whole file. ``path`` is any place that pyarrow's file systems open and that all executors share. Each record is a gzip member of its own.
+    Rows with a null header are passed over; a partition without rows gives a file without records. Repeated rows are written each; other columns are ignored.
     """
     ship_package(resolved.sparkSession)
 
@@ -125,16 +154,17 @@ def write_archives(resolved: DataFrame, path: str, compress: bool = True) -> Dat
         n = size = 0
         with system.open_output_stream(own, compression=None) as out:
             for b in batches:
-                for header, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    body = b"" if payload is None else (HTTP[0] + str(len(payload.encode())) + HTTP[1] + payload).encode()
-                    raw = header.encode() + body + b"\r\n\r\n"
+                for header, http, payload in zip(*(b.column(c).to_pylist() for c in range(3))):
+                    if header is None:
+                        continue
+                    raw = header.encode() + (http or b"") + (payload or b"") + b"\r\n\r\n"
                     raw = gzip.compress(raw, 6, mtime=0) if compress else raw
                     out.write(raw)
                     n, size = n + 1, size + len(raw)
         system.move(own, f"{folder}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], ["file", "records", "bytes"])
 
-    return resolved.select("header", "payload").mapInArrow(write, "file string, records long, bytes long")
+    return resolved.select("header", "http", "payload").mapInArrow(write, "file string, records long, bytes long")
 
 
 def archive(records: DataFrame, path: str | None = None, compress: bool = True) -> DataFrame:
@@ -149,45 +179,101 @@ def archive(records: DataFrame, path: str | None = None, compress: bool = True)
     return out
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file, plain or compressed, as dicts of ``FIELDS``; a payload that isn't UTF-8 has U+FFFD in it."""
-    stream = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+class Malformed(Exception):
+    """An archive that ends within a record, or whose next record can't be told from it."""
+
+
+def stream(raw) -> Iterator[dict]:
+    """The records of an open archive, plain or compressed, as dicts of ``FIELDS``, one in memory at a time; raises ``Malformed``."""
+    f = io.BufferedReader(raw) if isinstance(raw, io.RawIOBase) else raw
     while True:
-        line = stream.readline()
+        line = f.readline()
         if not line:
             return
         if not line.strip():
             continue
-        head = {}
-        while (line := stream.readline().strip()):
+        if not line.startswith(b"WARC/"):
+            raise Malformed("no record begins here")
+        head, last = {}, None
+        while line := f.readline():
+            if not line.strip():
+                break
+            if line[:1] in b" \t" and last:
+                head[last] += " " + line.strip().decode(errors="replace")
+                continue
             name, _, value = line.decode(errors="replace").partition(":")
-            head[name.strip().lower()] = value.strip()
-        body = stream.read(int(head.get("content-length", 0)))
-        if head.get("warc-type") not in ("response", "revisit"):
-            continue
-        payload = body.partition(b"\r\n\r\n")[2] if body.startswith(b"HTTP/") else body
+            last = name.strip().lower()
+            head[last] = value.strip()
+        size = head.get("content-length", "0")
+        if not line or not (size.isascii() and size.isdigit()):
+            raise Malformed("a header has no end or no length")
+        body = f.read(int(size))
+        if len(body) < int(size):
+            raise Malformed("a record ends early")
+        kind, http = head.get("warc-type"), None
+        if kind in (None, "response", "revisit") and body.startswith(b"HTTP/"):
+            top, gap, rest = body.partition(b"\r\n\r\n")
+            http, body = top + gap, rest
         yield {
             "record_id": head.get("warc-record-id"),
-            "warc_type": head["warc-type"],
+            "warc_type": kind,
             "url": head.get("warc-target-uri"),
             "date": head.get("warc-date"),
             "digest": head.get("warc-payload-digest"),
             "refers_to": head.get("warc-refers-to"),
-            "payload": payload.decode(errors="replace") if head["warc-type"] == "response" else None,
+            "content_type": head.get("content-type"),
+            "http": http,
+            "payload": None if kind == "revisit" else body,
         }
 
 
-def read_archives(spark, path: str) -> DataFrame:
-    """The response and revisit records of all WARC files under ``path``, with ``FIELDS``; one task reads a file at a time."""
+def parse(data, strict: bool = False) -> Iterator[dict]:
+    """The records of an archive, given as bytes or an open binary file, as dicts of ``FIELDS``.
+
+    What follows a place where the archive breaks off, a length that is no number or damaged compression can't be told apart and is
+    passed over, or raises ``Malformed`` if ``strict``. An empty archive has no records.
+    """
+    f = io.BytesIO(data) if isinstance(data, bytes) else io.BufferedReader(data, 1 << 20)
+    start = f.peek(2) if isinstance(f, io.BufferedReader) else data
+    if start[:2] == b"\x1f\x8b":
+        f = gzip.GzipFile(fileobj=f)
+    try:
+        yield from stream(f)
+    except (Malformed, EOFError, gzip.BadGzipFile, zlib.error) as e:
+        if strict:
+            raise Malformed(str(e)) from e
+
+
+def read_archives(spark, path: str, strict: bool = False) -> DataFrame:
+    """The records of all WARC files under ``path``, of every type, with ``FIELDS``. A task reads a file at a time, as a stream of one record after the other.
+
+    ``path`` is any place that both Spark and pyarrow's file systems open. Damaged files are as in ``parse``. A folder without archives gives no rows.
+    """
     ship_package(spark)
+    names = [f.split()[0] for f in FIELDS.split(", ")]
+    kinds = [pa.binary() if f.endswith("binary") else pa.string() for f in FIELDS.split(", ")]
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        def batch(rows: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kind) for n, kind in zip(names, kinds)], names)
+
         for b in batches:
-            for raw in b.column(0):
-                rows = list(parse(raw.as_py()))
-                for i in range(0, len(rows), 1000):
-                    part = rows[i : i + 1000]
-                    names = [f.split()[0] for f in FIELDS.split(", ")]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in part], pa.string()) for n in names], names)
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("content").mapInArrow(records, FIELDS)
+            for where in b.column(0).to_pylist():
+                scheme, _, rest = where.partition(":")
+                scheme, rest = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme), quote(rest, safe="/:@")
+                system, name = fs.FileSystem.from_uri(f"{scheme}:{rest if rest.startswith('//') else '//' + rest}")
+                rows, size = [], 0
+                with system.open_input_stream(name, compression=None) as f:
+                    for r in parse(f, strict):
+                        rows.append(r)
+                        size += len(r["payload"] or b"") + 500
+                        if size > 4 << 20:
+                            yield batch(rows)
+                            rows, size = [], 0
+                if rows:
+                    yield batch(rows)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("path")
+    return files.mapInArrow(records, FIELDS)

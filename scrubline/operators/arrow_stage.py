@@ -37,26 +37,43 @@ _C1 = {c: bytes([c]).decode("cp1252") for c in range(128, 160) if c not in (0x81
 _CONTROLS = dict.fromkeys([*range(9), 11, *range(14, 32), 127, 0xFEFF, *range(0x206A, 0x2070), *range(0xFFF9, 0xFFFC)])
 _TERMINAL = re.compile("\x1b\\[[0-9;?]*[A-Za-z]")
 _BREAKS = re.compile("\r\n|[\r\x85  ]")
+_LATER = "\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 #: The first byte of a UTF-8 sequence and one that follows, both taken for characters of Latin-1 or Windows-1252.
-_MOJIBAKE = re.compile("[\xc2-\xf4][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
+_MOJIBAKE = re.compile(f"[\xc2-\xf4][{_LATER}]")
+#: Runs of whole sequences of two to four bytes. Two bytes stand alone only if they spell a Latin letter or sign, in runs also Greek or Cyrillic.
+_SEQUENCES = re.compile(f"(?:[\xe0-\xef][{_LATER}]{{2}}|[\xf0-\xf4][{_LATER}]{{3}}|[\xc2-\xc5][{_LATER}])+|(?:[\xc2-\xdf][{_LATER}]){{2,}}")
+#: What ``fix_unicode`` has a table for.
+_SPECIAL = re.compile("[" + re.escape("".join(map(chr, sorted({*_C1, *_LIGATURES, *_WIDTH, *_CURLY, *_CONTROLS, 13, 0x85, 0x2028, 0x2029, 27})))) + "]")
 
 
 def _sloppy_bytes(text: str) -> bytes:
     return b"".join(bytes([ord(c)]) if ord(c) < 256 else c.encode("cp1252") for c in text)
 
 
+def _decoded(run: str) -> str:
+    try:
+        return _sloppy_bytes(run).decode("utf-8")
+    except UnicodeError:
+        return run
+
+
+def _segment(m: re.Match) -> str:
+    run = m.group()
+    if len(run) == 2 and run[1] in "«»":  # a capital before a quotation mark
+        return run
+    better = _decoded(run)
+    return better if all(c.isprintable() or c in "\xa0\xad\ufeff" for c in better) else run
+
+
 def repair_mojibake(text: str) -> str:
-    """UTF-8 that was read as Latin-1 or Windows-1252, even repeatedly, read as UTF-8."""
-    for _ in range(4):
-        if not _MOJIBAKE.search(text):
-            break
-        try:
-            better = _sloppy_bytes(text).decode("utf-8")
-        except UnicodeError:
-            break
+    """UTF-8 that was read as Latin-1 or Windows-1252, even repeatedly, read as UTF-8: the whole text if it all was, else the runs of it that can be told."""
+    while _MOJIBAKE.search(text):
+        better = _decoded(text)
+        if better == text:
+            better = _SEQUENCES.sub(_segment, text)
         if better == text:
             break
-        text = better
+        text = better  # shorter each time
     return text
 
 
@@ -64,14 +81,14 @@ def fix_unicode(text: str, normalization: str | None = "NFC") -> str:
     """Backslash escapes, HTML entities (in texts without <), mojibake, terminal escapes, C1 controls, ligatures, widths, curly
     quotes, line breaks and control characters put right, then normalised."""
     text = unescape_backslashes(text)
-    if text.isascii() and text.isprintable() and "&" not in text:
-        return text
     if "&" in text and "<" not in text:
         text = html.unescape(text)
-    text = repair_mojibake(text).translate(_C1)
-    text = _TERMINAL.sub("", text).translate(_LIGATURES).translate(_WIDTH).translate(_CURLY)
-    text = _BREAKS.sub("\n", text).translate(_CONTROLS)
-    return unicodedata.normalize(normalization, text) if normalization else text
+    if not text.isascii():
+        text = repair_mojibake(text)
+    if _SPECIAL.search(text):
+        text = _TERMINAL.sub("", text.translate(_C1)).translate(_LIGATURES).translate(_WIDTH).translate(_CURLY)
+        text = _BREAKS.sub("\n", text).translate(_CONTROLS)
+    return unicodedata.normalize(normalization, text) if normalization and not text.isascii() else text
 
 
 # --- transliteration -------------------------------------------------------------------------------------------------
@@ -107,6 +124,18 @@ def _ascii(c: str) -> str:
 _NOT_ASCII = re.compile("[^\x00-\x7f]")
 
 
+class _Spellings(dict):
+    """The ASCII spelling of each character outside ASCII, worked out when first met; quotes count as in ``fix_strange_quotes``."""
+
+    def __missing__(self, c: str) -> str:
+        quote = c.translate(QUOTES)
+        self[c] = found = quote if quote != c else _ascii(c)
+        return found
+
+
+_SPELLINGS = _Spellings()
+
+
 def demojize(text: str) -> str:
     """Pictographs as their Unicode names, ``:like_this:``."""
     return "".join(f":{unicodedata.name(c, 'unknown').lower().replace(' ', '_')}:" if unicodedata.category(c) == "So" and ord(c) > 0x2190 else c for c in text)
@@ -114,12 +143,11 @@ def demojize(text: str) -> str:
 
 def to_ascii(text: str, no_emoji: bool = True) -> str:
     """An ASCII spelling: quotes first, then letters by table or without their marks; what has none, such as emoji, goes."""
-    if text.isascii():
-        return text.translate(QUOTES)
-    text = text.translate(QUOTES)
-    if not no_emoji:
+    if not no_emoji and not text.isascii():
         text = demojize(text)
-    return _NOT_ASCII.sub(lambda m: _ascii(m.group()), text)
+    if not text.isascii():
+        text = _NOT_ASCII.sub(lambda m: _SPELLINGS[m.group()], text)
+    return text.replace("`", "'")
 
 
 # --- HTML ------------------------------------------------------------------------------------------------------------

@@ -140,11 +140,13 @@ def anonymize(text: Column, entities: Column) -> Column:
 def anonymize_text(text: str, entities: Sequence[tuple[str, float, int, int]]) -> str:
     """What ``anonymize`` gives, for a Python string and its (group, score, start, end)."""
     spans = sorted({(a, b, score, TOKENS[g]) for g, score, a, b in entities if g in TOKENS and 0 <= a < b <= len(text)}, key=lambda s: (s[0], -s[1]))
+    most: dict[tuple[int, int], float] = {}
+    for a, b, score, _ in spans:
+        most[a, b] = max(most.get((a, b), score), score)
     kept, open_ = set(), []
-    for i, s in enumerate(spans):
+    for s in spans:
         open_ = [o for o in open_ if o[1] > s[0]]
-        same = [x for x in spans[i + 1 : i + 1 + len(TOKENS) * 8] if x[:2] == s[:2]]
-        if not any(o[1] >= s[1] and (o[2] > s[2] or (o[2] == s[2] and o[:2] != s[:2])) for o in [*open_, *same]):
+        if most[s[:2]] <= s[2] and not any(o[1] >= s[1] and (o[2] > s[2] or (o[2] == s[2] and o[:2] != s[:2])) for o in open_):
             kept.add((s[0], s[1], s[3]))
         open_.append(s)
     done: list[list] = []

@@ -23,7 +23,7 @@ def normalize_whitespace(text: Column, strip_lines: bool = True, no_line_breaks:
     Without ``strip_lines`` a run that begins with a blank becomes a space even if it holds a line break.
     """
     if no_line_breaks:
-        return F.trim(F.regexp_replace(text, P.SPACES, " "))
+        return F.trim(F.regexp_replace(text, P.WIDE_SPACES, " "))
     if not strip_lines:
         if keep_two_line_breaks:
             text = F.regexp_replace(text, r"(?:\r\n|[\n\x0B])(?:\r\n|[\n\x0B])++", "\n\n")
@@ -34,7 +34,7 @@ def normalize_whitespace(text: Column, strip_lines: bool = True, no_line_breaks:
         text = F.regexp_replace(F.regexp_replace(text, P.ONE_BREAK, "\n"), r"\n{2,}", "\n\n")
     else:
         text = F.regexp_replace(text, P.ANY_BREAKS, "\n")
-    return F.btrim(F.regexp_replace(text, P.BLANKS, " "), F.lit(" \n"))
+    return F.btrim(F.regexp_replace(text, P.WIDE_BLANKS, " "), F.lit(" \n"))
 
 
 def casefold(text: Column) -> Column:

@@ -1,9 +1,9 @@
 """Regular expressions for the JVM, put together from parts.
 
 Classes of letters, digits and white space are spelt out, so that they hold what Python's ``\\w``, ``\\d`` and ``\\s`` do. Repeated
-groups are possessive where nothing can be given back, and bounded where something can: a repeated group that may backtrack costs
-the JVM a stack frame each time round. ``GROUPS`` is that bound; beyond so many labels of a host or digit groups of a number a match is
-shorter than it would be without.
+groups are possessive: one that may backtrack costs the JVM a stack frame each time round. Where something might have to be given back, what
+follows is looked at before a group is taken. Only acronyms are bounded, by ``GROUPS`` letters. A look-ahead for the first sign stands before what
+is dear, so that most places are passed over at once.
 """
 
 from __future__ import annotations
@@ -35,26 +35,30 @@ def _d(least: int, most: int | None = -1) -> str:
     return times(DIGIT, least, least if most == -1 else most)
 
 
-YEAR = f"{after_none_of(WORD)}(?:19|20){_d(2)}(?![{WORD}])"
+YEAR = f"(?=[12]){after_none_of(WORD)}(?:19|20){_d(2)}(?![{WORD}])"
 
 _UPTO3 = f"[1-9]{_d(0, 2)}"
-_GROUPED = [f"{_UPTO3}{times(f'(?:{sep}{_d(3)})', 1, GROUPS)}(?:{point}{DIGIT}*)?" for sep, point in ((",", r"\."), ("[ .]", ","))]
-NUMBER = f"{after_none_of(WORD + ',.')}[-+–]?(?:{'|'.join([*_GROUPED, f'{DIGIT}*?[,.]{DIGIT}+', f'{DIGIT}+'])}){NUMBER_END}"
+#: A group of three digits that another sign of a word follows could only be given back.
+_GROUPED = [f"{_UPTO3}(?:{sep}{_d(3)}(?![{WORD}]))++(?:{point}{DIGIT}*)?" for sep, point in ((",", r"\."), ("[ .]", ","))]
+NUMBER = f"(?=[-+–,.{DIGIT}]){after_none_of(WORD + ',.')}[-+–]?(?:{'|'.join([*_GROUPED, f'{DIGIT}*?[,.]{DIGIT}+', f'{DIGIT}+'])}){NUMBER_END}"
 
 _GAP = "[- .]?"
 _COUNTRY = rf"(?:(?:\+?{DIGIT}+|{times('0', 1, 2)}{DIGIT}*?){_GAP})?"
 _AREA = rf"(?:\(?{_d(3, 4)}\)?/?{_GAP})?"
 _EXTENSION = rf"(?:[{SPACE}]?(?:ext\.?|[-#x])[{SPACE}]?{_d(2, 6)})?"
-PHONE = f"{after_none_of(WORD + ')')}{_COUNTRY}{_AREA}{_d(3)}{_GAP}{_d(4)}{_EXTENSION}(?![{WORD}])|\\+?{_d(4, 5)}[ ./]{_d(6, 9)}"
+PHONE = f"(?=[+({DIGIT}])(?:{after_none_of(WORD + ')')}{_COUNTRY}{_AREA}{_d(3)}{_GAP}{_d(4)}{_EXTENSION}(?![{WORD}])|\\+?{_d(4, 5)}[ ./]{_d(6, 9)})"
 
 #: Hosts and top-level domains share this class: letters, digits and, by its definition, : ; < = > ? @ [ and the backslash.
 HOST = rf"[0-9:-@A-Za-z\[\\{FOLDED}]"
-_LABEL = f"{HOST}++(?:-{HOST}++)*+"
-DOMAIN = rf"{_LABEL}{times(rf'(?:\.{_LABEL})', 0, GROUPS)}\.{times(HOST, 2)}"
+_HYPHENS = f"(?:-{HOST}++)*+"
+_LABEL = f"{HOST}++{_HYPHENS}"
+#: Labels that begin with one sign before a hyphen or the end; a domain can't end in these. Those that begin with more may end it, the last of them does.
+_SHORT, _LAST_OF = rf"(?:\.{HOST}(?!{HOST}){_HYPHENS})*+", rf"\.{times(HOST, 2)}+"
+DOMAIN = rf"{_LABEL}(?:{_SHORT}{_LAST_OF}{_HYPHENS}(?={_SHORT}{_LAST_OF}))*+{_SHORT}{_LAST_OF}"
 _LOCAL = f"[-+{WORD}]++"
 _AT = r"(?:@|[(<{\[][aA][tT][)>}\]])"
-#: What a text must hold to have an e-mail address, or a URL.
-ANY_AT, ANY_SCHEME = _AT, r"://|[wW]{3}"
+#: What a text must hold to have an e-mail address.
+ANY_AT = _AT
 #: Where a local part may begin: not after - or +, as it began earlier then; but there too if its run isn't long, or it's the first such place
 #: after a sign that none begins after. At every - and +, a long run would be read again and again.
 _BEGIN = f"(?>(?<![-+])|(?![-+{WORD}]{{1001}})|(?<=[@.)][{WORD}]{{0,1000}}[-+]))"
@@ -72,7 +76,7 @@ _LAST = rf"\.(?:{'|'.join((f'[1-9]{DIGIT}?', f'1{_d(2)}', f'2[0-4]{DIGIT}', '25[
 _IP = f"{_PRIVATE}{_FIRST}{times(_INNER, 2, 2)}{_LAST}"
 _SCHEME = rf"(?:[hH][tT][tT][pP][sS{FOLDED[2]}]?://|[fF][tT][pP]://|[wW]{{3}}{_d(0, 3)}\.)"
 _LOCALHOST = "".join(f"[{c}{c.upper()}{FOLDED[2] if c == 's' else ''}]" for c in "localhost")
-URL = f"{after_none_of(WORD + '/.')}{_SCHEME}(?:[^{SPACE}]+@)?(?:{_IP}|{DOMAIN}|{_LOCALHOST})(?::{_d(2, 5)}(?![{WORD}]))?(?:/[^])}}{SPACE}]*)?"
+URL = f"(?=[hHfFwW]){after_none_of(WORD + '/.')}{_SCHEME}(?:[^{SPACE}]+@)?(?:{_IP}|{DOMAIN}|{_LOCALHOST})(?::{_d(2, 5)}(?![{WORD}]))?(?:/[^])}}{SPACE}]*)?"
 URL = URL.replace("[^])}", r"[^\])}")
 
 ISO = dict(zip("$ zł £ ¥ ฿ ₡ ₦ ₩ ₪ ₫ € ₱ ₲ ₴ ₹".split(), "USD PLN GBP JPY THB CRC NGN KRW ILS VND EUR PHP PYG UAH INR".split()))
@@ -82,14 +86,17 @@ _ALNUM = f"A-Za-z0-9{FOLDED}"
 LONE_LETTER = rf"(?:\A|[{SPACE}])[B-TV-Zb-tv-z, {FOLDED}](?=[{SPACE}]|\z)"
 #: Brackets with their contents; one that nothing closes is matched, with all that follows, as group 1, so that it's looked at once.
 SQUARE, CURLY = r"\[[^\]]++\]|(\[[^\]]++)\z", r"\{[^}]++\}|(\{[^}]++)\z"
-LONE_SYMBOLS = rf"(?<![{_ALNUM}])[!#(),./:;<>?@\\^_{{|}}~+·]+(?![{_ALNUM}])"
-LONE_MARK = rf"(?<![{_ALNUM}])[\"%'*-](?![{_ALNUM}])"
+_SYMBOLS, _MARKS = r"[!#(),./:;<>?@\\^_{|}~+·]", r"[\"%'*-]"
+LONE_SYMBOLS = rf"(?={_SYMBOLS})(?<![{_ALNUM}]){_SYMBOLS}+(?![{_ALNUM}])"
+LONE_MARK = rf"(?={_MARKS})(?<![{_ALNUM}]){_MARKS}(?![{_ALNUM}])"
 
 #: White space as a whole, a line break with the blanks around it, blanks, and white space at the end.
 SPACES = f"[{SPACE}]++"
+#: White space, and blanks, that aren't just one space.
+WIDE_SPACES = rf"(?:(?!\x20)[{SPACE}]|\x20(?=[{SPACE}]))[{SPACE}]*+"
+WIDE_BLANKS = rf"(?:(?!\x20)[{BLANK}]|\x20(?=[{BLANK}]))[{BLANK}]*+"
 ANY_BREAKS = f"(?<![{SPACE}])[{BLANK}]*+[{BREAK}][{SPACE}]*+"
 ONE_BREAK = rf"(?:\G|(?<![{BLANK}]))[{BLANK}]*+(?:\r\n|[{BREAK}])[{BLANK}]*+"
-BLANKS = f"[{BLANK}]++"
 NARROW_BREAKS = r"(?:\r\n|[\n\x0B])++"
 NOT_BEFORE_BREAK = rf"(?!\n)[{SPACE}]++"
 OUTER = rf"\A[{SPACE}]++|(?<![{SPACE}])[{SPACE}]++\z"

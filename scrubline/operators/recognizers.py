@@ -46,33 +46,106 @@ def rule_recognizer(text: str) -> list[tuple[str, float, int, int]]:
 #: By language; "MULTI" is asked if the English one finds nothing wanted.
 DEFAULT_RECOGNIZERS: dict[str, Recognizer] = {"ENGLISH": rule_recognizer, "DUTCH": rule_recognizer, "GERMAN": rule_recognizer, "SPANISH": rule_recognizer, "MULTI": rule_recognizer}
 
+
+
+class ModelRecognizer:
+    """A recognizer that asks a model, loaded from ``folder`` by ``load`` once in a Python worker, when the first text comes.
+
+    ``load(folder)`` gives a function of a list of texts to, for each, a list of dicts with entity_group (or entity), score, start and end, as
+    token-classification pipelines do. Texts are given to it ``batch_size`` at a time. Only ``folder`` and ``load`` travel to the workers; the folder must be
+    readable there. Without ``load`` the model is loaded by the transformers library, if that is installed.
+    """
+
+    def __init__(self, folder: str, load: Callable[[str], Callable] | None = None, batch_size: int = 8):
+        self.folder, self.load, self.batch_size = folder, load or transformers_pipeline, batch_size
+
+    def batch(self, texts: Sequence[str]) -> list[list[tuple[str, float, int, int]]]:
+        key = (self.folder, getattr(self.load, "__module__", ""), getattr(self.load, "__qualname__", ""))
+        if key not in _MODELS:
+            _MODELS[key] = self.load(self.folder)
+        out = []
+        for i in range(0, len(texts), self.batch_size):
+            for found in _MODELS[key](list(texts[i : i + self.batch_size])):
+                out.append([(_group(e), float(e["score"]), int(e["start"]), int(e["end"])) for e in found])
+        return out
+
+    def __call__(self, text: str) -> list[tuple[str, float, int, int]]:
+        return self.batch([text])[0]
+
+
+_MODELS: dict[tuple, Callable] = {}
+
+
+def _group(e: dict) -> str:
+    return (e.get("entity_group") or e["entity"]).removeprefix("B-").removeprefix("I-")
+
+
+def transformers_pipeline(folder: str) -> Callable:
+    try:
+        from transformers import pipeline
+    except ModuleNotFoundError as e:
+        raise ModuleNotFoundError("give ModelRecognizer a function to load the model, or install transformers") from e
+    return pipeline("token-classification", model=folder, tokenizer=folder, aggregation_strategy="simple")
+
+
 _CHUNK = re.compile(r"\s*(?:\S+\s*)")
 
 
-def chunk_starts(text: str, words: int) -> list[int]:
-    """Where the pieces of ``words`` words each begin."""
-    starts = [m.start() for m in _CHUNK.finditer(text)]
-    return [0, *starts[words::words]] if starts else []
+def chunk_starts(text: str, most: int, count: Callable[[str], int] | None = None) -> list[int]:
+    """Where the pieces begin of ``most`` words each, or of at most ``most`` tokens in whole words if ``count`` counts a word's (of one word where it has more)."""
+    if count is None:
+        starts = [m.start() for m in _CHUNK.finditer(text)]
+        return [0, *starts[most::most]] if starts else []
+    out, room = [], 0
+    for m in _CHUNK.finditer(text):
+        n = count(m.group().strip())
+        if not out or n > room:
+            out.append(m.start() if out else 0)
+            room = most
+        room -= n
+    return out
+
+
+def _all_found(recognizer: Recognizer, pieces: Sequence[str]) -> list[list[tuple[str, float, int, int]]]:
+    return recognizer.batch(pieces) if hasattr(recognizer, "batch") else [recognizer(p) for p in pieces]
+
+
+def recognize_all(texts: Sequence[str | None], languages: Sequence[str | None], tags: Sequence[str], recognizers: dict[str, Recognizer], most: int, count: Callable[[str], int] | None = None) -> list[list[tuple[str, float, str, int, int]] | None]:
+    """For each text its entities with wanted tags, piece by piece: of the language's own recognizer, or of the English and failing that the multilingual one.
+
+    The pieces of all texts go to a recognizer together.
+    """
+    places: dict[str, list[tuple[int, int, int]]] = {}
+    for i, (text, language) in enumerate(zip(texts, languages)):
+        if text is not None:
+            starts = chunk_starts(text, most, count)
+            own = language if language in recognizers and language not in ("ENGLISH", "MULTI") else "ENGLISH"
+            places.setdefault(own, []).extend((i, a, b) for a, b in zip(starts, [*starts[1:], len(text)]))
+    out: list = [None if t is None else [] for t in texts]
+
+    def ask(name: str, own: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Adds what is found; returns the pieces in which nothing is."""
+        empty = []
+        for (i, a, b), found in zip(own, _all_found(recognizers[name], [texts[i][a:b] for i, a, b in own])):
+            wanted = [(g, float(s), texts[i][a + x : a + y], a + x, a + y) for g, s, x, y in found if g in tags]
+            out[i] += wanted
+            if not wanted:
+                empty.append((i, a, b))
+        return empty
+
+    for name, own in places.items():
+        empty = ask(name, own)
+        if name == "ENGLISH" and empty:
+            ask("MULTI", empty)
+    return [None if found is None else sorted(found, key=lambda e: e[3]) if len(found) > 1 else found for found in out]
 
 
 def recognize(text: str, language: str | None, tags: Sequence[str], recognizers: dict[str, Recognizer], chunk_words: int) -> list[tuple[str, float, str, int, int]]:
-    """Entities with wanted tags, piece by piece: of the language's own recognizer, or of the English and failing that the multilingual one."""
-    out, starts = [], chunk_starts(text, chunk_words)
-    for a, b in zip(starts, [*starts[1:], len(text)]):
-        piece = text[a:b]
-
-        def wanted(name: str, piece: str = piece) -> list:
-            return [e for e in recognizers[name](piece) if e[0] in tags]
-
-        if language in recognizers and language not in ("ENGLISH", "MULTI"):
-            found = wanted(language)
-        else:
-            found = wanted("ENGLISH") or wanted("MULTI")
-        out += [(g, float(s), piece[x:y], a + x, a + y) for g, s, x, y in found]
-    return out
+    """``recognize_all`` of one text."""
+    return recognize_all([text], [language], tags, recognizers, chunk_words)[0]
 
 
-def recognize_column(text: Column, language: Column, tags: Sequence[str], recognizers: dict[str, Recognizer] | None = None, chunk_words: int = 460) -> Column:
+def recognize_column(text: Column, language: Column, tags: Sequence[str], recognizers: dict[str, Recognizer] | None = None, chunk_words: int = 460, token_count: Callable[[str], int] | None = None) -> Column:
     """The entities of each text as an array of structs, found by Python functions over Arrow batches."""
     if not tags:
         raise ValueError("tags must name one entity group at least")
@@ -81,26 +154,27 @@ def recognize_column(text: Column, language: Column, tags: Sequence[str], recogn
     @F.pandas_udf(ENTITIES)
     def run(texts: pd.Series, languages: pd.Series) -> pd.Series:
         names = ("entity_group", "score", "word", "start", "end")
-        return pd.Series([None if t is None else [dict(zip(names, e)) for e in recognize(t, lang, tags, by_language, chunk_words)] for t, lang in zip(texts, languages)])
+        return pd.Series([None if found is None else [dict(zip(names, e)) for e in found] for found in recognize_all(list(texts), list(languages), tags, by_language, chunk_words, token_count)])
 
     return run(text, language)
 
 
-def anonymize_column(text: Column, language: Column, tags: Sequence[str], threshold: float | None = None, recognizers: dict[str, Recognizer] | None = None, chunk_words: int = 460) -> Column:
+def anonymize_column(text: Column, language: Column, tags: Sequence[str], threshold: float | None = None, recognizers: dict[str, Recognizer] | None = None, chunk_words: int = 460, token_count: Callable[[str], int] | None = None) -> Column:
     """The text with a token for each entity of ``recognize_column`` that scores ``threshold``, the best of each span; in one crossing to Python."""
     if not tags:
         raise ValueError("tags must name one entity group at least")
     by_language, least = recognizers or DEFAULT_RECOGNIZERS, threshold or DEFAULT_THRESHOLD
 
-    def one(t: str, lang: str | None) -> str:
+    def one(t: str, found: list) -> str:
         best: dict[tuple[int, int], tuple] = {}
-        for group, score, _, a, b in recognize(t, lang, tags, by_language, chunk_words):
+        for group, score, _, a, b in found:
             if score >= least and ((a, b) not in best or score > best[a, b][1]):
                 best[a, b] = (group, score, a, b)
-        return anonymize_text(t, list(best.values()))
+        return anonymize_text(t, list(best.values())) if best else t
 
     @F.pandas_udf("string")
     def run(texts: pd.Series, languages: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else one(t, lang) for t, lang in zip(texts, languages)], dtype=object)
+        every = recognize_all(list(texts), list(languages), tags, by_language, chunk_words, token_count)
+        return pd.Series([None if t is None else one(t, found) for t, found in zip(texts, every)], dtype=object)
 
     return run(text, language)

@@ -72,10 +72,11 @@ def clean(df: DataFrame, text_col: str = "text", cfg: CleanConfig | None = None,
     else:
         detected = F.lit(None).cast("string")
     out = out.withColumn(lang, F.when(~blank & F.col(raw_name).isNotNull(), detected))
-    staged = arrow_stage(F.col(raw_name), cfg.fix_unicode, cfg.to_ascii, cfg.replace_html, cfg.html_token)
-    out = out.withColumn(lm, F.when(blank, F.lit("")).otherwise(redaction(staged, cfg)))
+    # a blank text is emptied first: a condition around the steps would keep what they share from being worked out once
+    staged = arrow_stage(F.when(blank, F.lit("")).otherwise(F.col(raw_name)), cfg.fix_unicode, cfg.to_ascii, cfg.replace_html, cfg.html_token)
+    out = out.withColumn(lm, redaction(staged, cfg))
     if cfg.ner:
-        out = out.withColumn(lm, recognizers.anonymize_column(F.col(lm), F.col(lang), cfg.entity_tags, cfg.ner_threshold, cfg.recognizers, cfg.ner_chunk_words))
+        out = out.withColumn(lm, recognizers.anonymize_column(F.col(lm), F.col(lang), cfg.entity_tags, cfg.ner_threshold, cfg.recognizers, cfg.ner_chunk_words, cfg.ner_token_count))
     if cfg.stat_text:
         out = out.withColumn(stat, statistics_text(F.col(lm), F.col(lang), cfg))
     if not (cfg.stat_text or cfg.detect_language):

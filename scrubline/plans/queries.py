@@ -6,6 +6,8 @@ match and puts it back, and where an end of word matters it first wraps accented
 
 from __future__ import annotations
 
+import dataclasses
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from ..config import CleanConfig
 from ..operators import arrow_stage, entities, filters, language, normalize, redact
 from ..operators.stopword_lists import STOP_WORDS
+from ..sources import spread
 from . import pipeline
 
 LANGUAGES = ("ENGLISH", "GERMAN", "SPANISH", "FRENCH")
@@ -27,7 +30,7 @@ ORACLES: dict[str, str] = {}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
@@ -131,6 +134,10 @@ def sql_paragraphs(x: str) -> str:
     return f"trim({_sub(_sub(one, r'\n{2,}', chr(10) * 2), r'[\t ]+', ' ')}, ' ' || chr(10))"
 
 
+def sql_keep_lines(x: str) -> str:
+    return f"trim({_sub(_sub(x, r'\n+', chr(10)), r'[^\S\n]\s*', ' ')}, ' ' || chr(10) || chr(9) || chr(13))"
+
+
 def sql_casefold(x: str) -> str:
     return f"replace(lower({x}), 'ß', 'ss')"
 
@@ -178,14 +185,20 @@ def sql_stop_words(x: str, lang: str) -> str:
 
 
 def sql_language(x: str) -> str:
-    """The first of the languages with the most words of its vocabulary."""
-    scores = []
-    for name in LANGUAGES:
-        words = ", ".join(_quoted(w) for w in language.vocabulary(name))
-        scores.append(f"len(list_filter(string_split_regex(lower({x}), '[^\\p{{L}}'']+'), lambda w: w IN ({words})))")
-    listed = f"[{', '.join(scores)}]"
+    """The first of the languages with the most words of its vocabulary, or if none has any, with the most runs of letters of its profile."""
+    profiles = language.profiles(LANGUAGES)
     names = "[" + ", ".join(f"'{n}'" for n in LANGUAGES) + "]"
-    return f"(SELECT CASE WHEN list_max(s) > 0 THEN {names}[list_position(s, list_max(s))] END FROM (SELECT {listed} AS s))"
+
+    def listed(found: str, wanted: dict[str, tuple[str, ...]]) -> str:
+        return "[" + ", ".join(f"len(list_filter({found}, lambda w: w IN ({', '.join(map(_quoted, words))})))" for words in wanted.values()) + "]"
+
+    def best(s: str) -> str:
+        return f"CASE WHEN list_max({s}) > 0 THEN {names}[list_position({s}, list_max({s}))] END"
+
+    words = listed(f"string_split_regex(lower({x}), '[^\\p{{L}}'']+')", {n: language.vocabulary(n) for n in LANGUAGES})
+    spaced = f"' ' || {_sub(f'lower({x})', r'[^\p{L}' + chr(39) + ']+', ' ')} || ' '"
+    letters = listed(f"list_transform(range(1, greatest(length({spaced}) - 1, 1)), lambda i: substr({spaced}, i, 3))", profiles)
+    return f"(SELECT CASE WHEN list_max(s) > 0 THEN {best('s')} ELSE (SELECT {best('r')} FROM (SELECT {letters} AS r)) END FROM (SELECT {words} AS s))"
 
 
 def sql_lm(x: str) -> str:
@@ -217,6 +230,8 @@ _text("to_ascii", arrow_stage.to_ascii_column, sql_ascii("t"))
 _text("ws_single_line", lambda t: normalize.normalize_whitespace(t, no_line_breaks=True), sql_one_line("t"), text=_BREAKS)
 _text("ws_lines", normalize.normalize_whitespace, sql_lines("t"), text=_BREAKS)
 _text("ws_paragraphs", lambda t: normalize.normalize_whitespace(t, keep_two_line_breaks=True), sql_paragraphs("t"), text=_BREAKS)
+_text("ws_keep_lines", lambda t: normalize.normalize_whitespace(t, strip_lines=False), sql_keep_lines("t"), text=_BREAKS)
+_text("demojize", lambda t: arrow_stage.to_ascii_column(t, no_emoji=False), f"replace(replace({sql_ascii('t')}, '🙂', ':slightly_smiling_face:'), '✈', ':airplane:')", text="concat('🙂', text, ' ✈✈')")
 _text("casefold", normalize.casefold, sql_casefold("t"))
 _text("isolated_letters", filters.remove_isolated_letters, sql_letters("t"), text="concat('x ', replace(text, 'th', ' b '), ' c d')")
 _text("bracket_contents", filters.remove_bracket_contents, sql_brackets("t"), "events", "event_id", "concat('a [', event_type, '] ', props, ' z')")
@@ -383,4 +398,31 @@ _add(
     _cleaned("stat_text", "language"),
     f"SELECT doc_id, {sql_stat('t', 'language')} AS stat_text, language FROM (SELECT doc_id, {sql_lm('text')} AS t, {sql_language('text')} AS language FROM documents)",
 )
+_add(
+    "fixed_language",
+    _cleaned("stat_text", "language", cfg=dataclasses.replace(CONFIG, language="german")),
+    f"SELECT doc_id, {sql_stat('t', chr(39) + 'GERMAN' + chr(39))} AS stat_text, 'GERMAN' AS language FROM (SELECT doc_id, {sql_lm('text')} AS t FROM documents)",
+)
+
+#: Words that a simple recognizer takes for entities, so that SQL can do the same.
+ENTITY_WORDS = {"token": "PER", "und": "LOC", "que": "ORG"}
+
+
+def word_recognizer(text: str) -> list[tuple[str, float, int, int]]:
+    return [(ENTITY_WORDS[m.group()], 0.9, m.start(), m.end()) for m in re.finditer(rf"\b(?:{'|'.join(ENTITY_WORDS)})\b", text)]
+
+
+def sql_words(x: str) -> str:
+    """One token for words of a group in a row."""
+    for word, group in ENTITY_WORDS.items():
+        x = _sub(x, rf"\b{word}\b(?:\s+{word}\b)*", entities.TOKENS[group])
+    return x
+
+
+_add(
+    "clean_words",
+    _cleaned("lm_text", "stat_text", "language", cfg=dataclasses.replace(CONFIG, ner=True, recognizers=dict.fromkeys([*LANGUAGES, "MULTI"], word_recognizer))),
+    f"""SELECT doc_id, t AS lm_text, {sql_stat('t', 'language')} AS stat_text, language
+        FROM (SELECT doc_id, {sql_words(sql_lm('text'))} AS t, {sql_language('text')} AS language FROM documents)""",
+)
 _add("clean_struct", _cleaned("lm_text", "stat_text", "language", cfg=CleanConfig()))

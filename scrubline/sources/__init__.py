@@ -22,6 +22,25 @@ def read_texts(spark: SparkSession, path: str, format: str = "parquet", text_col
     return rows.withColumnRenamed("value", text_col) if format == "text" else rows
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` of Parquet files dealt out to all cores, if their row groups are fewer than these; else as they are.
+
+    A row group is read by one task, so a small table in one of them would be one task's work. Footers are only read of as many files as
+    there are cores, and a table of more files, as any large one is, is never shuffled.
+    """
+    from pyarrow import fs, parquet
+
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    files = rows.inputFiles()
+    if not files or len(files) >= cores or not all(f.endswith(".parquet") for f in files):
+        return rows
+    groups = 0
+    for f in files:
+        system, name = fs.FileSystem.from_uri(f)
+        groups += parquet.ParquetFile(name, filesystem=system).metadata.num_row_groups
+    return rows.repartition(cores) if groups < cores else rows
+
+
 def from_strings(spark: SparkSession, texts: Iterable[str | None], text_col: str = "text") -> DataFrame:
     """A few texts held in memory, with their places as ``id``."""
     return spark.createDataFrame(list(enumerate(texts)), f"id long, `{text_col}` string")

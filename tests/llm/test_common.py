@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import pytest
 
 from scrubline.llm import common
@@ -58,3 +62,35 @@ def test_keys_of_ids_of_any_type(spark, monkeypatch, exact, ids, kind):
     assert rows.columns == ["Doc_Id", "text", "__key"] and dict(rows.dtypes)["Doc_Id"] == kind
     back = with_ids(rows.select("__key"), rows, "doc_id")
     assert sorted(repr(r["doc_id"]) for r in back.collect()) == sorted(map(repr, ids))
+
+
+def test_tables_go_when_they_are_cleared(spark):
+    mark = common.marked()
+    table = Scratch(spark, "test").write(spark.range(3))
+    folder = table.path.removeprefix("file://")
+    assert os.path.exists(folder)
+    common.clear(spark, mark)
+    assert not os.path.exists(folder) and common.marked() == mark
+
+
+def test_the_package_travels_as_a_file(spark, tmp_path):
+    """Another Python finds the operators in the file that workers get, and in nothing else."""
+    (tmp_path / "x.zip").write_bytes(common.package_zip())
+    code = "import scrubline.llm.minhash as m, scrubline.plans.queries; print(m.__file__)"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path / "x.zip")}, capture_output=True, text=True)
+    assert str(tmp_path / "x.zip") in out.stdout, out.stderr
+    code = """
+from pyspark.sql import SparkSession
+from scrubline.llm import common
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+common.send_package(spark)
+common.send_package(spark)
+def where(batches):
+    import sys
+    import pyarrow as pa
+    for _ in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(sys.path)], ["path"])
+print("found", spark.range(1).mapInArrow(where, "path string").filter("path like '%scrubline.zip%'").count())
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True)
+    assert "found 1" in out.stdout, out.stderr

@@ -7,14 +7,15 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from scrubline.llm import quality
 from scrubline.llm.common import Scratch
 from scrubline.llm.packing import TIERS
-from tests.llm.test_minhash import pairs_by_brute_force, roots
+from scrubline.llm.token_counts import VOCABULARY, read_ranks
+from tests.llm.test_minhash import SF, pairs_by_brute_force, roots
+from tests.llm.test_packing_tokens import tokens
 from tests.llm.test_suffix_dedup import brute
 
-SF = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
@@ -70,7 +71,8 @@ def test_suffix_dedup(stages):
 
 def test_packing(stages):
     _, before, _, after = stages["packing"]
-    want = {r["doc_id"]: -(-len(r["text"].encode()) // 4) for r in before if r["text"]}
+    ranks = read_ranks(VOCABULARY)
+    want = {r["doc_id"]: tokens(r["text"], ranks) for r in before if r["text"]}
     got, used = defaultdict(int), defaultdict(int)
     for r in after:
         got[r["doc_id"]] += r["n_tokens"]
@@ -81,3 +83,38 @@ def test_packing(stages):
 def test_run_gives_the_last_stage(spark, stages):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert sorted(map(tuple, rows), key=str) == sorted((tuple(r.values()) for r in stages["packing"][3]), key=str)
+
+
+def odd_corpus(spark, ids):
+    """Null and repeated ids, null, empty and blank texts, exact and near copies and a passage that repeats."""
+    words = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    texts = [words("a", 80), words("a", 80), words("b", 80), words("b", 80) + " end", words("c", 60) + " " + words("d", 400), words("e", 400) + " " + words("c", 60), None, None, "", "", " ", "...", words("f", 20)]
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in zip(ids, texts)], "doc_id string, text string, lang string, source string, n_chars long").repartition(3)
+
+
+@pytest.mark.parametrize("kind,ids", [("bigint", [1, 1, None, None, 5, 6, 7, None, 9, 9, 11, 12, 13]), ("string", ["0", "01", "1", "x", "a", "b", "", None, "c", "d", "e", "f", "g"])])
+def test_odd_rows_through_the_whole_chain(spark, tmp_path, kind, ids):
+    docs = odd_corpus(spark, [None if i is None else str(i) for i in ids]).withColumn("doc_id", F.col("doc_id").cast(kind))
+    docs = docs.selectExpr("*", "1 as __key", "2 as __spans", "3 as score", "4 as band")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, 1, 0)], "doc_id string, quality int, toxic int").withColumn("doc_id", F.col("doc_id").cast(kind)).write.parquet(f"{tmp_path}/labels.parquet")
+    at, left = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, at, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        at = spark.read.parquet(f"{tmp_path}/{name}")
+        left[name] = sorted((r["text"] for r in at.collect()), key=str) if name != "packing" else None
+        assert name == "packing" or at.columns == docs.columns
+    texts = [r["text"] for r in docs.collect()]
+    assert left["quality"] == sorted(texts, key=str)
+    assert left["exact_dedup"] == sorted([*{t for t in texts if t is not None}, None, None], key=str)
+    assert len(left["near_dedup"]) == len(left["exact_dedup"]) - 1 and len(left["suffix_dedup"]) == len(left["near_dedup"])
+    assert sum("c0 c1" in (t or "") for t in left["suffix_dedup"]) == 1
+    assert at.dtypes[0] == ("doc_id", kind) and at.count() >= 5
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == at.count()
+
+
+def test_empty_tables_through_the_whole_chain(spark, tmp_path):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet").limit(0) for t in ("documents", "labels"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -8,8 +8,9 @@ import corpus_pipeline
 from scrubline.llm import queries
 from scrubline.llm.packing import TIERS
 from scrubline.llm.token_counts import PRE_TOKENS, VOCABULARY, merge, read_ranks
+from tests.compare import DATA
 
-SF = "/root/testdata/sf0.001"
+SF = DATA
 
 
 def tokens(text, ranks):

@@ -1,11 +1,16 @@
+import os
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from scrubline.llm.common import Scratch
-from scrubline.llm.quality import N_FEATURES, drop_poor, learn, quantile, rank_documents
+from scrubline.llm.quality import N_FEATURES, PAIRS, PREFIX, SHAPE_AT, WORD_BITS, drop_poor, features, learn, quantile, rank_documents, scores, train
+from tests.compare import DATA
 
-SF = "/root/testdata/sf0.1"
+SF = os.path.join(os.path.dirname(DATA), "sf0.1") if os.path.basename(DATA) == "sf0.001" else DATA
 
 
 def test_held_out_accuracy(spark):
@@ -49,3 +54,74 @@ def test_nulls_ties_empty_tables_and_clashing_columns(spark):
     assert listed.filter("score is null").count() == 3 and listed.count() == out.count()
     assert drop_poor(docs, labels.filter("quality = 1")).count() == len(rows)  # one class only
     assert drop_poor(docs, labels.limit(0)).count() == len(rows) and rank_documents(docs.limit(0), labels).count() == 0
+
+
+def bradley_terry(x, good, steps, rate=0.1, l1=1e-4, l2=0.1, seed=7):
+    """Weights by following the slope, found by finite differences, of the mean logistic loss over pairs that are written out one by one."""
+    g, b = np.flatnonzero(good), np.flatnonzero(~good)
+    rng = np.random.Generator(np.random.PCG64(seed))
+    pairs = [*zip(rng.choice(g, len(b) * PAIRS), np.repeat(b, PAIRS)), *zip(g, rng.choice(b, len(g)))]
+    apart = np.array([x[i] - x[j] for i, j in pairs])
+
+    def loss(v):
+        return np.mean(np.log1p(np.exp(-apart @ v))) + l2 * (v @ v) / (2 * len(v))
+
+    v = m = s = np.zeros(x.shape[1])
+    for t in range(1, steps + 1):
+        slope = np.array([(loss(v + e) - loss(v - e)) / 2e-5 for e in np.eye(len(v)) * 1e-5]) + l1 * np.sign(v)
+        m, s = 0.9 * m + 0.1 * slope, 0.99 * s + 0.01 * slope**2
+        v = v - rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-6)
+    return v
+
+
+def test_weights_like_those_of_the_pairs_written_out():
+    rng = np.random.Generator(np.random.PCG64(3))
+    x = rng.normal(size=(30, 6)) + np.outer(np.arange(30) < 18, [1.0, -1.0, 0.5, 0, 0, 0])
+    rows, ids = np.nonzero(x)
+    w = learn(rows, SHAPE_AT + ids, x[rows, ids], np.arange(30) < 18, steps=40)
+    assert np.allclose(w[SHAPE_AT : SHAPE_AT + 6], bradley_terry(x, np.arange(30) < 18, 40), atol=1e-3)
+
+
+def test_features_like_counting_words():
+    """Values of hashed words and beginnings of words, by counting; texts with the same counts have the same features."""
+    texts = ["a a bcdef BCDEZ", "", None, "x " * 3000, "été, a", "b a"]
+    got = {}
+    for i, j, r, ids, values, _ in features(pa.array(texts, pa.string())):
+        for row, f, v in zip(r, ids, values):
+            got.setdefault(i + int(row), Counter())[round(float(v), 9)] += 1
+            assert 0 <= f < 2 << WORD_BITS
+    for n, t in enumerate(texts):
+        raw = [w for w in "".join(c if c.isalnum() else " " for c in (t or "").lower()).encode().split()]
+        want = Counter()
+        for counts in (Counter(raw), Counter(w[:PREFIX] for w in raw)):
+            want.update(round(float(np.log1p(c) / (len(raw) + 20.0) ** 0.25), 9) for c in counts.values())
+        assert got.get(n, Counter()) == want
+
+
+def test_labels_of_unknown_documents_take_no_place_in_the_sample(spark):
+    docs = spark.createDataFrame([(i, f"the quick fox {i} runs over the hill and home again") for i in range(60)] + [(100 + i, f"$$$ ### buy {i} ### $$$ now !!! ###") for i in range(60)] + [(1000 + i, None) for i in range(50)], "doc_id long, text string")
+    known = [(i, 1, 0) for i in range(60)] + [(100 + i, 0, 0) for i in range(60)]
+    labels = spark.createDataFrame(known + [(5000 + i, i % 2, 0) for i in range(20_000)] + [(1000 + i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in drop_poor(docs, labels, sample=50).collect()}
+    assert not kept & set(range(100, 160)) and len(kept & set(range(60))) >= 59 and kept >= set(range(1000, 1050))
+
+
+def test_a_labelled_id_that_many_rows_have_is_learnt_from_once(spark):
+    rows = [(1, f"the quick fox runs home {i}") for i in range(3000)] + [(i, f"the slow fox {i} rests at home") for i in range(2, 40)] + [(100 + i, f"$$$ ### buy {i} $$$ !!!") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 40)] + [(100 + i, 0, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    weights, _ = train(docs, labels, Scratch(spark, "test"), "doc_id", "text")
+    once, _ = train(docs.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")), labels, Scratch(spark, "test"), "doc_id", "text")
+    assert (weights == once).all() and weights.any()
+    good, bad = (scores(pa.array([t]), weights)[0] for t in ("the quick fox rests at home", "$$$ ### buy $$$ !!!"))
+    assert good > bad
+
+
+@pytest.mark.parametrize("kind", ["string", "double"])
+def test_ids_of_other_types_and_a_very_long_text(spark, kind):
+    rows = [(f"{i}.5", f"the quick fox {i} runs over the hill and home again", 1) for i in range(40)] + [(f"{100 + i}.5", f"$$$ ### buy {i} ### $$$ now !!! ###", 0) for i in range(40)]
+    rows += [("900.5", "the quick fox runs over the hill and home again " * 30_000, 1)]
+    df = spark.createDataFrame(rows, "i string, text string, quality int").selectExpr(f"cast(i as {kind}) as doc_id", "text", "quality", "0 as toxic")
+    out = drop_poor(df.select("doc_id", "text"), df.select("doc_id", "quality", "toxic"))
+    assert out.dtypes == [("doc_id", kind), ("text", "string")] and 40 <= out.count() <= 41
+    assert dict(rank_documents(df.select("doc_id", "text"), df.select("doc_id", "quality", "toxic")).dtypes)["doc_id"] == kind

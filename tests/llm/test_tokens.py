@@ -1,13 +1,15 @@
 import base64
 import os
 import random
+import unicodedata
 
 import numpy as np
 import pytest
 
 from scrubline.llm import bpe, token_counts
 from scrubline.llm.bpe import Codec, decode, encode, serialize
-from scrubline.llm.token_counts import VOCABULARY, Remembering, merge, read_ranks, whole_tokens
+from scrubline.llm.token_counts import PRE_TOKENS, VOCABULARY, Remembering, merge, odd_signs, pre_tokenizer, read_ranks, whole_tokens
+from tests.compare import DATA
 
 pytestmark = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary file")
 TEXTS = ["", " ", "Hello world's  end\n\n\n next", "naïve café 東京 🙂🙂", "12345 a1b2 don't I'LL", "<|endoftext|>", "\x00\x7f\t \r\n", "a" * 5000, "ab" * 20_000, " " * 3000 + "x", "xyzzy" * 3, "é‍"]
@@ -46,7 +48,7 @@ def test_counts_and_tokens_like_a_library(spark, ranks):
 
 
 def test_real_documents_like_a_library(spark, ranks):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     t, texts = tokenizer(ranks), {r["doc_id"]: r["text"] for r in docs.collect()}
     assert {r["doc_id"]: list(r["tokens"]) for r in encode(docs).collect()} == {i: t.encode_ordinary(x) for i, x in texts.items()}
     assert {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs).collect()} == {i: len(t.encode_ordinary(x)) for i, x in texts.items()}
@@ -104,3 +106,40 @@ def test_the_model_is_made_from_the_vocabulary_alone(tmp_path):
     with pytest.raises(ValueError):
         serialize({b"a": 5})
     assert codec.encode("").dtype == np.int32
+
+
+def test_pre_tokens_of_both_libraries_are_the_same():
+    import regex
+
+    find, exact, rng = pre_tokenizer(odd_signs()), regex.compile(PRE_TOKENS).findall, random.Random(12)
+    signs = ["a", "'s", "é", "1", ".", "_", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "\x85", "\u200b", "'", "ll", "東", "一", "½", "Ⅷ", "²", "٣", "🙂", "\u0301", "\U0001e5ff"]
+    for _ in range(20_000):
+        t = "".join(rng.choice(signs) for _ in range(rng.randint(0, 25)))
+        assert find(t) == exact(t), repr(t)
+    for i in (*range(0xD800), *range(0xE000, 0x110000)):
+        if unicodedata.category(c := chr(i)) != "Cn" and i < 0x3400 or i % 97 == 0:
+            assert find(f"a{c} {c}1 {c}.") == exact(f"a{c} {c}1 {c}."), i
+
+
+def test_the_codec_remembers_a_bounded_number(ranks):
+    codec = Codec(serialize(ranks), ranks, most=50)
+    texts = noise(300)
+    for i in range(0, 300, 10):
+        got = codec.encode_all([*texts[i : i + 10], None, "x" * 5000])
+        assert got[10] is None and [codec.decode_bytes(x) for x in got[:10]] == [t.encode() for t in texts[i : i + 10]]
+    assert len(codec.known) < 50 + 600 and not any(len(p) > 128 for p in codec.known)
+
+
+def test_long_strings_arent_remembered():
+    known = Remembering({}, len)
+    assert known["x" * 5000] == 5000 and not known and known["abc"] == 3 and len(known) == 1
+
+
+@pytest.mark.parametrize("kind", ["string", "double"])
+def test_ids_of_other_types_come_back(spark, kind):
+    df = spark.createDataFrame([("0", "a b"), ("01", "c"), ("1.5", None)], "i string, text string").selectExpr(f"cast(i as {kind}) as doc_id", "text")
+    coded = encode(df)
+    for out in (token_counts.token_counts(df), coded, decode(coded)):
+        assert out.dtypes[0] == ("doc_id", kind) and sorted(r[0] for r in out.collect()) == sorted(r[0] for r in df.collect())
+    assert sorted(map(str, decode(coded).collect())) == sorted(map(str, df.collect()))
+    assert decode(coded.limit(0)).count() == 0 and decode(coded.unionByName(coded)).count() == 6

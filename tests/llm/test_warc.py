@@ -1,85 +1,198 @@
+import base64
 import gzip
 import hashlib
+import io
+
+import pytest
+from pyspark.sql import functions as F
 
 from scrubline.llm import queries
-from scrubline.llm.warc import FIELDS, capture, parse, read_archives, resolve, write_archives
+from scrubline.llm.warc import FIELDS, Malformed, archive, base32, canonical, capture, parse, read_archives, resolve, write_archives
+from tests.compare import DATA
+
+HTTP = b"HTTP/1.1 404 Not Found\r\nContent-Type: text/html\r\n\r\n"
+RESPONSE = "application/http; msgtype=response"
+
+
+def hexadecimal(b):
+    return "sha1:" + hashlib.sha1(b).hexdigest()
+
+
+def digest(b):
+    return "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+
+
+def one_spelling(d):
+    kind, _, value = d.partition(":")
+    return digest_of_hex(value) if kind.lower() == "sha1" and len(value) == 40 else kind.lower() + ":" + value.upper() if kind.lower() == "sha1" else d
 
 
-def digest(s):
-    return "sha1:" + hashlib.sha1(s.encode()).hexdigest()
+def digest_of_hex(value):
+    return "sha1:" + base64.b32encode(bytes.fromhex(value)).decode()
 
 
 def brute(records):
-    """(record id, type, refers to, payload) of the output."""
-    unique = {}
+    """(record id, type, refers to, http, payload) of the output."""
+    unique, out = {}, []
     for r in records:
-        if r[0] is None:
+        i, kind, payload = r[0], r[1] or "response", r[8]
+        if i is None:
             continue
-        kind = "revisit" if r[1] == "revisit" else "response"
-        payload = (r[6] or "") if kind == "response" else None
+        if kind not in ("response", "revisit"):
+            out.append((i, kind, None, None, payload or b""))
+            continue
+        payload = (payload or b"") if kind == "response" else None
         d = r[4] or (digest(payload) if payload is not None else "")
-        unique[r[0], d] = min(unique.get((r[0], d), (kind, payload)), (kind, payload))
+        this = (kind, len(payload or b""), r[7], payload)
+        k = (i, one_spelling(d))
+        unique[k] = min(unique.get(k, this), this, key=lambda x: (x[0], x[1], x[3] or b""))
     first = {}
-    for (i, d), (kind, _) in unique.items():
+    for (i, d), (kind, *_) in unique.items():
         if kind == "response":
             first[d] = min(first.get(d, i), i)
-    out = []
-    for (i, d), (kind, payload) in unique.items():
+    for (i, d), (kind, _, http, payload) in unique.items():
         original = kind == "response" and first[d] == i
-        out.append((i, "response" if original else "revisit", None if original or not d else first.get(d), payload if original else None))
+        out.append((i, "response" if original else "revisit", None if original or not d else first.get(d), http, payload if original else None))
     return sorted(out, key=str)
 
 
+def row(i, kind, payload=None, d=None, url="u", http=None, content_type=RESPONSE):
+    return (i, kind, url, None, d, None, content_type, http, payload)
+
+
 ROWS = [
-    ("b", "response", "u1", None, None, None, "same"),
-    ("a", "response", "u2", None, None, None, "same"),
-    ("c", "revisit", "u3", None, digest("same"), None, None),
-    ("d", "revisit", "u4", None, digest("lost"), None, None),
-    ("e", "revisit", None, None, None, None, None),
-    (None, "response", "u", None, None, None, "x"),
-    ("f", "response", None, None, None, None, None),
-    ("g", None, "u5", None, None, None, "only"),
-    ("g", "response", "u5", None, None, None, "only"),
-    ("g", "revisit", "u5", None, digest("only"), None, None),
-    ("g", "response", "u5", None, None, None, "other é"),
-    ("h", "response", "u6", None, None, None, "long é " * 50_000),
+    row("b", "response", b"same", http=HTTP),
+    row("a", "response", b"same"),
+    row("c", "revisit", d=digest(b"same")),
+    row("c2", "revisit", d=hexadecimal(b"same"), http=HTTP),
+    row("c3", "revisit", d=digest(b"same").replace("sha1", "SHA1").lower()),
+    row("d", "revisit", d=digest(b"lost")),
+    row("e", "revisit", url=None),
+    row(None, "response", b"x"),
+    row("f", "response", url=None),
+    row("g", None, b"only"),
+    row("g", "response", b"only"),
+    row("g", "revisit", d=digest(b"only")),
+    row("g", "response", "other é".encode()),
+    row("h", "response", "long é ".encode() * 50_000),
+    row("i", "response", b"\xff\xfe\x00PNG", http=HTTP),
+    row("j", "request", b"GET / HTTP/1.1\r\n\r\n", content_type="application/http; msgtype=request"),
+    row("j", "warcinfo", b"software: x\r\n", content_type="application/warc-fields", url=None),
+    row("j", "resource", None, content_type="image/png"),
+    row("k", "response", b"short", d="md5:ABCDEF"),
+    row("k", "response", b"a longer payload", d="md5:abcdef"),
+    row("l", "revisit", d="md5:AbCdEf"),
+    row("m", "revisit", d="no colon"),
 ]
 
 
+def seen(df):
+    plain = lambda x: None if x is None else bytes(x)
+    return sorted(((r["record_id"], r["warc_type"], r["refers_to"], plain(r["http"]), plain(r["payload"])) for r in df.collect()), key=str)
+
+
 def test_like_brute_force(spark):
-    df = spark.createDataFrame(ROWS, FIELDS).repartition(4).selectExpr("*", "1 as h", "2 as n", "3 as original")
-    got = sorted(((r["record_id"], r["warc_type"], r["refers_to"], r["payload"]) for r in resolve(df).collect()), key=str)
-    assert got == brute(ROWS)
+    df = spark.createDataFrame(ROWS, FIELDS).repartition(4).selectExpr("*", "1 as h", "2 as n", "3 as original", "4 as same", "5 as times")
+    got = resolve(df)
+    want = [x for x in brute(ROWS) if x[0] != "l"] + [("l", "revisit", "k", None, None)]  # hexadecimal digests in any case
+    want = [x for x in want if x[0] != "k"] + [("k", "response", None, None, b"short")]
+    assert seen(got) == sorted(want, key=str)
+    assert all(r["payload_bytes"] == len(r["payload"] or b"") for r in got.collect())
     assert resolve(df.limit(0)).count() == 0
 
 
+def test_spellings_of_digests(spark):
+    rows = [(hexadecimal(b"x"), digest(b"x")), (digest(b"x").lower(), digest(b"x")), ("SHA1:" + digest(b"x")[5:], digest(b"x")), ("md5:AB12", "md5:ab12"), ("x", "x"), ("", ""), (None, None), ("sha256:zz", "sha256:zz")]
+    df = spark.createDataFrame(rows, "d string, want string").select("d", "want", canonical(F.col("d")).alias("got"), base32(F.sha1("d")).alias("b"))
+    for r in df.collect():
+        assert r["got"] == r["want"] and (r["d"] is None or r["b"] == digest(r["d"].encode())[5:])
+
+
+def test_a_crowd_of_one_digest(spark):
+    """A third of all records and more has the same payload."""
+    df = spark.range(30_000).selectExpr("cast(id as string) as record_id", "if(id % 3 = 0, 'response', 'revisit') as warc_type", "'u' as url", "cast(null as string) as date", f"if(id % 3 = 2, concat('md5:', id), '{digest(b'')}') as digest", "cast(null as string) as refers_to", "cast(null as string) as content_type", "cast(null as binary) as http", "cast(null as binary) as payload")
+    counts = {(r[0], r[1]): r[2] for r in resolve(df).groupBy("warc_type", "refers_to").count().collect()}
+    assert counts == {("response", None): 1, ("revisit", "0"): 19_999, ("revisit", None): 10_000}
+
+
 def test_archives_are_written_and_read_back(spark, tmp_path):
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    resolved = resolve(capture(pages)).repartition(3).cache()
+    pages = capture(spark.read.parquet(f"{DATA}/pages.parquet"))
+    resolved = resolve(pages.unionByName(spark.createDataFrame(ROWS, FIELDS))).repartition(3).cache()
     for compress in (True, False):
         path = f"{tmp_path}/{compress}"
         files = write_archives(resolved, f"file://{path}", compress).collect()
         assert sum(r["records"] for r in files) == resolved.count()
         back = read_archives(spark, path)
-        want = {(r["warc_type"], r["url"], r["digest"], r["payload"]) for r in resolved.collect()}
-        assert {(r["warc_type"], r["url"], r["digest"], r["payload"]) for r in back.collect()} == want
+
+        def facts(df):
+            return sorted(((r["warc_type"], r["url"] or "", r["digest"], bytes(r["http"] or b""), bytes(r["payload"] or b"")) for r in df.collect()), key=str)
+
+        assert facts(back) == facts(resolved)
         ids = {r["record_id"] for r in back.collect()}
-        assert len(ids) == resolved.count() and {r["refers_to"] for r in back.filter("warc_type = 'revisit'").collect()} <= ids
+        assert len(ids) == resolved.count() and {r["refers_to"] for r in back.filter("warc_type = 'revisit' and refers_to is not null").collect()} <= ids
         again = resolve(back)
-        assert again.filter("warc_type = 'response'").count() == resolved.filter("warc_type = 'response'").count()
+        assert seen(again.select("record_id", "warc_type", "http", "payload", F.lit(None).alias("refers_to"))) == seen(back.select("record_id", "warc_type", "http", "payload", F.lit(None).alias("refers_to")))
+
+
+def record(kind, block, *lines):
+    return ("\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:{kind}-{len(block)}>", *lines, f"Content-Length: {len(block)}"]) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+MEMBERS = [
+    record("warcinfo", b"software: test\r\n", "Content-Type: application/warc-fields"),
+    record("response", HTTP + b"gone", "WARC-Target-URI: http://a/", "Content-Type: " + RESPONSE, "WARC-Payload-Digest: " + digest(b"gone")),
+    record("response", b"HTTP/1.1 301 Moved\r\nLocation: /b\r\n\r\n", "WARC-Target-URI: http://b/", "Content-Type: " + RESPONSE),
+    record("response", b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\n\x89PNG\r\n\x1a\n\x00\xff", "WARC-Target-URI: http://c/\r\n folded", "Content-Type: " + RESPONSE),
+    record("revisit", HTTP, "WARC-Target-URI: http://a/", "Content-Type: " + RESPONSE, "WARC-Payload-Digest: " + hexadecimal(b"gone")),
+    record("metadata", b"x: y", "Content-Type: application/warc-fields"),
+]
+
+
+def test_real_kinds_of_records_go_round(spark, tmp_path):
+    """A missing page, a redirect, an image, a revisit with its header and records of other types, in a file of many members."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a b%20.warc.gz").write_bytes(b"".join(map(gzip.compress, MEMBERS)))
+    (tmp_path / "in" / "empty.warc").write_bytes(b"")
+    out = archive(read_archives(spark, f"{tmp_path}/in"), f"file://{tmp_path}/out")
+    back = {(r["warc_type"], r["url"]): r for r in read_archives(spark, f"{tmp_path}/out").collect()}
+    assert len(back) == out.count() == 6
+    assert bytes(back["response", "http://a/"]["http"]) == HTTP and bytes(back["response", "http://a/"]["payload"]) == b"gone"
+    assert bytes(back["response", "http://b/"]["http"]).startswith(b"HTTP/1.1 301") and bytes(back["response", "http://b/"]["payload"]) == b""
+    assert bytes(back["response", "http://c/ folded"]["payload"]) == b"\x89PNG\r\n\x1a\n\x00\xff"
+    revisit = back["revisit", "http://a/"]
+    assert revisit["refers_to"] == back["response", "http://a/"]["record_id"] and bytes(revisit["http"]) == HTTP and revisit["payload"] is None
+    assert bytes(back["metadata", None]["payload"]) == b"x: y" and back["warcinfo", None]["content_type"] == "application/warc-fields"
+
+
+def test_damaged_archives_give_what_is_before_the_damage(spark, tmp_path):
+    whole = b"".join(MEMBERS)
+    compressed = b"".join(map(gzip.compress, MEMBERS))
+    assert len(list(parse(whole))) == len(list(parse(compressed))) == len(list(parse(io.BytesIO(compressed)))) == 6
+    damaged = [whole[:-30], compressed[:-30], MEMBERS[0] + b"garbage\r\n" + MEMBERS[1], MEMBERS[0] + b"WARC/1.0\r\nContent-Length: -4\r\n\r\n", MEMBERS[0] + b"WARC/1.0\r\nContent-Length: ten\r\n\r\n", MEMBERS[0] + b"WARC/1.0\r\nWARC-Type: resp"]
+    for data, n in zip(damaged, (5, 5, 1, 1, 1, 1)):
+        assert len(list(parse(data))) == n
+        with pytest.raises(Malformed):
+            list(parse(data, strict=True))
+    (tmp_path / "x.warc.gz").write_bytes(damaged[1])
+    assert read_archives(spark, str(tmp_path)).count() == 5
+
+
+def test_null_headers_and_no_rows_are_written(spark, tmp_path):
+    df = resolve(spark.createDataFrame(ROWS, FIELDS))
+    files = write_archives(df.withColumn("header", F.lit(None).cast("string")), f"file://{tmp_path}/a").collect()
+    assert sum(r["records"] for r in files) == 0 and read_archives(spark, f"{tmp_path}/a").count() == 0
 
 
 def test_lengths_of_headers_fit_the_bodies(spark):
-    row = resolve(spark.createDataFrame([("a", "response", "u", None, None, None, "é" * 10)], FIELDS)).first()
-    assert row["payload_bytes"] == 20
-    body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: 20\r\n\r\n" + ("é" * 10).encode()
-    assert f"Content-Length: {len(body)}\r\n" in row["header"]
-    (record,) = parse(gzip.compress(row["header"].encode() + body + b"\r\n\r\n"))
-    assert record["payload"] == "é" * 10 and record["digest"] == digest("é" * 10)
+    payload = ("é" * 10).encode()
+    r = resolve(spark.createDataFrame([row("a", "response", payload, http=HTTP)], FIELDS)).first()
+    assert r["payload_bytes"] == 20 and f"Content-Length: {len(HTTP) + 20}\r\n" in r["header"]
+    (again,) = parse(gzip.compress(r["header"].encode() + HTTP + payload + b"\r\n\r\n"))
+    assert again["payload"] == payload and again["digest"] == digest(payload) and again["http"] == HTTP
 
 
 def test_registered_query_writes_its_archives(spark):
-    rows = queries.op8_warc(spark, "/root/testdata/sf0.001")
+    rows = queries.op8_warc(spark, DATA)
     back = read_archives(spark, rows.archives).collect()
     want = [(r["warc_type"], r["url"], r["digest"], r["payload"]) for r in rows.collect()]
-    assert want and sorted(((r["warc_type"], r["url"], r["digest"], r["payload"]) for r in back), key=str) == sorted(want, key=str)
+    assert want and sorted(((r["warc_type"], r["url"], r["digest"], None if r["payload"] is None else bytes(r["payload"]).decode()) for r in back), key=str) == sorted(want, key=str)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scrubline.operators import entities
 from scrubline.operators.entities import ENTITIES, TOKENS
 from scrubline.plans import queries
+from tests.compare import DATA
 
 
 def best(found):
@@ -41,7 +42,7 @@ def spans_all_over(text, rng):
 @pytest.fixture(scope="module")
 def made(spark):
     rng = random.Random(3)
-    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect() if r["text"] and len(r["text"]) < 8000]
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect() if r["text"] and len(r["text"]) < 8000]
     rows = [(i, t, spans_all_over(t, rng)) for i, t in docs]
     assert max(len(e) for *_, e in rows) > 300 and max(e[-1][4] for *_, e in rows) > 5000
     return rows, spark.createDataFrame(rows, f"doc_id long, text string, e {ENTITIES}").repartition(8).cache()
@@ -64,8 +65,8 @@ def test_selection(made):
 
 
 def test_registered_query_goes_over_whole_texts(spark):
-    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     groups = ("PER", "LOC", "ORG", "MISC")
     want = {i: anonymized(t, [(groups[k % 4], 0.9, "", k * 10 + 2, k * 10 + 7) for k in range(len(t) // 10 + 1)]) for i, t in docs.items()}
-    assert {r["doc_id"]: r["result"] for r in queries.QUERIES["anonymize_whole"](spark, "/root/testdata/sf0.001").collect()} == want
+    assert {r["doc_id"]: r["result"] for r in queries.QUERIES["anonymize_whole"](spark, DATA).collect()} == want
     assert any("<PERSON>" in x[1000:] for x in want.values())

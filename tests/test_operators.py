@@ -34,7 +34,7 @@ from scrubline.functions import (
     to_ascii_column,
     unescape_backslashes_column,
 )
-from scrubline.operators.arrow_stage import demojize
+from scrubline.operators.arrow_stage import demojize, repair_mojibake
 from scrubline.operators.entities import ENTITIES, anonymize_text
 
 one_line = lambda t: normalize_whitespace(t, no_line_breaks=True)
@@ -90,6 +90,8 @@ GOLDEN = [
     (fix_bad_unicode_column, "ﬁne “x” e\u0301 １２\x1b[31mred\x00", 'fine "x" é 12red'),
     (unescape_backslashes_column, r"caf\u00e9\n\x41", "café\nA"),
     (unescape_backslashes_column, r"C:\new\xzz", r"C:\new\xzz"),
+    (fix_bad_unicode_column, "schÃ¶n 😀 cafÃ© â€œxâ€\x9d ÃƒÂ© Ð¿Ñ€Ð¸", 'schön 😀 café "x" é при'),
+    (fix_bad_unicode_column, "«CAFÉ» É» Äpfel Straße 東", "«CAFÉ» É» Äpfel Straße 東"),
     (html_to_text_column, "<p>a &amp; <b>b</b><!-- c --><script>x<y</script><style>p{}</style>d</p>", "a & bd"),
     (html_to_text_column, "no markup 1 < 2", "no markup 1 < 2"),
 ]
@@ -123,6 +125,14 @@ def test_languages(spark):
     assert [r[0] for r in rows] == ["ENGLISH", "DUTCH", "GERMAN", "SPANISH", None, None]
 
 
+def test_short_texts_without_common_words_have_a_language(spark):
+    texts = {"schwimmend": "GERMAN", "querían comerciantes": "SPANISH", "woonplaatsen": "DUTCH", "wherever": "ENGLISH", "12 %": None, "東京": None}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", detect_language(F.col("t")).alias("x")).collect()
+    assert {r["t"]: r["x"] for r in rows} == texts
+    long = "zzq " * 50_000
+    assert spark.range(1).select(detect_language(F.lit(long))).first()[0] is None
+
+
 def test_anonymised_spans(spark):
     text = "John Smith of Microsoft"
     cases = [
@@ -147,11 +157,25 @@ def test_python_anonymises_like_the_jvm(spark):
     assert got == [anonymize_text(text, [(g, s, a, b) for g, s, _, a, b in c]) for c in cases]
 
 
+def test_many_entities_of_one_span(spark):
+    """However many there are, the one that scores most counts."""
+    case = [("PER", 0.5 + i / 1000, "", 0, 2) for i in range(100)] + [("LOC", 0.9, "", 0, 2)]
+    df = spark.createDataFrame([(case,)], f"e {ENTITIES}")
+    assert df.select(anonymize(F.lit("ab cd"), F.col("e"))).first()[0] == anonymize_text("ab cd", [(g, s, a, b) for g, s, _, a, b in case]) == "<LOCATION> cd"
+
+
+def test_mojibake_of_any_depth():
+    text = garbled = "schön – “東京” 😀"
+    for _ in range(7):
+        garbled = garbled.encode().decode("latin-1")
+    assert repair_mojibake(garbled) == text
+
+
 def test_long_runs_dont_exhaust_the_stack(spark):
     n = 100_000
     runs = ["a" * n, "\n" * n, "a-" * n, "[" * n, "$" * n, "1" * n, "1," * n, "a." * n, "www." + "a." * n, "x@" + "a-" * n, ". " * n, "1 111" * n, " \n" * n, "A." * n]
     df = spark.createDataFrame(list(enumerate(runs)), "i int, t string").repartition(8)
-    functions = [replace_urls, replace_emails, replace_years, iso, replace_currencies, remove_isolated_letters, remove_isolated_symbols, one_line, normalize_whitespace, paragraphs, split_sentences, extract_acronyms]
+    functions = [replace_urls, replace_emails, replace_years, iso, replace_currencies, replace_numbers, remove_isolated_letters, remove_isolated_symbols, one_line, normalize_whitespace, paragraphs, split_sentences, extract_acronyms]
     out = df.select(*[f(F.col("t")).alias(f"c{k}") for k, f in enumerate(functions)])
     assert len(out.collect()) == len(runs)
 

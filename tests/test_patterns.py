@@ -85,3 +85,33 @@ def test_long_local_parts_are_replaced_whole(spark):
     texts += [("a@b.com " + "a-" * 100_000, "<EMAIL> " + "a-" * 100_000), ("@" + "-" * 100_000, "@" + "-" * 100_000)]
     rows = spark.createDataFrame(texts, "t string, want string").select(replace_emails(F.col("t")).alias("x"), "want").collect()
     assert not [k for k, r in enumerate(rows) if r["x"] != r["want"]]
+
+
+def test_many_groups_and_labels_are_replaced_whole(spark):
+    n, host = "1" + ",234" * 5000, "a-b." * 5000 + "com"
+    texts = [(n, "<NUMBER>"), (f"x {n}.50 y", "x <NUMBER> y"), ("1" + " 234" * 400, "<NUMBER>"), ("9" + ".234" * 400 + ",5", "<NUMBER>")]
+    rows = spark.createDataFrame(texts, "t string, want string").select(replace_numbers(F.col("t")).alias("x"), "want").collect()
+    assert not [k for k, r in enumerate(rows) if r["x"] != r["want"]]
+    texts = [(f"see http://{host}/x y", "see <URL> y"), (f"www.{host}, ", "<URL>, ")]
+    rows = spark.createDataFrame(texts, "t string, want string").select(replace_urls(F.col("t")).alias("x"), "want").collect()
+    assert not [k for k, r in enumerate(rows) if r["x"] != r["want"]]
+    assert spark.range(1).select(replace_emails(F.lit(f"a@{host} b"))).first()[0] == "<EMAIL> b"
+
+
+def test_numbers_like_python(spark):
+    """Against the same rules with groups that may be given back, where Python has stack enough."""
+    grouped = [rf"[1-9]\d{{0,2}}(?:{sep}\d{{3}})+(?:{point}\d*)?" for sep, point in ((",", r"\."), ("[ .]", ","))]
+    number = re.compile(rf"(?<![\w,.])[-+–]?(?:{'|'.join([*grouped, r'\d*?[,.]\d+', r'\d+'])})(?:(?=\n?\Z)|\b)")
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(["1", "23", "456", "000", ",", ".", " ", "a", "-", "\n", ",789", ".321", " 654"]) for _ in range(rng.randint(1, 12))) for _ in range(6000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", replace_numbers(F.col("t")).alias("x")).collect()
+    assert not [(r["t"], r["x"]) for r in rows if r["x"] != number.sub("<NUMBER>", r["t"])][:5]
+
+
+def test_hosts_like_python(spark):
+    label = r"[a-z]+(?:-[a-z]+)*"
+    url = re.compile(rf"(?<![\w/.])http://(?:{label}(?:\.{label})*\.[a-z]{{2,}})(?:/\S*)?")
+    rng = random.Random(9)
+    texts = ["http://" + "".join(rng.choice(["a", "b", "cd", ".", ".", "-", " "]) for _ in range(rng.randint(1, 14))) for _ in range(6000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", replace_urls(F.col("t")).alias("x")).collect()
+    assert not [(r["t"], r["x"]) for r in rows if r["x"] != url.sub("<URL>", r["t"])][:5]

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from scrubline import CleanConfig, TextCleaner, TextCleanerTransformer, clean
-from scrubline.sources import from_strings, html_pages, read_texts, write_texts
+from scrubline.sources import from_strings, html_pages, read_texts, spread, write_texts
 from scrubline.streaming import clean_stream, write_stream
+from tests.compare import DATA
 
 TEXT = """
     <b>Special   offer:</b> $30 at http://shop.example.com/x, ask John Smith &amp; write to john.smith@example.com
@@ -114,7 +115,7 @@ def test_a_long_text_in_chunks(spark):
 
 
 def test_partitions_change_nothing(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
     one, many = (rows(spark, clean(docs.repartition(n)), "id", "lm_text", "stat_text", "language") for n in (1, 7))
     assert one == many
 
@@ -127,13 +128,13 @@ def test_transformer_and_prefix(spark):
 
 
 def test_no_shuffle_and_one_python_stage_before_entities(spark):
-    df = clean(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), cfg=CleanConfig(ner=False)).select("doc_id", "lm_text", "stat_text", "language")
+    df = clean(spark.read.parquet(f"{DATA}/documents.parquet"), cfg=CleanConfig(ner=False)).select("doc_id", "lm_text", "stat_text", "language")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1 and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
 def test_streams_like_batches(spark, tmp_path):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
     write_texts(docs.repartition(3), f"{tmp_path}/in")
     stream = read_texts(spark, f"{tmp_path}/in", streaming=True, schema="id long, text string")
     write_stream(clean_stream(stream), f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
@@ -147,5 +148,15 @@ def test_text_files_and_pages(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\ntwo")
     assert sorted(r["text"] for r in read_texts(spark, str(tmp_path), "text").collect()) == ["one", "two"]
     assert [r["text"] for r in read_texts(spark, str(tmp_path), "wholetext").collect()] == ["one\ntwo"]
-    pages = html_pages(spark, "/root/testdata/sf0.001/pages.parquet")
+    pages = html_pages(spark, f"{DATA}/pages.parquet")
     assert not pages.filter("text like '%<p>%'").count()
+
+
+def test_one_row_group_is_dealt_out_and_many_files_arent(spark, tmp_path):
+    docs = from_strings(spark, [f"text {i}" for i in range(100)])
+    docs.coalesce(1).write.parquet(f"{tmp_path}/one")
+    docs.repartition(40).write.parquet(f"{tmp_path}/many")
+    one, many = (spread(spark.read.parquet(f"{tmp_path}/{n}")) for n in ("one", "many"))
+    assert one.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and one.count() == 100
+    assert "Exchange" not in many._jdf.queryExecution().executedPlan().toString()
+    assert spread(docs).count() == 100

@@ -1,0 +1,71 @@
+"""The adapter for models, with a stand-in for one, and pieces by tokens."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from scrubline import CleanConfig, TextCleaner
+from scrubline.functions import recognize_column
+from scrubline.operators.recognizers import ModelRecognizer, chunk_starts, recognize, recognize_all, transformers_pipeline
+
+
+def load_names(folder):
+    """A model that knows the names in its folder; notes that it was loaded, and how many texts it got at once."""
+    names = open(os.path.join(folder, "names.txt")).read().split()
+    with open(os.path.join(folder, f"loaded-{os.getpid()}"), "a") as f:
+        f.write("x")
+
+    def model(texts):
+        with open(os.path.join(folder, "sizes"), "a") as f:
+            f.write(f"{len(texts)}\n")
+        return [[{"entity": "B-PER", "score": 0.99, "start": t.index(n), "end": t.index(n) + len(n)} for n in names if n in t] for t in texts]
+
+    return model
+
+
+@pytest.fixture
+def folder(tmp_path):
+    (tmp_path / "names.txt").write_text("Zorblax Quux")
+    return str(tmp_path)
+
+
+def test_a_model_is_loaded_once_a_worker_and_gets_batches(spark, folder):
+    texts = [f"here is Zorblax number {i}" if i % 2 else "nobody" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(2)
+    by = dict.fromkeys(("ENGLISH", "MULTI"), ModelRecognizer(folder, load_names, 8))
+    got = {r["i"]: [e["word"] for e in r["e"]] for r in df.select("i", recognize_column(F.col("t"), F.lit("ENGLISH"), ["PER"], by).alias("e")).collect()}
+    assert got == {i: ["Zorblax"] if i % 2 else [] for i in range(60)}
+    loads = [open(os.path.join(folder, f)).read() for f in os.listdir(folder) if f.startswith("loaded-")]
+    assert loads and all(x == "x" for x in loads)
+    sizes = list(map(int, open(os.path.join(folder, "sizes")).read().split()))
+    assert max(sizes) == 8 and len(sizes) < 30
+
+
+def test_a_model_in_the_whole_plan(spark, folder):
+    model = ModelRecognizer(folder, load_names)
+    cfg = CleanConfig(recognizers={"ENGLISH": model, "MULTI": model}, language="english", ner_chunk_words=3)
+    assert TextCleaner(spark, cfg).process("we saw Quux and also Zorblax there") [0] == "we saw <PERSON> and also <PERSON> there"
+
+
+def test_without_a_library_the_reason_is_said():
+    try:
+        import transformers  # noqa: F401
+    except ModuleNotFoundError:
+        with pytest.raises(ModuleNotFoundError, match="transformers"):
+            transformers_pipeline("x")
+
+
+def test_pieces_by_words_and_by_tokens():
+    text = "aa bbbb c  dddddd e\nff"
+    assert chunk_starts(text, 2) == [0, 8, 18] and chunk_starts("  ", 2) == [] and chunk_starts("", 2, len) == []
+    starts = chunk_starts(text, 6, len)
+    pieces = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)])]
+    assert "".join(pieces) == text and pieces == ["aa bbbb ", "c  ", "dddddd ", "e\nff"]
+    assert chunk_starts("xxxxxxxx yy", 3, len) == [0, 9]
+
+
+def test_the_multilingual_one_is_asked_where_the_english_one_finds_nothing():
+    by = {"ENGLISH": lambda t: [("PER", 0.9, 0, 1)] if "a" in t else [("MISC", 0.9, 0, 1)], "MULTI": lambda t: [("LOC", 0.8, 1, 2)], "GERMAN": lambda t: [("ORG", 0.7, 0, 2)]}
+    assert recognize("ab xy", None, ("PER", "LOC"), by, 1) == [("PER", 0.9, "a", 0, 1), ("LOC", 0.8, "y", 4, 5)]
+    assert recognize_all(["ab", None, "xy", ""], ["GERMAN", None, "KLINGON", None], ("ORG", "LOC"), by, 5) == [[("ORG", 0.7, "ab", 0, 2)], None, [("LOC", 0.8, "y", 1, 2)], []]
