@@ -108,14 +108,17 @@ class Remembering(dict):
 
 @lru_cache
 def odd_signs() -> str:
-    """A class of the characters that ``PLAIN`` and ``PRE_TOKENS`` take differently, found by asking about each."""
+    """A class of all characters that ``PLAIN`` and ``PRE_TOKENS`` may take differently, found by asking about each of the first 65,536; all others are in it.
+
+    Characters beyond those would be looked at one after the other at each place of a text.
+    """
     import regex
 
-    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x10000))))
     odd: set[str] = set()
     for exact, plain in ((r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d"), (r"\s", r"\s")):
         odd |= set(regex.findall(exact, every)) ^ set(re.findall(plain, every))
-    return "[" + "".join(map(re.escape, sorted(odd))) + "]"
+    return "[" + "".join(map(re.escape, sorted(odd))) + "\U00010000-\U0010ffff]"
 
 
 def pre_tokenizer(odd: str) -> Callable[[str], list[str]]:
