@@ -46,12 +46,9 @@ def capture(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def base32(digits: Column) -> Column:
-    """40 hexadecimal digits in base 32, as archives write digests."""
-    out = []
-    for i in range(8):
-        n = F.conv(F.substring(digits, 5 * i + 1, 5), 16, 10).cast("int")
-        out += [F.substr(F.lit(_BASE32), F.shiftright(n, 5 * j).bitwiseAND(31) + 1, F.lit(1)) for j in (3, 2, 1, 0)]
-    return F.concat(*out)
+    """40 hexadecimal digits in base 32, as archives write digests. ``conv`` counts 0 to 9 and A to V, eight digits for each ten."""
+    parts = [F.lpad(F.conv(F.substring(digits, 10 * i + 1, 10), 16, 32), 8, "0") for i in range(4)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", _BASE32)
 
 
 def canonical(digest: Column) -> Column:
@@ -109,7 +106,7 @@ def resolve(records: DataFrame) -> DataFrame:
 
 def _urn(kind: Column, record: Column, digest: Column) -> Column:
     h = F.md5(F.concat(kind, F.lit(" "), record, F.lit(" "), F.coalesce(digest, F.lit(""))).cast("binary"))  # null without a record
-    made = F.concat(F.lit("<urn:uuid:"), *[x for i, (a, n) in enumerate(((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) for x in ([F.lit("-")] if i else []) + [F.substring(h, a, n)]], F.lit(">"))
+    made = F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
     return F.when(record.rlike("^<[^<>]+>$"), record).otherwise(made)
 
 
