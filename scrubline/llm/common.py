@@ -71,11 +71,11 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n}"
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, compression: str | None = None) -> DataFrame:
         """``df`` as a table that has been written, with its path as ``.path``."""
         path = self.path()
         schema = df.schema
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         out = self.spark.read.schema(schema).parquet(path)
         out.path = path
         return out

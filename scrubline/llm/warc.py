@@ -25,6 +25,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 HTTP = ("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: ", "\r\n\r\n")
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Kept records are marked in bitmaps of 2**PLACE_BITS places (4 KB each, the most ``bitmap_construct_agg`` has); up to so many bitmaps (64 MB) are broadcast.
+PLACE_BITS, MOST_BITMAPS = 15, 1 << 14
 
 
 def capture(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE, again: bool = True) -> DataFrame:
@@ -62,10 +64,11 @@ def canonical(digest: Column) -> Column:
 def resolve(records: DataFrame) -> DataFrame:
     """The records of a deduplicated archive: (record_id, warc_type, url, digest, refers_to, payload_bytes, header, http, payload).
 
-    ``records`` has ``FIELDS``. Headers alone are shuffled by payload digest. Of the responses with a digest the one of the least
+    ``records`` has ``FIELDS``. It is read once and copied to the shared folder as it lies, each record with its place; the rows of the result
+    read that copy, and aren't kept a second time. Headers alone are shuffled by payload digest. Of the responses with a digest the one of the least
     record id stays a response; the others become revisit records of it, with their HTTP header. Revisit records are joined to the original with their digest.
-    Those whose original isn't there stay, with a null ``refers_to``. The payload of a kept response is
-    read in a second pass and never shuffled by digest. Every record gets a fresh header: an id made from the
+    Those whose original isn't there stay, with a null ``refers_to``. Payloads aren't shuffled: the places of kept responses are looked up
+    in bitmaps (``_at``). Every record gets a fresh header: an id made from the
     record's type, id and digest, unless it has one in angle brackets, the length, and for revisits the original's id and url. Records of other
     types (requests, metadata, resources, conversions, archive information) pass as they are, with a fresh header.
 
@@ -77,31 +80,40 @@ def resolve(records: DataFrame) -> DataFrame:
     scratch = Scratch(records.sparkSession, "warc")
     given = records.filter("record_id is not null").withColumn("warc_type", F.coalesce("warc_type", F.lit("response")))
     shaped = given.select("record_id", "warc_type", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("date", F.lit(DATE)).alias("date"), "digest", F.coalesce("content_type", F.lit(RESPONSE_TYPE)).alias("content_type"), "http", "payload")
-    own = shaped.filter("warc_type in ('response', 'revisit')")
-    payload = F.when(F.col("warc_type") == "response", F.coalesce("payload", F.lit(b"")))
-    base = own.withColumn("payload", payload).withColumn("digest", F.coalesce(F.col("digest"), F.concat(F.lit("sha1:"), base32(F.sha1(payload))), F.lit(""))).withColumn("same", canonical(F.col("digest")))
-    base = base.withColumn("n", F.coalesce(F.octet_length("payload"), F.lit(0))).withColumn("mark", F.xxhash64("payload"))
-    fields = ("warc_type", "n", "mark", "url", "date", "digest", "content_type", "http")
-    heads = scratch.write(base.groupBy("record_id", "same").agg(F.min(F.struct(*fields)).alias("h"), F.count("*").alias("times")).select("record_id", "same", "h.*", "times"))
+    own = F.col("warc_type").isin("response", "revisit")
+    shaped = shaped.withColumn("payload", F.when(F.col("warc_type") != "revisit", F.coalesce("payload", F.lit(b"")))).withColumn("http", F.when(own, F.col("http")))
+    shaped = shaped.withColumn("digest", F.when(own, F.coalesce("digest", F.concat(F.lit("sha1:"), base32(F.sha1("payload"))), F.lit(""))).otherwise(F.col("digest")))
+    shaped = shaped.withColumn("n", F.coalesce(F.octet_length("payload"), F.lit(0))).withColumn("mark", F.xxhash64("payload")).withColumn("place", F.monotonically_increasing_id())
+    copy = scratch.write(shaped, "zstd")
+    fields = ("warc_type", "n", "mark", "url", "date", "digest", "content_type", "http", "place")
+    heads = copy.filter(own).withColumn("same", canonical(F.col("digest"))).groupBy("record_id", "same").agg(F.min(F.struct(*fields)).alias("h"))
+    heads = scratch.write(heads.select("record_id", "same", "h.*"))
     originals = scratch.write(heads.filter("warc_type = 'response'").groupBy("same").agg(F.min(F.struct("record_id", "url", "date", "digest")).alias("original")))
     found = heads.join(originals, "same", "left")
     is_original = F.coalesce((F.col("warc_type") == "response") & (F.col("record_id") == F.col("original.record_id")), F.lit(False))
     refers = F.when(~is_original & (F.col("same") != ""), F.col("original.record_id"))
     kind = F.when(is_original, "response").otherwise("revisit")
     more = [F.when(refers.isNotNull(), F.col(f"original.{x}")).alias(f"refers_{x}") for x in ("url", "date", "digest")]
-    index = found.select("record_id", "same", "n", "mark", "times", kind.alias("warc_type"), "url", "date", "digest", "content_type", "http", refers.alias("refers_to"), *more, F.when(is_original, F.col("n")).otherwise(F.lit(0)).cast("long").alias("payload_bytes"))
-    index = scratch.write(index.withColumn("header", _header()))
-    plain = ["record_id", "warc_type", "url", "digest", "refers_to", "payload_bytes", "header", "http"]
-    revisits = index.filter("warc_type = 'revisit'").select(*plain, F.lit(None).cast("binary").alias("payload"))
-    kept = index.filter("warc_type = 'response'").select("same", "n", "mark", *plain)
-    bodies = base.filter("warc_type = 'response'").select("record_id", "same", "n", "mark", "payload")
-    responses = kept.join(bodies, ["record_id", "same", "n", "mark"])
-    if index.filter("warc_type = 'response' and times > 1").head(1):
-        responses = responses.dropDuplicates(["record_id", "same"])
-    others = shaped.filter("warc_type not in ('response', 'revisit')").withColumn("payload", F.coalesce("payload", F.lit(b"")))
-    others = others.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), *[F.lit(None).cast("string").alias(f"refers_{x}") for x in ("to", "url", "date", "digest")])
-    others = others.withColumn("http", F.lit(None).cast("binary")).withColumn("header", _header())
-    return revisits.unionByName(responses.select(*plain, "payload")).unionByName(others.select(*plain, "payload"))
+    index = scratch.write(found.select("record_id", kind.alias("warc_type"), "url", "date", "digest", "content_type", "http", refers.alias("refers_to"), *more, F.lit(0).cast("long").alias("payload_bytes"), "place"))
+    scratch.drop(heads, originals)
+    plain = ["record_id", "warc_type", "url", "digest", "refers_to", "payload_bytes", "header", "http", "payload"]
+    revisits = index.filter("warc_type = 'revisit'").withColumn("payload", F.lit(None).cast("binary")).withColumn("header", _header())
+    whole = _at(copy, ~own, index.filter("warc_type = 'response'").select("place"), scratch)
+    whole = whole.select("*", F.col("n").cast("long").alias("payload_bytes"), *[F.lit(None).cast("string").alias(f"refers_{x}") for x in ("to", "url", "date", "digest")])
+    return revisits.select(*plain).unionByName(whole.withColumn("header", _header()).select(*plain))
+
+
+def _at(copy: DataFrame, besides: Column, places: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``copy`` with a place in ``places``, and those with ``besides``.
+
+    A bit a place is broadcast: 4 KB for up to 32,768 rows that a task copied one after the other, so no row of ``copy`` is shuffled. Over MOST_BITMAPS are joined without a broadcast, which shuffles the rows.
+    """
+    bitmaps = scratch.write(places.groupBy(F.shiftright("place", PLACE_BITS).alias("at")).agg(F.bitmap_construct_agg(F.col("place") % (1 << PLACE_BITS)).alias("bits")))
+    few = bitmaps.count() <= MOST_BITMAPS
+    spot = (F.col("place") % (1 << PLACE_BITS)).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(spot, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    marked = copy.withColumn("at", F.shiftright("place", PLACE_BITS)).join(F.broadcast(bitmaps) if few else bitmaps, "at", "left")
+    return marked.filter(besides | F.coalesce(F.getbit(byte, spot % 8) == 1, F.lit(False))).drop("at", "bits")
 
 
 def _urn(kind: Column, record: Column, digest: Column) -> Column:
@@ -170,7 +182,7 @@ def archive(records: DataFrame, path: str | None = None, compress: bool = True)
     ``path`` is that of ``write_archives``; without one it is a new folder in the shared folder, which stays.
     """
     spark = records.sparkSession
-    out = Scratch(spark, "archive").write(resolve(records))
+    out = resolve(records)
     out.archives = path or f"{shared_folder(spark)}/scrubline/archives-{uuid.uuid4().hex}"
     write_archives(out, out.archives, compress).collect()
     return out

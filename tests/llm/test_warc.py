@@ -6,7 +6,7 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
-from scrubline.llm import queries
+from scrubline.llm import queries, warc
 from scrubline.llm.warc import FIELDS, Malformed, archive, base32, canonical, capture, parse, read_archives, resolve, write_archives
 from tests.compare import DATA
 
@@ -121,6 +121,35 @@ def test_plans_stay_small(spark):
     assert len(plan) < 30_000
 
 
+def test_payloads_are_not_shuffled(spark):
+    """The result reads the copy of the records as it lies, also where Spark wouldn't broadcast by itself."""
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")
+    try:
+        plan = resolve(capture(spark.read.parquet(f"{DATA}/pages.parquet")))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(setting, was)
+    assert "BroadcastExchange" in plan and "hashpartitioning" not in plan
+
+
+@pytest.mark.parametrize("bits, most", [(15, 0), (1, 1 << 14), (2, 0)])
+def test_kept_places_in_many_bitmaps_and_without_a_broadcast(spark, monkeypatch, bits, most):
+    monkeypatch.setattr(warc, "PLACE_BITS", bits)
+    monkeypatch.setattr(warc, "MOST_BITMAPS", most)
+    rows = [x for x in ROWS if x[0] not in ("k", "l")]
+    rows += [row(f"r{i}", "response", b"%d" % (i % 37), url=f"u{i}") for i in range(200)] * 2
+    assert seen(resolve(spark.createDataFrame(rows, FIELDS).repartition(5))) == brute(rows)
+
+
+def test_more_records_in_a_task_than_a_bitmap_has(spark):
+    """Every third record is a copy of the one before; the places run over the ends of three bitmaps."""
+    df = spark.range(0, 100_000, 1, 1).selectExpr("lpad(id, 6, '0') as record_id", "'response' as warc_type", "'u' as url", "cast(null as string) as date", "cast(null as string) as digest", "cast(null as string) as refers_to", "cast(null as string) as content_type", "cast(null as binary) as http", "cast(string(if(id % 3 = 2, id - 1, id)) as binary) as payload")
+    got = resolve(df).selectExpr("int(record_id) as i", "warc_type", "int(refers_to) as r", "int(string(payload)) as p")
+    wrong = "not case when i % 3 = 2 then warc_type = 'revisit' and r <=> i - 1 and p is null else warc_type = 'response' and r is null and p <=> i end"
+    assert got.count() == got.select("i").distinct().count() == 100_000 and got.filter(wrong).count() == 0
+
+
 def test_a_crowd_of_one_digest(spark):
     """A third of all records and more has the same payload."""
     df = spark.range(30_000).selectExpr("cast(id as string) as record_id", "if(id % 3 = 0, 'response', 'revisit') as warc_type", "'u' as url", "cast(null as string) as date", f"if(id % 3 = 2, concat('md5:', id), '{digest(b'')}') as digest", "cast(null as string) as refers_to", "cast(null as string) as content_type", "cast(null as binary) as http", "cast(null as binary) as payload")
