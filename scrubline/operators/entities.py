@@ -5,14 +5,19 @@ Entities are an array of struct<entity_group: string, score: double, word: strin
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
 
 ENTITIES = "array<struct<entity_group:string,score:double,word:string,start:int,end:int>>"
+SPANS = "array<struct<start:int,end:int,token:string>>"
 TOKENS = {"PER": "<PERSON>", "LOC": "<LOCATION>", "ORG": "<ORGANISATION>"}
 DEFAULT_THRESHOLD = 0.85
 
@@ -81,74 +86,73 @@ def resolve_spans(text: Column, entities: Column) -> Column:
 
     Groups without a token, and spans that aren't inside the text, are passed over. Spans inside one that scores more, or
     as much and is longer, go. Spans of one group that overlap, or that only blanks part, become one. A span that overlaps one of another group begins
-    where that ends.
+    where that ends. A span without a score counts as scoring most, then goes itself.
     """
-    def named(e: Column) -> Column:
-        t = F.lit(None).cast("string")
-        for group, token in TOKENS.items():
-            t = F.when(e["entity_group"] == group, token).otherwise(t)
-        return F.struct(e["start"].alias("start"), e["end"].alias("end"), e["score"].alias("score"), t.alias("token"))
-
-    n = F.length(text)
-    spans = F.filter(F.transform(entities, named), lambda e: e["token"].isNotNull() & (e["start"] >= 0) & (e["start"] < e["end"]) & (e["end"] <= n))
-
-    def unbeaten(spans: Column) -> Column:
-        def beaten(e: Column) -> Column:
-            def beats(x: Column) -> Column:
-                around = (x["start"] <= e["start"]) & (x["end"] >= e["end"])
-                wider = (x["start"] < e["start"]) | (x["end"] > e["end"])
-                return around & ((x["score"] > e["score"]) | ((x["score"] == e["score"]) & wider))
-
-            return F.exists(spans, beats)
-
-        return F.filter(spans, lambda e: ~beaten(e))
-
-    kept = F.array_distinct(_let(spans, unbeaten))
-    kept = F.array_sort(F.transform(kept, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["token"].alias("token"))))
-    none = F.array().cast("array<struct<start:int,end:int,token:string>>")
-
-    def add(done: Column, e: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        between = F.substring(text, last["end"] + 1, e["start"] - last["end"])
-        joined = (last["token"] == e["token"]) & ((e["start"] <= last["end"]) | ~between.rlike(f"[^{P.SPACE}]"))
-        begin = F.greatest(e["start"], last["end"])
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], e["end"]).alias("end"), last["token"].alias("token"))
-        rest = F.struct(begin.alias("start"), e["end"].alias("end"), e["token"].alias("token"))
-        return (
-            F.when(F.size(done) == 0, F.array(e))
-            .when(joined, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer)))
-            .when(e["end"] > last["end"], F.concat(done, F.array(rest)))
-            .otherwise(done)
-        )
-
-    return F.reduce(kept, none, add)
 
+    @F.arrow_udf(SPANS)
+    def run(texts: pa.Array, found: pa.Array) -> pa.Array:
+        spans = [None if e is None else [] if t is None else _resolved(t, e) for t, e in _with_spans(texts, found)]
+        return pa.array([None if own is None else [dict(zip(("start", "end", "token"), s)) for s in own] for own in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("token", pa.string())])))
 
-def anonymize(text: Column, entities: Column) -> Column:
-    """The text with a token for each span of ``resolve_spans``; as it is if there is none."""
-    spans = resolve_spans(text, entities)
-    start = F.struct(F.lit("").alias("t"), F.lit(0).alias("at"))
-
-    def step(done: Column, e: Column) -> Column:
-        before = F.substring(text, done["at"] + 1, e["start"] - done["at"])
-        return F.struct(F.concat(done["t"], before, e["token"]).alias("t"), e["end"].alias("at"))
-
-    whole = F.reduce(spans, start, step, lambda done: F.concat(done["t"], F.substring(text, done["at"] + 1, F.length(text))))
-    return F.when(F.size(entities) > 0, whole).otherwise(text)
+    return run(text, entities)
 
 
-def anonymize_text(text: str, entities: Sequence[tuple[str, float, int, int]]) -> str:
-    """What ``anonymize`` gives, for a Python string and its (group, score, start, end)."""
-    spans = sorted({(a, b, score, TOKENS[g]) for g, score, a, b in entities if g in TOKENS and 0 <= a < b <= len(text)}, key=lambda s: (s[0], -s[1]))
-    most: dict[tuple[int, int], float] = {}
-    for a, b, score, _ in spans:
-        most[a, b] = max(most.get((a, b), score), score)
-    kept, open_ = set(), []
-    for s in spans:
-        open_ = [o for o in open_ if o[1] > s[0]]
-        if most[s[:2]] <= s[2] and not any(o[1] >= s[1] and (o[2] > s[2] or (o[2] == s[2] and o[:2] != s[:2])) for o in open_):
-            kept.add((s[0], s[1], s[3]))
-        open_.append(s)
+def anonymize(text: Column, entities: Column) -> Column:
+    """The text with a token for each span of ``resolve_spans``; as it is if there is none. In one crossing to Python, in time that grows as the texts and spans do."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array, found: pa.Array) -> pa.Array:
+        return pa.array([_replaced(t, _resolved(t, e)) if t is not None and e else t for t, e in _with_spans(texts, found)], pa.string())
+
+    return run(text, entities)
+
+
+def _with_spans(texts: pa.Array, found: pa.Array) -> Iterator[tuple[str | None, list[tuple] | None]]:
+    """Of each text, itself and its (start, end, rank of score, token), those that ``resolve_spans`` doesn't pass over; None for a null array."""
+    size = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size)
+    flat = found.flatten()
+    fields = dict(zip((f.name for f in flat.type), flat.flatten()))
+    groups = fields["entity_group"].dictionary_encode()
+    start, end, group = (pc.fill_null(a, -1).to_numpy(zero_copy_only=False).astype(np.int64) for a in (fields["start"], fields["end"], groups.indices))
+    score = pc.cast(fields["score"], pa.float64()).to_numpy(zero_copy_only=False)
+    unscored = fields["score"].is_null().to_numpy(zero_copy_only=False)
+    if np.isnan(score).any():  # as nulls are here too; in Spark's order NaN comes after all numbers
+        known = np.unique(score[~np.isnan(score)])
+        score = np.where(unscored, len(known) + 1, np.searchsorted(known, np.where(np.isnan(score), np.inf, score), "left") + 0.0)
+        score[np.isnan(pc.fill_null(pc.cast(fields["score"], pa.float64()), 0.0).to_numpy(zero_copy_only=False))] = len(known)
+    tokens = [*(TOKENS.get(g) for g in groups.dictionary.to_pylist()), None]
+    has_token = np.array([t is not None for t in tokens])
+    length = np.repeat(pc.fill_null(pc.utf8_length(texts), -1).to_numpy(zero_copy_only=False), size)
+    wanted = has_token[group] & (start >= 0) & (start < end) & (end <= length)
+    for text, null, n, to in zip(texts, found.is_null().to_pylist(), size, ends):
+        if null:
+            yield text.as_py(), None
+            continue
+        own = np.flatnonzero(wanted[to - n : to]) + (to - n)
+        lost = unscored[own].tolist()
+        spans = zip(start[own].tolist(), end[own].tolist(), score[own].tolist(), [tokens[g] for g in group[own].tolist()])
+        yield text.as_py(), [(a, b, s, None if gone else t) for (a, b, s, t), gone in zip(spans, lost)]
+
+
+def _resolved(text: str, spans: Iterable[tuple[int, int, float, str | None]]) -> list[list]:
+    """[start, end, token] of each span of ``resolve_spans``; one without a token beats others, but isn't kept."""
+    kept: set[tuple[int, int, str]] = set()
+    # of the spans so far those that may beat another: ends go up, scores go down; what has the same end or a later one stands from a place on, the highest score first
+    ends: list[int] = []
+    tops: list[tuple[float, int]] = []
+    for a, b, score, token in sorted(spans, key=lambda s: (s[0], -s[1], -s[2])):
+        i = bisect_left(ends, b)
+        if i < len(ends) and (tops[i][0] > score or (tops[i][0] == score and (tops[i][1], ends[i]) != (a, b))):
+            continue
+        if token is not None:
+            kept.add((a, b, token))
+        if i < len(ends) and tops[i][0] == score:
+            continue
+        least = i
+        while least and tops[least - 1][0] <= score:
+            least -= 1
+        ends[least:i], tops[least:i] = [b], [(score, a)]
     done: list[list] = []
     for a, b, token in sorted(kept):
         last = done[-1] if done else None
@@ -156,13 +160,22 @@ def anonymize_text(text: str, entities: Sequence[tuple[str, float, int, int]]) -
             last[1] = max(last[1], b)
         elif not last or b > last[1]:
             done.append([max(a, last[1]) if last else a, b, token])
+    return done
+
+
+def _replaced(text: str, spans: Iterable[Sequence]) -> str:
     out, at = [], 0
-    for a, b, token in done:
+    for a, b, token in spans:
         out += [text[at:a], token]
         at = b
     return "".join([*out, text[at:]])
 
 
+def anonymize_text(text: str, entities: Sequence[tuple[str, float, int, int]]) -> str:
+    """What ``anonymize`` gives, for a Python string and its (group, score, start, end)."""
+    return _replaced(text, _resolved(text, [(a, b, score, TOKENS[g]) for g, score, a, b in entities if g in TOKENS and 0 <= a < b <= len(text)]))
+
+
 def split_chunks(text: Column, max_tokens: int) -> Column:
     """Pieces of ``max_tokens`` words each, with the white space after them, that make up the text; none for a blank text."""
     if max_tokens < 1:

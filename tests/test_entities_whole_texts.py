@@ -1,6 +1,7 @@
 """The entity operators on spans all over long texts, against brute force."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,3 +71,36 @@ def test_registered_query_goes_over_whole_texts(spark):
     want = {i: anonymized(t, [(groups[k % 4], 0.9, "", k * 10 + 2, k * 10 + 7) for k in range(len(t) // 10 + 1)]) for i, t in docs.items()}
     assert {r["doc_id"]: r["result"] for r in queries.QUERIES["anonymize_whole"](spark, DATA).collect()} == want
     assert any("<PERSON>" in x[1000:] for x in want.values())
+
+
+def test_spans_that_nest_or_are_odd():
+    from scrubline.operators.entities import anonymize_text
+
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab  c") for _ in range(30))
+        found = [(rng.choice(["PER", "LOC", "ORG", "MISC"]), rng.choice([0.7, 0.85, 0.9]), "w", a, a + rng.randint(0, 12)) for a in (rng.randint(-1, 30) for _ in range(rng.randint(0, 9)))]
+        assert anonymize_text(text, [(g, s, a, b) for g, s, _, a, b in found]) == anonymized(text, found)
+
+
+def test_scores_and_spans_that_are_null(spark):
+    nan = float("nan")
+    e = [("PER", None, "w", 0, 9), ("LOC", 0.9, "w", 2, 4), ("LOC", nan, "w", 10, 14), ("ORG", float("inf"), "w", 11, 13), ("ORG", 0.1, "w", 20, 24), None, (None, 0.9, "w", 26, 28), ("PER", 0.9, "w", None, 28), ("PER", 0.9, "w", 29, 99)]
+    rows = [(1, "0123456789" * 3, e), (2, "ab", None), (3, None, e), (4, "ab", []), (5, "", e)]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, e {ENTITIES}")
+    found = {r[0]: r[1] for r in df.select("doc_id", entities.anonymize(F.col("text"), F.col("e"))).collect()}
+    assert found == {1: "0123456789<LOCATION>456789<ORGANISATION>456789", 2: "ab", 3: None, 4: "ab", 5: ""}
+    spans = {r[0]: r[1] and [tuple(s) for s in r[1]] for r in df.select("doc_id", entities.resolve_spans(F.col("text"), F.col("e"))).collect()}
+    assert spans == {1: [(10, 14, "<LOCATION>"), (20, 24, "<ORGANISATION>")], 2: None, 3: [], 4: [], 5: []}
+
+
+@pytest.mark.parametrize("kind", ["apart", "nested"])
+def test_time_grows_as_the_spans(spark, kind):
+    """40,000 spans of one text, which took minutes when each was compared with each and each step copied what was done."""
+    n = 40_000
+    span = "i * 10 + 2 AS start, i * 10 + 7 AS `end`" if kind == "apart" else f"i AS start, {10 * n} - i AS `end`"
+    df = spark.range(1).select(F.expr(f"repeat('abcde fghi', {n})").alias("text"), F.expr(f"transform(sequence(0, {n - 1}), i -> struct('PER' AS entity_group, 0.9D AS score, '' AS word, {span}))").alias("e"))
+    began = time.monotonic()
+    out = df.select(entities.anonymize(F.col("text"), F.col("e"))).first()[0]
+    assert time.monotonic() - began < 20
+    assert out == ("ab<PERSON>ghi" * n if kind == "apart" else "<PERSON>")
