@@ -94,6 +94,10 @@ GOLDEN = [
     (fix_bad_unicode_column, "«CAFÉ» É» Äpfel Straße 東", "«CAFÉ» É» Äpfel Straße 東"),
     (html_to_text_column, "<p>a &amp; <b>b</b><!-- c --><script>x<y</script><style>p{}</style>d</p>", "a & bd"),
     (html_to_text_column, "no markup 1 < 2", "no markup 1 < 2"),
+    (html_to_text_column, "<title>a&amp;&amp</title>b &quot", "a&&ampb &quot"),
+    (html_to_text_column, "<p>?a=1&region=2&copy=3&ampx; &nosuch; &lt;&#39;&#x27; &</p>", "?a=1&region=2&copy=3&ampx; &nosuch; <'' &"),
+    (html_to_text_column, "<![CDATA[a & b]]>\U0010ffff &", "a & b\U0010ffff &"),
+    (fix_bad_unicode_column, "?a=1&region=2 &amp; &copy", "?a=1&region=2 & &copy"),
 ]
 
 
