@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import CleanConfig
 from ..operators import filters, language, normalize, recognizers, redact
 from ..operators.arrow_stage import arrow_stage
+from ..sources import small_batches
 
 
 def redaction(text: Column, cfg: CleanConfig) -> Column:
@@ -56,6 +57,7 @@ def clean(df: DataFrame, text_col: str = "text", cfg: CleanConfig | None = None,
     nulls (or fails, with ``null_policy`` "raise"), a blank one empty texts and a null language. The language is that of the raw text.
     """
     cfg = cfg or CleanConfig()
+    small_batches(df.sparkSession)
     lm, stat, lang = (prefix + n for n in ("lm_text", "stat_text", "language"))
     raw_name = "__raw"
     while raw_name in df.columns:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..config import CleanConfig
 from ..operators import arrow_stage, entities, filters, language, normalize, redact
 from ..operators.stopword_lists import STOP_WORDS
-from ..sources import spread
+from ..sources import small_batches, spread
 from . import pipeline
 
 LANGUAGES = ("ENGLISH", "GERMAN", "SPANISH", "FRENCH")
@@ -30,6 +30,7 @@ ORACLES: dict[str, str] = {}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 

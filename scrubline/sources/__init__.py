@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_SETTING, BATCH_BYTES, BATCH_DEFAULTS = "spark.sql.execution.arrow.maxBytesPerBatch", "8m", (str(64 << 20), f"{64 << 20}b", "64m", "64MB")
+
 
 def read_texts(spark: SparkSession, path: str, format: str = "parquet", text_col: str = "text", streaming: bool = False, schema: str | None = None, **options) -> DataFrame:
     """A table of any format that Spark reads, with its text in ``text_col``. Format "text" makes one text of each line, "wholetext" of each file.
@@ -41,6 +43,12 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if groups < cores else rows
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's batches to Python to BATCH_BYTES if it left Spark's default, so that a worker's memory doesn't grow with the tables."""
+    if spark.conf.get(BATCH_SETTING) in BATCH_DEFAULTS:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def from_strings(spark: SparkSession, texts: Iterable[str | None], text_col: str = "text") -> DataFrame:
     """A few texts held in memory, with their places as ``id``."""
     return spark.createDataFrame(list(enumerate(texts)), f"id long, `{text_col}` string")

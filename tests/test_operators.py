@@ -193,3 +193,34 @@ def test_sql_functions(spark):
 
 def test_pictographs_by_name():
     assert demojize("ok 😀") == "ok :grinning_face:"
+
+
+def test_a_batch_becomes_strings_part_by_part(monkeypatch):
+    """All texts of a batch were strings at once, of up to four bytes a character, beside all results."""
+    import pyarrow as pa
+
+    from scrubline.operators import arrow_stage
+
+    monkeypatch.setattr(arrow_stage, "PART", 100)
+    texts = ["x" * 30, None, "", "é" * 70, "y" * 500, None, "z", ""] * 5
+    parts = [(list(a), list(b)) for a, b in arrow_stage.text_parts(pa.array(texts).slice(3), pa.array(range(40)).slice(3))]
+    assert [t for a, _ in parts for t in a] == texts[3:] and [i for _, b in parts for i in b] == list(range(3, 40))
+    assert len(parts) > 10 and all(sum(sorted(len(t or "") for t in a)[:-1]) <= 100 for a, _ in parts)
+    assert arrow_stage.joined(a for a, _ in parts).to_pylist() == texts[3:]
+    assert list(arrow_stage.text_parts(pa.array([], pa.string()))) == [[[]]] and len(arrow_stage.joined([])) == 0
+
+
+def test_queries_and_plans_keep_batches_small(spark):
+    from scrubline import clean
+    from scrubline.plans import queries
+    from scrubline.sources import BATCH_BYTES, BATCH_SETTING
+    from tests.compare import DATA
+
+    for use in (lambda: queries.QUERIES["to_ascii"](spark, DATA), lambda: clean(spark.createDataFrame([("a",)], "text string"))):
+        spark.conf.unset(BATCH_SETTING)
+        use()
+        assert spark.conf.get(BATCH_SETTING) == BATCH_BYTES
+    spark.conf.set(BATCH_SETTING, "5m")
+    queries.QUERIES["to_ascii"](spark, DATA)
+    assert spark.conf.get(BATCH_SETTING) == "5m"
+    spark.conf.unset(BATCH_SETTING)
