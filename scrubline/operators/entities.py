@@ -18,6 +18,8 @@ from . import patterns as P
 
 ENTITIES = "array<struct<entity_group:string,score:double,word:string,start:int,end:int>>"
 SPANS = "array<struct<start:int,end:int,token:string>>"
+ARROW_ENTITIES = pa.list_(pa.struct([("entity_group", pa.string()), ("score", pa.float64()), ("word", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+ARROW_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("token", pa.string())]))
 TOKENS = {"PER": "<PERSON>", "LOC": "<LOCATION>", "ORG": "<ORGANISATION>"}
 DEFAULT_THRESHOLD = 0.85
 
@@ -92,7 +94,7 @@ def resolve_spans(text: Column, entities: Column) -> Column:
     @F.arrow_udf(SPANS)
     def run(texts: pa.Array, found: pa.Array) -> pa.Array:
         spans = [None if e is None else [] if t is None else _resolved(t, e) for t, e in _with_spans(texts, found)]
-        return pa.array([None if own is None else [dict(zip(("start", "end", "token"), s)) for s in own] for own in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("token", pa.string())])))
+        return pa.array([None if own is None else [dict(zip(("start", "end", "token"), s)) for s in own] for own in spans], ARROW_SPANS)
 
     return run(text, entities)
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrow_stage import to_ascii
-from .entities import DEFAULT_THRESHOLD, ENTITIES, anonymize_text
+from .arrow_stage import joined, text_parts, to_ascii
+from .entities import ARROW_ENTITIES, DEFAULT_THRESHOLD, ENTITIES, anonymize_text
 
 #: A recognizer takes a text and returns (entity group, score, start, end) for each entity; offsets are in characters.
 Recognizer = Callable[[str], list[tuple[str, float, int, int]]]
@@ -27,20 +28,42 @@ _FIRMS = "Microsoft|Google|Apple|Amazon|IBM|Intel|Siemens|Volkswagen|BMW|Philips
 # texts mostly come here in ASCII
 _GIVEN, _PLACES, _FIRMS = (list(dict.fromkeys(x for n in names for x in (n, to_ascii(n)))) for names in (_GIVEN, _PLACES, _FIRMS))
 _CAPITAL = r"[A-ZÀ-ÖØ-Þ][\w'’-]*"
+_FORMS = "Corp Inc Ltd LLC GmbH AG BV NV SA".split()
+_ENDINGS = ("Corp", "Soft", "Tech", "Bank")
 _RULES: list[tuple[str, float, re.Pattern]] = [
     ("PER", 0.99, re.compile(rf"\b(?:{'|'.join(_GIVEN)})\b(?:[ ]{_CAPITAL})?")),
     ("PER", 0.97, re.compile(rf"(?<=\b(?:Dr|Mr|Ms)\.[ ]){_CAPITAL}(?:[ ]{_CAPITAL})?")),
     ("PER", 0.97, re.compile(rf"(?<=\bMrs\.[ ]){_CAPITAL}(?:[ ]{_CAPITAL})?")),
     ("LOC", 0.98, re.compile(rf"\b(?:{'|'.join(map(re.escape, _PLACES))})\b")),
     ("ORG", 0.98, re.compile(rf"\b(?:{'|'.join(map(re.escape, _FIRMS))})\b(?:[ ](?:Corp|Inc|Ltd|GmbH|AG)\b\.?)?")),
-    ("ORG", 0.96, re.compile(rf"\b{_CAPITAL}(?:[ ]{_CAPITAL}){{0,3}}[ ](?:Corp|Inc|Ltd|LLC|GmbH|AG|BV|NV|SA)\b\.?")),
-    ("ORG", 0.96, re.compile(r"\b[A-Z][a-z]+(?:Corp|Soft|Tech|Bank)\b")),
+    ("ORG", 0.96, re.compile(rf"\b{_CAPITAL}(?:[ ]{_CAPITAL}){{0,3}}[ ](?:{'|'.join(_FORMS)})\b\.?")),
+    ("ORG", 0.96, re.compile(rf"\b[A-Z][a-z]+(?:{'|'.join(_ENDINGS)})\b")),
+]
+_CAPITAL_WORD = re.compile(r"[A-ZÀ-ÖØ-Þ]\w*")
+
+
+def _one_of(words: Sequence[str]) -> Callable[[str, set[str]], bool]:
+    """Whether the first word of one of ``words`` is among a text's capital words."""
+    first = {w.split()[0] for w in words}
+    return lambda _, found: not first.isdisjoint(found)
+
+
+#: For each rule what must hold of a text and its capital words if the rule is to find anything, as that is told sooner.
+_MAY_FIND: list[Callable[[str, set[str]], bool]] = [
+    _one_of(_GIVEN),
+    lambda t, _: "Dr. " in t or "Mr. " in t or "Ms. " in t,
+    lambda t, _: "Mrs. " in t,
+    _one_of(_PLACES),
+    _one_of(_FIRMS),
+    _one_of(_FORMS),
+    lambda _, found: any(w.endswith(_ENDINGS) for w in found),
 ]
 
 
 def rule_recognizer(text: str) -> list[tuple[str, float, int, int]]:
     """Entities by lists of names, places and firms, and by titles and company forms. Scores are fixed by the rule."""
-    return [(group, score, m.start(), m.end()) for group, score, rule in _RULES for m in rule.finditer(text)]
+    found = set(_CAPITAL_WORD.findall(text))
+    return [(group, score, m.start(), m.end()) for (group, score, rule), may in zip(_RULES, _MAY_FIND) if may(text, found) for m in rule.finditer(text)]
 
 
 #: By language; "MULTI" is asked if the English one finds nothing wanted.
@@ -91,11 +114,15 @@ def transformers_pipeline(folder: str) -> Callable:
 _CHUNK = re.compile(r"\s*(?:\S+\s*)")
 
 
+@lru_cache
+def _pieces(most: int) -> re.Pattern:
+    return re.compile(rf"\s*+(?:\S++\s*+){{1,{most}}}+")
+
+
 def chunk_starts(text: str, most: int, count: Callable[[str], int] | None = None) -> list[int]:
     """Where the pieces begin of ``most`` words each, or of at most ``most`` tokens in whole words if ``count`` counts a word's (of one word where it has more)."""
     if count is None:
-        starts = [m.start() for m in _CHUNK.finditer(text)]
-        return [0, *starts[most::most]] if starts else []
+        return [m.start() for m in _pieces(most).finditer(text)]
     out, room = [], 0
     for m in _CHUNK.finditer(text):
         n = count(m.group().strip())
@@ -113,7 +140,7 @@ def _all_found(recognizer: Recognizer, pieces: Sequence[str]) -> list[list[tuple
 def recognize_all(texts: Sequence[str | None], languages: Sequence[str | None], tags: Sequence[str], recognizers: dict[str, Recognizer], most: int, count: Callable[[str], int] | None = None) -> list[list[tuple[str, float, str, int, int]] | None]:
     """For each text its entities with wanted tags, piece by piece: of the language's own recognizer, or of the English and failing that the multilingual one.
 
-    The pieces of all texts go to a recognizer together.
+    The pieces of all texts go to a recognizer together. The multilingual one isn't asked if it's the English one itself.
     """
     places: dict[str, list[tuple[int, int, int]]] = {}
     for i, (text, language) in enumerate(zip(texts, languages)):
@@ -135,7 +162,7 @@ def recognize_all(texts: Sequence[str | None], languages: Sequence[str | None],
 
     for name, own in places.items():
         empty = ask(name, own)
-        if name == "ENGLISH" and empty:
+        if name == "ENGLISH" and empty and recognizers["MULTI"] is not recognizers["ENGLISH"]:  # the same one finds nothing again
             ask("MULTI", empty)
     return [None if found is None else sorted(found, key=lambda e: e[3]) if len(found) > 1 else found for found in out]
 
@@ -151,10 +178,11 @@ def recognize_column(text: Column, language: Column, tags: Sequence[str], recogn
         raise ValueError("tags must name one entity group at least")
     by_language = recognizers or DEFAULT_RECOGNIZERS
 
-    @F.pandas_udf(ENTITIES)
-    def run(texts: pd.Series, languages: pd.Series) -> pd.Series:
+    @F.arrow_udf(ENTITIES)
+    def run(texts: pa.Array, languages: pa.Array) -> pa.Array:
         names = ("entity_group", "score", "word", "start", "end")
-        return pd.Series([None if found is None else [dict(zip(names, e)) for e in found] for found in recognize_all(list(texts), list(languages), tags, by_language, chunk_words, token_count)])
+        parts = (recognize_all(t, l, tags, by_language, chunk_words, token_count) for t, l in text_parts(texts, languages))
+        return pa.concat_arrays([pa.array([None if found is None else [dict(zip(names, e)) for e in found] for found in part], ARROW_ENTITIES) for part in parts])
 
     return run(text, language)
 
@@ -172,9 +200,11 @@ def anonymize_column(text: Column, language: Column, tags: Sequence[str], thresh
                 best[a, b] = (group, score, a, b)
         return anonymize_text(t, list(best.values())) if best else t
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, languages: pd.Series) -> pd.Series:
-        every = recognize_all(list(texts), list(languages), tags, by_language, chunk_words, token_count)
-        return pd.Series([None if t is None else one(t, found) for t, found in zip(texts, every)], dtype=object)
+    @F.arrow_udf("string")
+    def run(texts: pa.Array, languages: pa.Array) -> pa.Array:
+        return joined(
+            [None if t is None else one(t, found) for t, found in zip(part, recognize_all(part, names, tags, by_language, chunk_words, token_count))]
+            for part, names in text_parts(texts, languages)
+        )
 
     return run(text, language)

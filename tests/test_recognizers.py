@@ -1,6 +1,7 @@
 """The adapter for models, with a stand-in for one, and pieces by tokens."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,3 +70,30 @@ def test_the_multilingual_one_is_asked_where_the_english_one_finds_nothing():
     by = {"ENGLISH": lambda t: [("PER", 0.9, 0, 1)] if "a" in t else [("MISC", 0.9, 0, 1)], "MULTI": lambda t: [("LOC", 0.8, 1, 2)], "GERMAN": lambda t: [("ORG", 0.7, 0, 2)]}
     assert recognize("ab xy", None, ("PER", "LOC"), by, 1) == [("PER", 0.9, "a", 0, 1), ("LOC", 0.8, "y", 4, 5)]
     assert recognize_all(["ab", None, "xy", ""], ["GERMAN", None, "KLINGON", None], ("ORG", "LOC"), by, 5) == [[("ORG", 0.7, "ab", 0, 2)], None, [("LOC", 0.8, "y", 1, 2)], []]
+
+
+def test_rules_that_are_passed_over_would_find_nothing():
+    from scrubline.operators.recognizers import _ENDINGS, _FIRMS, _FORMS, _GIVEN, _PLACES, _RULES, rule_recognizer
+
+    rng = random.Random(2)
+    words = [*_GIVEN, *_PLACES, *_FIRMS, *_FORMS, *(f"Abc{e}" for e in _ENDINGS), "Dr.", "Mr.", "Mrs.", "Ms.", "xJohn", "JohnX", "Élan", "the", "a", "über", "O'Neil", "Ab-Cd", "_Paul", "9Paul", "AcCorp"]
+    kinds = set()
+    for _ in range(20_000):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", " ", ".", "-", "\n", ""]) for _ in range(rng.randint(1, 5)))
+        want = [(group, score, m.start(), m.end()) for group, score, rule in _RULES for m in rule.finditer(text)]
+        assert rule_recognizer(text) == want, text
+        kinds |= {i for i, (*_, rule) in enumerate(_RULES) if rule.search(text)}
+    assert len(kinds) == len(_RULES)
+
+
+def test_a_recognizer_is_asked_once(spark):
+    """What found nothing was asked again where it was the multilingual one too."""
+    from scrubline.operators import recognizers
+
+    asked = []
+    one = lambda t: asked.append(t) or []
+    assert recognize_all(["ab cd", "ef"], [None, "ENGLISH"], ("PER",), {"ENGLISH": one, "MULTI": one}, 1) == [[], []]
+    assert asked == ["ab ", "cd", "ef"]
+    texts = ["John is here", None, "in Paris", ""] * 50
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(recognizers.anonymize_column(F.col("t"), F.lit("ENGLISH"), ("PER", "LOC"))).collect()
+    assert [r[0] for r in got] == ["<PERSON> is here", None, "in <LOCATION>", ""] * 50
