@@ -187,8 +187,8 @@ def recognize_column(text: Column, language: Column, tags: Sequence[str], recogn
     return run(text, language)
 
 
-def anonymize_column(text: Column, language: Column, tags: Sequence[str], threshold: float | None = None, recognizers: dict[str, Recognizer] | None = None, chunk_words: int = 460, token_count: Callable[[str], int] | None = None) -> Column:
-    """The text with a token for each entity of ``recognize_column`` that scores ``threshold``, the best of each span; in one crossing to Python."""
+def anonymizer(tags: Sequence[str], threshold: float | None = None, recognizers: dict[str, Recognizer] | None = None, chunk_words: int = 460, token_count: Callable[[str], int] | None = None) -> Callable[[list, list], list]:
+    """What ``anonymize_column`` does, as a function of a list of texts and one of their languages."""
     if not tags:
         raise ValueError("tags must name one entity group at least")
     by_language, least = recognizers or DEFAULT_RECOGNIZERS, threshold or DEFAULT_THRESHOLD
@@ -200,11 +200,19 @@ def anonymize_column(text: Column, language: Column, tags: Sequence[str], thresh
                 best[a, b] = (group, score, a, b)
         return anonymize_text(t, list(best.values())) if best else t
 
+    def run(texts: list[str | None], languages: list[str | None]) -> list[str | None]:
+        every = recognize_all(texts, languages, tags, by_language, chunk_words, token_count)
+        return [None if t is None else one(t, found) for t, found in zip(texts, every)]
+
+    return run
+
+
+def anonymize_column(text: Column, language: Column, tags: Sequence[str], threshold: float | None = None, recognizers: dict[str, Recognizer] | None = None, chunk_words: int = 460, token_count: Callable[[str], int] | None = None) -> Column:
+    """The text with a token for each entity of ``recognize_column`` that scores ``threshold``, the best of each span; in one crossing to Python."""
+    anonymize = anonymizer(tags, threshold, recognizers, chunk_words, token_count)
+
     @F.arrow_udf("string")
     def run(texts: pa.Array, languages: pa.Array) -> pa.Array:
-        return joined(
-            [None if t is None else one(t, found) for t, found in zip(part, recognize_all(part, names, tags, by_language, chunk_words, token_count))]
-            for part, names in text_parts(texts, languages)
-        )
+        return joined(anonymize(part, names) for part, names in text_parts(texts, languages))
 
     return run(text, language)

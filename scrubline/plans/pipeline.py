@@ -2,35 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import Transformer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CleanConfig
-from ..operators import filters, language, normalize, recognizers, redact
+from ..operators import ascii_stage, filters, language, normalize, redact
 from ..operators.arrow_stage import arrow_stage
 from ..sources import small_batches
 
 
+def _chain(text: Column, steps: Sequence[tuple[bool, Callable[[Column], Column]]]) -> Column:
+    for wanted, step in steps:
+        if wanted:
+            text = step(text)
+    return text
+
+
 def redaction(text: Column, cfg: CleanConfig) -> Column:
-    """The steps between the Python stage and the entities, in their order."""
+    """The steps after the first Python stage, in their order: tokens for what patterns find."""
     steps = [
         (cfg.replace_urls, lambda t: redact.replace_urls(t, cfg.url_token)),
         (cfg.replace_emails, lambda t: redact.replace_emails(t, cfg.email_token)),
         (cfg.replace_years, lambda t: redact.replace_years(t, cfg.year_token)),
         (cfg.replace_phones, lambda t: redact.replace_phone_numbers(t, cfg.phone_token)),
         (cfg.replace_numbers, lambda t: redact.replace_numbers(t, cfg.number_token)),
+    ]
+    return _chain(text, steps)
+
+
+def last_redactions(text: Column, cfg: CleanConfig) -> Column:
+    """The steps between ``redaction`` and the entities, of texts that aren't in ASCII; of others ``ascii_stage`` takes them."""
+    steps = [
         (cfg.replace_currencies, lambda t: redact.replace_currencies(t, cfg.currency_token)),
         (cfg.remove_isolated_letters, filters.remove_isolated_letters),
         (cfg.remove_isolated_symbols, filters.remove_isolated_symbols),
         (cfg.normalize_whitespace, lambda t: normalize.normalize_whitespace(t, no_line_breaks=True)),
     ]
-    for wanted, step in steps:
-        if wanted:
-            text = step(text)
-    return text
+    return _chain(text, steps)
 
 
 def statistics_text(text: Column, lang: Column, cfg: CleanConfig) -> Column:
@@ -62,6 +73,9 @@ def clean(df: DataFrame, text_col: str = "text", cfg: CleanConfig | None = None,
     raw_name = "__raw"
     while raw_name in df.columns:
         raw_name += "_"
+    done = "__done"
+    while done in df.columns:
+        done += "_"
     raw = F.col(text_col).cast("string")
     if cfg.null_policy == "raise":
         raw = F.coalesce(raw, F.raise_error(F.lit("a text is null")).cast("string"))
@@ -78,12 +92,17 @@ def clean(df: DataFrame, text_col: str = "text", cfg: CleanConfig | None = None,
     staged = arrow_stage(F.when(blank, F.lit("")).otherwise(F.col(raw_name)), cfg.fix_unicode, cfg.to_ascii, cfg.replace_html, cfg.html_token)
     out = out.withColumn(lm, redaction(staged, cfg))
     if cfg.ner:
-        out = out.withColumn(lm, recognizers.anonymize_column(F.col(lm), F.col(lang), cfg.entity_tags, cfg.ner_threshold, cfg.recognizers, cfg.ner_chunk_words, cfg.ner_token_count))
+        plain = F.coalesce(F.length(lm) == F.octet_length(lm), F.lit(False)) if ascii_stage.last_redactions(cfg) else F.lit(False)
+        out = out.withColumn(done, ascii_stage.last_stage(F.when(plain, F.col(lm)).otherwise(last_redactions(F.col(lm), cfg)), plain, F.col(lang), cfg))
+        out = out.withColumn(lm, F.col(done)["lm"])
+    else:
+        out = out.withColumn(lm, last_redactions(F.col(lm), cfg))
     if cfg.stat_text:
-        out = out.withColumn(stat, statistics_text(F.col(lm), F.col(lang), cfg))
+        in_python = [F.col(done)["stat"]] if cfg.ner else []
+        out = out.withColumn(stat, F.coalesce(*in_python, statistics_text(F.col(lm), F.col(lang), cfg)))
     if not (cfg.stat_text or cfg.detect_language):
         out = out.drop(lang)
-    return out.drop(raw_name)
+    return out.drop(raw_name, done)
 
 
 class TextCleaner:
