@@ -89,17 +89,18 @@ def clean(df: DataFrame, text_col: str = "text", cfg: CleanConfig | None = None,
         detected = F.lit(None).cast("string")
     out = out.withColumn(lang, F.when(~blank & F.col(raw_name).isNotNull(), detected))
     # a blank text is emptied first: a condition around the steps would keep what they share from being worked out once
-    staged = arrow_stage(F.when(blank, F.lit("")).otherwise(F.col(raw_name)), cfg.fix_unicode, cfg.to_ascii, cfg.replace_html, cfg.html_token)
-    out = out.withColumn(lm, redaction(staged, cfg))
+    text = F.when(blank, F.lit("")).otherwise(F.col(raw_name))
     if cfg.ner:
+        staged = arrow_stage(text, cfg.fix_unicode, cfg.to_ascii, cfg.replace_html, cfg.html_token)
+        out = out.withColumn(lm, redaction(staged, cfg))
         plain = F.coalesce(F.length(lm) == F.octet_length(lm), F.lit(False)) if ascii_stage.last_redactions(cfg) else F.lit(False)
         out = out.withColumn(done, ascii_stage.last_stage(F.when(plain, F.col(lm)).otherwise(last_redactions(F.col(lm), cfg)), plain, F.col(lang), cfg))
         out = out.withColumn(lm, F.col(done)["lm"])
     else:
-        out = out.withColumn(lm, last_redactions(F.col(lm), cfg))
+        out = out.withColumn(done, ascii_stage.whole_stage(text, F.col(lang), cfg))
+        out = out.withColumn(lm, F.coalesce(F.col(done)["lm"], last_redactions(redaction(F.col(done)["text"], cfg), cfg)))
     if cfg.stat_text:
-        in_python = [F.col(done)["stat"]] if cfg.ner else []
-        out = out.withColumn(stat, F.coalesce(*in_python, statistics_text(F.col(lm), F.col(lang), cfg)))
+        out = out.withColumn(stat, F.coalesce(F.col(done)["stat"], statistics_text(F.col(lm), F.col(lang), cfg)))
     if not (cfg.stat_text or cfg.detect_language):
         out = out.drop(lang)
     return out.drop(raw_name, done)
